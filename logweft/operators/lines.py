@@ -22,6 +22,12 @@ def mark_lines(lines: DataFrame, templates: list[Template]) -> DataFrame:
     )
 
 
+def line_blocks(lines: DataFrame) -> DataFrame:
+    """Block ids of lines, matched or not: an upper bound of events per block
+    that needs no template search."""
+    return lines.select(tx.block_id(F.col("value")).alias("block_id")).filter("block_id IS NOT NULL")
+
+
 def events(lines: DataFrame, templates: list[Template]) -> DataFrame:
     """Matched lines as occurrences: block, time, template ordinal, source position."""
     return (

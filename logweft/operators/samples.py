@@ -87,33 +87,45 @@ def plan_for(samples: DataFrame, **options) -> BalancePlan:
     return balance_plan(counts.normal, counts.anomalous, **options)
 
 
-def _copies(rows: DataFrame, name: str, n_rows: int, wanted: int, seed: int, ids: list[str]) -> DataFrame:
-    """Repeat rows to exactly ``wanted``: whole copies, then a seeded choice of
-    the remainder. The choice ranks rows by hash in hash-prefix cells, so no
-    task sees more than its cell."""
-    whole, extra = divmod(wanted, n_rows)
-    if extra == 0:
-        return rows.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(whole))))
+def _ranked(rows: DataFrame, seed: int, ids: list[str]) -> DataFrame:
+    """Add ``_rank``, the place in a seeded shuffle. Rows are ranked inside
+    hash-prefix cells, so no task sees more than its cell."""
     hashed = rows.withColumn("_h", seeded_hash(seed, *ids))
-    ranked = rank_rows(hashed, "_rank", hash_cells("_h"), ["_h"])
-    n = F.lit(whole) + F.when(F.col("_rank") < extra, 1).otherwise(0)
-    if whole == 0:
-        ranked = ranked.filter(F.col("_rank") < extra)
-    return ranked.withColumn(name, F.explode(F.sequence(F.lit(1), n))).drop("_h", "_rank")
+    return rank_rows(hashed, "_rank", hash_cells("_h"), ["_h"]).drop("_h")
 
 
 def oversample(samples: DataFrame, plan: BalancePlan, seed: int = 42, id_column: str = "id") -> DataFrame:
-    """All majority rows plus the minority repeated to its target size."""
+    """All majority rows, and the minority repeated to its target: whole copies
+    of every row, then one more of a seeded choice."""
     rare = samples.filter(F.col("label") == plan.minority_label)
     common = samples.filter(F.col("label") != plan.minority_label)
-    repeated = _copies(rare, "copy", plan.n_minority, plan.minority_target, seed, [id_column])
-    return common.withColumn("copy", F.lit(1)).unionByName(repeated)
+    whole, extra = divmod(plan.minority_target, plan.n_minority)
+    copies = F.lit(whole)
+    if extra:
+        rare = _ranked(rare, seed, [id_column])
+        copies = copies + F.when(F.col("_rank") < extra, 1).otherwise(0)
+    repeated = rare.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    return common.withColumn("copy", F.lit(1)).unionByName(repeated.drop("_rank"))
 
 
 def balanced(samples: DataFrame, plan: BalancePlan, seed: int = 42, id_column: str = "id") -> DataFrame:
-    """Exactly ``plan.total`` rows, each with ``copy``, ``tile`` and its place in
-    the seeded shuffle (``shuffle_key``; sort by it only where order matters)."""
+    """Exactly ``plan.total`` rows: a seeded choice when that is fewer than the
+    oversampled set, else whole tiles of it plus a seeded choice of tiled rows.
+
+    ``copy``, ``tile`` and ``again`` tell repeated rows apart; ``shuffle_key`` is
+    the seeded order, to sort by only where order matters.
+    """
     combined = oversample(samples, plan, seed, id_column)
-    ids = [id_column, "copy"]
-    resized = _copies(combined, "tile", plan.combined, plan.total, seed + 1, ids)
-    return resized.withColumn("shuffle_key", seeded_hash(seed + 2, *ids, "tile"))
+    ids = [id_column, "copy", "tile"]
+    whole, extra = divmod(plan.total, plan.combined)
+    tiled = combined.withColumn("tile", F.explode(F.sequence(F.lit(1), F.lit(max(whole, 1)))))
+    again = F.array(F.lit(0))
+    if extra:
+        tiled = _ranked(tiled, seed + 1, ids)
+        chosen = F.col("_rank") < extra
+        if whole == 0:
+            tiled = tiled.filter(chosen)
+        else:
+            again = F.when(chosen, F.array(F.lit(0), F.lit(1))).otherwise(again)
+    resized = tiled.withColumn("again", F.explode(again)).drop("_rank")
+    return resized.withColumn("shuffle_key", seeded_hash(seed + 2, *ids, "again"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logweft.functions import text as tx
 from logweft.operators.ranking import LINE_CELL_BITS, rank_rows
 from logweft.operators.templates import Template, text_of
+from logweft.session import materialize
 
 # A block up to this many events is one row. A bigger one becomes several rows
 # of that size, each with its place in the block, so no array and no task grows
@@ -119,15 +120,20 @@ def sessions(
     part_events: int = PART_EVENTS,
     with_text: bool = False,
     with_gaps: bool = False,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per block (or per part of an oversized block), events in order.
 
     Order is time, then source position; events without a time come last.
-    One counting pass finds oversized blocks. On raw text, write the
-    occurrences first (``session.materialize``), so that pass reads one column.
+    One counting pass finds oversized blocks. ``sizes`` makes it cheap: any
+    frame with a ``block_id`` column whose rows per block are no fewer than the
+    occurrences, such as the lines before template matching. If there are
+    oversized blocks, the occurrences are stored once, as several passes follow.
     """
-    big = oversized_blocks(occurrences, part_events)
+    big = oversized_blocks(occurrences if sizes is None else sizes, part_events)
     n_big = big.limit(MAX_BROADCAST_BLOCKS + 1).count()
+    if n_big:
+        occurrences = materialize(occurrences, "occurrences")
     if n_big == 0:
         rows = _whole_blocks(occurrences)
     elif n_big <= MAX_BROADCAST_BLOCKS:

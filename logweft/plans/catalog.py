@@ -5,8 +5,9 @@ from __future__ import annotations
 from logweft.plans.parsing import PARSING
 from logweft.plans.registry import Query
 from logweft.plans.traces import TRACES
+from logweft.plans.training import TRAINING
 
-GROUPS = [PARSING, TRACES]
+GROUPS = [PARSING, TRACES, TRAINING]
 
 
 def queries() -> dict[str, Query]:

@@ -88,7 +88,8 @@ def occurrences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, folder: str, **options) -> DataFrame:
-    return ss.sessions(occurrences(spark, folder), templates(), **options)
+    sizes = ln.line_blocks(log_lines(spark, folder))
+    return ss.sessions(occurrences(spark, folder), templates(), sizes=sizes, **options)
 
 
 def _block_number() -> Column:
