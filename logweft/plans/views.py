@@ -123,10 +123,10 @@ def traces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def short_traces(spark: SparkSession, folder: str) -> DataFrame:
-    """Only the first two events of each block, so that many traces are equal."""
+    """Only the first event of each block, so that many traces are equal."""
     rows = sessions(spark, folder, with_gaps=True).filter("part = 0")
     return traces_of(
-        rows.withColumns({"sequence": F.slice("sequence", 1, 2), "gaps": F.slice("gaps", 1, 2)})
+        rows.withColumns({"sequence": F.slice("sequence", 1, 1), "gaps": F.slice("gaps", 1, 1)})
     )
 
 
@@ -215,4 +215,4 @@ TRACES_SQL = f"""{SESSIONS_SQL},
 traces AS ({_traces_sql("sequence", "gaps")})"""
 
 SHORT_TRACES_SQL = f"""{SESSIONS_SQL},
-traces AS ({_traces_sql("sequence[1:2]", "gaps[1:2]")})"""
+traces AS ({_traces_sql("sequence[1:1]", "gaps[1:1]")})"""
