@@ -13,11 +13,21 @@ from logweft.functions import text as tx
 MAX_TEMPLATES = 10_000
 
 
+# White space inside a template stands for any run of it. Java's classes leave out
+# the four separator controls, so they are named.
+_SPACE_ASCII = r"[\s\x1c-\x1f]+"
+
+
 @dataclass(frozen=True)
 class Template:
+    """``pattern`` decides for any text. ``ascii_pattern`` decides the same for
+    a lower-cased ASCII line and is much faster (no case folding);
+    ``probe`` is the longest white-space-free literal, which a match contains."""
+
     event_id: str
     text: str
     pattern: str
+    ascii_pattern: str
     probe: str
 
 
@@ -25,21 +35,23 @@ def compile_template(event_id: str, template: str, elastic: bool = True) -> Temp
     """Literal text with wildcards to a Java pattern for an unanchored search.
 
     Wildcards at either end are dropped: they never change whether the pattern
-    is found, and make each failing search quadratic. ``probe`` is the longest
-    white-space-free literal, which any match must contain.
+    is found, and make each failing search quadratic.
     """
     text = template.strip().replace("[*]", "<*>")
     literals = text.split("<*>")
     pattern = ".*?".join(re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", piece) for piece in literals)
-    if elastic:
-        pattern = pattern.replace(" ", r"\s+")
     while pattern.startswith(".*?"):
         pattern = pattern[3:]
     while pattern.endswith(".*?"):
         pattern = pattern[:-3]
+    low = pattern.lower()
+    if elastic:
+        pattern, low = pattern.replace(" ", _SPACE_ASCII), low.replace(" ", _SPACE_ASCII)
     words = [word for piece in literals for word in piece.split()]
     probe = max(words, key=len, default="").lower()
-    return Template(event_id.strip(), text, f"(?isU){pattern}", probe)
+    if not text.isascii():
+        low, probe = "", ""
+    return Template(event_id.strip(), text, f"(?isU){pattern}", f"(?s){low}", probe)
 
 
 def vocabulary(rows: list[tuple[str, str]], elastic: bool = True) -> list[Template]:
@@ -75,17 +87,21 @@ def id_of(templates: list[Template], ord: Column) -> Column:
 def with_match(lines: DataFrame, templates: list[Template], when: Column, line: str = "value") -> DataFrame:
     """Add ``ord``: position of the first template found in the line, else null.
 
-    A pattern runs only if its probe word occurs in the line. Case folding of
-    letters beyond ASCII can differ between the two tests, so such lines skip
-    the probe. The one-element ``explode`` keeps the optimizer from copying the
-    chain into every filter and expression that reads ``ord``.
+    For ASCII lines the lower-cased text is searched, and a pattern runs only if
+    its probe word occurs. Other lines take the case-folding pattern. The
+    one-element ``explode`` keeps the optimizer from copying the chain into
+    every filter and expression that reads ``ord``.
     """
     low, wide = F.col("_low"), F.col("_wide")
     value = F.col(line)
-    chain = [
-        F.when((wide | F.contains(low, F.lit(t.probe))) & value.rlike(t.pattern), F.lit(i))
-        for i, t in enumerate(templates)
-    ]
+
+    def found(t: Template) -> Column:
+        if not t.text.isascii():
+            return value.rlike(t.pattern)
+        quick = F.contains(low, F.lit(t.probe)) & low.rlike(t.ascii_pattern)
+        return F.when(wide, value.rlike(t.pattern)).otherwise(quick)
+
+    chain = [F.when(found(t), F.lit(i)) for i, t in enumerate(templates)]
     first = F.when(when, F.coalesce(*chain, F.lit(None).cast("int")))
     return (
         lines.withColumns({"_low": F.lower(value), "_wide": F.octet_length(value) != F.char_length(value)})
