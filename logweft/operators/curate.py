@@ -8,20 +8,26 @@ from logweft import fixed_values as fv
 from logweft.functions import sequences as sq, text as tx
 from logweft.operators.ranking import hash_cells, keep_first, rank_rows, seeded_hash
 
+MAX_SMALL_SAMPLE = 10_000
+
 
 def usable(sampled: DataFrame, low: int = fv.MIN_SEQUENCE, high: int = fv.MAX_SEQUENCE) -> DataFrame:
     return sampled.filter(sq.length_between(F.col("sequence"), low, high))
 
 
-def first_of_each_sequence(rows: DataFrame, order: str) -> DataFrame:
+def first_of_each_sequence(rows: DataFrame, order: str | Column) -> DataFrame:
     """The first row of every distinct event sequence."""
     keyed = rows.withColumn("fingerprint", sq.fingerprint(F.col("sequence")))
-    return keep_first(keyed, ["fingerprint"], F.col(order))
+    return keep_first(keyed, ["fingerprint"], F.col(order) if isinstance(order, str) else order)
 
 
 def sample_rows(rows: DataFrame, n: int = fv.SAMPLE_SIZE, seed: int = fv.SAMPLE_SEED, key: str = "block_id") -> DataFrame:
-    """``n`` rows by seeded hash: each task keeps its best ``n``, no sort of all rows."""
-    return rows.orderBy(seeded_hash(seed, key), key).limit(n)
+    """``n`` rows by seeded hash. For a small ``n`` each task keeps its best ``n``
+    and no rows are sorted; a large sample takes the rows ranked below ``n``."""
+    if n <= MAX_SMALL_SAMPLE:
+        return rows.orderBy(seeded_hash(seed, key), key).limit(n)
+    ranked = rank_rows(rows.withColumn("_h", seeded_hash(seed, key)), "_rank", hash_cells("_h"), ["_h", key])
+    return ranked.filter(F.col("_rank") < n).drop("_h", "_rank")
 
 
 def processed_ids(*outputs: DataFrame) -> DataFrame:
@@ -39,20 +45,24 @@ def processed_ids(*outputs: DataFrame) -> DataFrame:
     return union.filter("block_id IS NOT NULL").distinct()
 
 
-def remaining(sample: DataFrame, done: DataFrame) -> DataFrame:
-    """Rows of a small sample not processed yet.
+def remaining(sample: DataFrame, done: DataFrame, sample_size: int = fv.SAMPLE_SIZE) -> DataFrame:
+    """Rows of a sample not processed yet.
 
-    The earlier output may be huge and the sample is not, so the sample's ids go
-    to the output, and only ids that are in both come back.
+    The earlier output may be huge. When the sample is known to be small, its ids
+    go to the output, and only ids that are in both come back; otherwise the two
+    sides meet in an ordinary anti-join.
     """
+    if sample_size > MAX_SMALL_SAMPLE:
+        return sample.join(done.select("block_id"), "block_id", "left_anti")
     ids = sample.select("block_id")
     hit = done.join(F.broadcast(ids), "block_id", "left_semi").select("block_id").distinct()
     return sample.join(F.broadcast(hit), "block_id", "left_anti")
 
 
-def union_in_order(first: DataFrame, second: DataFrame, order: str) -> DataFrame:
+def union_in_order(first: DataFrame, second: DataFrame, order: str | Column) -> DataFrame:
     """Both files with ``source_order``: all of the first before the second."""
-    tag = lambda rows, i: rows.withColumn("source_order", F.struct(F.lit(i).alias("file"), F.col(order).alias("at")))
+    at = F.col(order) if isinstance(order, str) else order
+    tag = lambda rows, i: rows.withColumn("source_order", F.struct(F.lit(i).alias("file"), at.alias("at")))
     return tag(first, 0).unionByName(tag(second, 1))
 
 

@@ -28,22 +28,22 @@ def line_blocks(lines: DataFrame) -> DataFrame:
     return lines.select(tx.block_id(F.col("value")).alias("block_id")).filter("block_id IS NOT NULL")
 
 
-def events(lines: DataFrame, templates: list[Template]) -> DataFrame:
+def matched_events(marked: DataFrame) -> DataFrame:
     """Matched lines as occurrences: block, time, template ordinal, source position."""
-    return (
-        mark_lines(lines, templates)
-        .filter(F.col("ord").isNotNull())
-        .select(
-            "block_id",
-            tx.log_time(F.col("value")).alias("ts"),
-            F.col("ord").cast("smallint").alias("ord"),
-            "file_key",
-            "block_start",
-            "line_id",
-        )
+    return marked.filter(F.col("ord").isNotNull()).select(
+        "block_id",
+        tx.log_time(F.col("value")).alias("ts"),
+        F.col("ord").cast("smallint").alias("ord"),
+        "file_key",
+        "block_start",
+        "line_id",
     )
 
 
+def events(lines: DataFrame, templates: list[Template]) -> DataFrame:
+    return matched_events(mark_lines(lines, templates))
+
+
 def named_events(occurrences: DataFrame, templates: list[Template]) -> DataFrame:
     """Occurrences with event id and template text spelled out."""
     named = occurrences.withColumn("event_id", id_of(templates, F.col("ord").cast("int")))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LINE_CELL_BITS = 16
-HASH_CELL_CHARS = 4
+HASH_CELL_CHARS = (3, 6)
 
 
 def line_cells(line_id: str = "line_id") -> list[Column]:
@@ -34,9 +34,14 @@ def source_cells() -> list[Column]:
 SOURCE_ORDER = ("file_key", "block_start", "line_id")
 
 
+def source_order() -> Column:
+    return F.struct(*SOURCE_ORDER)
+
+
 def hash_cells(hash_column: str) -> list[Column]:
-    """Cells for an evenly spread hex digest: its first four digits."""
-    return [F.substring(hash_column, 1, HASH_CELL_CHARS)]
+    """Cells for an evenly spread hex digest: its first digits. 16**6 cells hold
+    some 60 000 rows each at 10**12 rows, and no table of sums is above 16**3 rows."""
+    return [F.substring(hash_column, 1, n) for n in HASH_CELL_CHARS]
 
 
 def running_totals(

@@ -246,7 +246,7 @@ def _done(spark: SparkSession, folder: str) -> DataFrame:
 @TRAINING.add(f"WITH {SAMPLE_SQL} SELECT block_id, anomaly_type FROM sample WHERE block_id NOT IN (SELECT block_id FROM done)")
 def resume_anti_join(spark: SparkSession, folder: str) -> DataFrame:
     sample = cu.sample_rows(_usable(spark, folder), n=200)
-    return cu.remaining(sample, _done(spark, folder)).select("block_id", "anomaly_type")
+    return cu.remaining(sample, _done(spark, folder), 200).select("block_id", "anomaly_type")
 
 
 LATENCY_TEXT_SQL = """CASE WHEN latency IS NULL THEN 'unknown'
