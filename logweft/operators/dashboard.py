@@ -48,7 +48,9 @@ def stats(history: DataFrame) -> DataFrame:
     )
 
 
-def running_stats(history: DataFrame, cells: Sequence[Column], order: Sequence[str | Column]) -> DataFrame:
+def running_stats(
+    history: DataFrame, cells: Sequence[Column], order: Sequence[str | Column], store: bool = False
+) -> DataFrame:
     """The totals as they stood after each entry, without one global window."""
     flag = lambda status: F.when(F.col("status") == status, 1).otherwise(0).cast("bigint")
     rows = running_totals(
@@ -62,6 +64,7 @@ def running_stats(history: DataFrame, cells: Sequence[Column], order: Sequence[s
             "healthy": flag("Normal"),
             "_latency_sum": F.col("latency"),
         },
+        store,
     )
     return rows.withColumn("avg_latency", F.col("_latency_sum") / F.col("total")).drop("_latency_sum")
 

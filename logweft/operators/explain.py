@@ -108,14 +108,16 @@ def sentence_count(text: Column) -> Column:
     return F.size(tx.sentences(text))
 
 
-def rotation(rows: DataFrame, cells: Sequence[Column], order: Sequence[str | Column]) -> DataFrame:
+def rotation(
+    rows: DataFrame, cells: Sequence[Column], order: Sequence[str | Column], store: bool = False
+) -> DataFrame:
     """Add ``rotation``: how often the same (type, sequence) came before, modulo 5.
 
     Equal short sequences are common, so a group may hold a large share of all
     rows; the ranking never puts a whole group into one task.
     """
     keyed = rows.withColumn("fingerprint", sq.fingerprint(F.col("sequence")))
-    ranked = rank_rows(keyed, "_nth", cells, order, ["anomaly_type", "fingerprint"])
+    ranked = rank_rows(keyed, "_nth", cells, order, ["anomaly_type", "fingerprint"], store)
     return ranked.withColumn("rotation", (F.col("_nth") % ROTATIONS).cast("int")).drop("_nth")
 
 
@@ -125,10 +127,15 @@ def sequence_features(rows: DataFrame) -> DataFrame:
 
 
 def explanations(
-    traces: DataFrame, types: DataFrame, cells: Sequence[Column], order: Sequence[str | Column]
+    traces: DataFrame,
+    types: DataFrame,
+    cells: Sequence[Column],
+    order: Sequence[str | Column],
+    store: bool = False,
 ) -> DataFrame:
-    """One explanation per valid trace. ``types`` is the small type dimension."""
-    numbered = sequence_features(rotation(traces, cells, order))
+    """One explanation per valid trace. ``types`` is the small type dimension;
+    ``store`` suits traces that are costly to derive, as they are read twice."""
+    numbered = sequence_features(rotation(traces, cells, order, store))
     told = numbered.join(F.broadcast(types), "anomaly_type").withColumns(
         {"_signals": signal_text(), "_normal": normal_text(), "_detail": detail_text()}
     )

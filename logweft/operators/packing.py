@@ -13,10 +13,14 @@ MAX_MESSAGES = 128
 
 
 def batches(
-    rows: DataFrame, cells: Sequence[Column], order: Sequence[str | Column], size: int = BATCH_SIZE
+    rows: DataFrame,
+    cells: Sequence[Column],
+    order: Sequence[str | Column],
+    size: int = BATCH_SIZE,
+    store: bool = False,
 ) -> DataFrame:
     """Number rows in input order and cut the numbering into batches."""
-    ranked = rank_rows(rows, "position", cells, order)
+    ranked = rank_rows(rows, "position", cells, order, store=store)
     return ranked.withColumn("batch_id", F.floor(F.col("position") / size))
 
 

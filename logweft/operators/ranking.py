@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from logweft.session import materialize
+
 LINE_CELL_BITS = 16
 HASH_CELL_CHARS = (3, 6)
 
@@ -50,38 +52,49 @@ def running_totals(
     cells: Sequence[Column],
     order: Sequence[str | Column],
     totals: dict[str, Column],
+    store: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums per group, in order.
 
     ``cells`` go from coarse to fine, are never null, and must follow ``order``:
-    a row in a lower cell sorts before every row of a higher one.
+    a row in a lower cell sorts before every row of a higher one. The input is
+    read twice, once for the sums of its cells; ``store`` writes it first and
+    suits inputs that are costly to derive.
     """
     keys = list(keys)
     levels = [f"_cell{i}" for i in range(len(cells))]
-    marked = df.withColumns({name: cell for name, cell in zip(levels, cells)})
-    offsets = None
-    for depth in range(1, len(levels) + 1):
-        cell_keys = keys + levels[:depth]
-        sums = marked.groupBy(*cell_keys).agg(*[F.sum(m).alias(f"_sum_{t}") for t, m in totals.items()])
+    measures = {f"_m_{t}": m for t, m in totals.items()}
+    marked = df.withColumns({name: cell for name, cell in zip(levels, cells)} | measures)
+    if store:
+        marked = materialize(marked, "ranked")
+
+    # Sums per cell, from the finest level up: each level reads the one below.
+    sums = [marked.groupBy(*keys, *levels).agg(*[F.sum(m).alias(m) for m in measures])]
+    for depth in range(len(levels) - 1, 0, -1):
+        sums.insert(0, sums[0].groupBy(*keys, *levels[:depth]).agg(*[F.sum(m).alias(m) for m in measures]))
+
+    # Start value of each cell: its siblings before it, plus its parent's start.
+    starts = None
+    for depth, level in enumerate(sums, start=1):
         outer = keys + levels[: depth - 1]
-        window = Window.partitionBy(*outer).orderBy(levels[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
-        level = sums.select(
-            *cell_keys,
-            *[F.coalesce(F.sum(f"_sum_{t}").over(window), F.lit(0)).alias(f"_off_{t}") for t in totals],
+        before = Window.partitionBy(*outer).orderBy(levels[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        here = level.select(
+            *keys, *levels[:depth], *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_start") for m in measures]
         )
-        if offsets is not None:
-            level = level.join(
-                offsets.withColumnsRenamed({f"_off_{t}": f"_base_{t}" for t in totals}), outer
-            ).select(
-                *cell_keys,
-                *[(F.col(f"_off_{t}") + F.col(f"_base_{t}")).alias(f"_off_{t}") for t in totals],
+        if starts is not None:
+            parent = starts.withColumnsRenamed({f"{m}_start": f"{m}_parent" for m in measures})
+            here = here.join(parent, outer).select(
+                *keys,
+                *levels[:depth],
+                *[(F.col(f"{m}_start") + F.col(f"{m}_parent")).alias(f"{m}_start") for m in measures],
             )
-        offsets = level
-    local = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = marked.withColumns({f"_run_{t}": F.sum(m).over(local) for t, m in totals.items()})
-    return summed.join(offsets, keys + levels).select(
+        starts = here
+
+    inside = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = marked.withColumns({f"{m}_run": F.sum(m).over(inside) for m in measures})
+    return summed.join(starts, keys + levels).select(
         *[F.col(f"`{c}`") for c in df.columns],
-        *[(F.col(f"_run_{t}") + F.col(f"_off_{t}")).alias(t) for t in totals],
+        *[(F.col(f"_m_{t}_run") + F.col(f"_m_{t}_start")).alias(t) for t in totals],
     )
 
 
@@ -91,9 +104,10 @@ def rank_rows(
     cells: Sequence[Column],
     order: Sequence[str | Column],
     keys: Sequence[str] = (),
+    store: bool = False,
 ) -> DataFrame:
     """Add a 0-based position within each group (or overall without keys)."""
-    ranked = running_totals(df, keys, cells, order, {name: F.lit(1).cast("bigint")})
+    ranked = running_totals(df, keys, cells, order, {name: F.lit(1).cast("bigint")}, store)
     return ranked.withColumn(name, F.col(name) - 1)
 
 

@@ -82,7 +82,7 @@ def _whole_blocks(occurrences: DataFrame) -> DataFrame:
     )
 
 
-def numbered_events(occurrences: DataFrame) -> DataFrame:
+def numbered_events(occurrences: DataFrame, store: bool = False) -> DataFrame:
     """Every event with its 0-based position in its block, for blocks of any size.
 
     The cells are a day, then one second of one stretch of source lines.
@@ -91,7 +91,7 @@ def numbered_events(occurrences: DataFrame) -> DataFrame:
     day = F.floor(F.col("_at") / 86_400)
     stretch = F.struct("_at", "file_key", "block_start", F.shiftright("line_id", LINE_CELL_BITS))
     order = ["_at", "file_key", "block_start", "line_id"]
-    return rank_rows(clocked, "pos", [day, stretch], order, ["block_id"])
+    return rank_rows(clocked, "pos", [day, stretch], order, ["block_id"], store)
 
 
 def _blocks_in_parts(occurrences: DataFrame, part_events: int) -> DataFrame:

@@ -13,21 +13,23 @@ from logweft.functions import text as tx
 MAX_TEMPLATES = 10_000
 
 
-# White space inside a template stands for any run of it. Java's classes leave out
-# the four separator controls, so they are named.
-_SPACE_ASCII = r"[\s\x1c-\x1f]+"
+# White space inside a template stands for any run of it, by Unicode's list.
+_SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
+# The only letters beyond ASCII that case folding sends to an ASCII letter.
+_FOLD_FROM, _FOLD_TO = "ſİıK", "siik"
 
 
 @dataclass(frozen=True)
 class Template:
-    """``pattern`` decides for any text. ``ascii_pattern`` decides the same for
-    a lower-cased ASCII line and is much faster (no case folding);
-    ``probe`` is the longest white-space-free literal, which a match contains."""
+    """``pattern`` ignores case and decides for any text. ``folded_pattern``
+    decides the same on a case-folded line, much faster; it is empty for a
+    template with letters beyond ASCII. ``probe`` is the longest
+    white-space-free literal in lower case, which any match contains."""
 
     event_id: str
     text: str
     pattern: str
-    ascii_pattern: str
+    folded_pattern: str
     probe: str
 
 
@@ -46,12 +48,11 @@ def compile_template(event_id: str, template: str, elastic: bool = True) -> Temp
         pattern = pattern[:-3]
     low = pattern.lower()
     if elastic:
-        pattern, low = pattern.replace(" ", _SPACE_ASCII), low.replace(" ", _SPACE_ASCII)
+        pattern, low = pattern.replace(" ", _SPACE), low.replace(" ", _SPACE)
     words = [word for piece in literals for word in piece.split()]
     probe = max(words, key=len, default="").lower()
-    if not text.isascii():
-        low, probe = "", ""
-    return Template(event_id.strip(), text, f"(?isU){pattern}", f"(?s){low}", probe)
+    folded = f"(?s){low}" if text.isascii() else ""
+    return Template(event_id.strip(), text, f"(?isU){pattern}", folded, probe)
 
 
 def vocabulary(rows: list[tuple[str, str]], elastic: bool = True) -> list[Template]:
@@ -87,27 +88,22 @@ def id_of(templates: list[Template], ord: Column) -> Column:
 def with_match(lines: DataFrame, templates: list[Template], when: Column, line: str = "value") -> DataFrame:
     """Add ``ord``: position of the first template found in the line, else null.
 
-    For ASCII lines the lower-cased text is searched, and a pattern runs only if
-    its probe word occurs. Other lines take the case-folding pattern. The
-    one-element ``explode`` keeps the optimizer from copying the chain into
-    every filter and expression that reads ``ord``.
+    The case-folded line is searched, and a pattern runs only if its probe word
+    occurs. The one-element ``explode`` keeps the optimizer from copying the
+    chain into every filter and expression that reads ``ord``.
     """
-    low, wide = F.col("_low"), F.col("_wide")
-    value = F.col(line)
+    value, folded = F.col(line), F.col("_folded")
 
     def found(t: Template) -> Column:
-        if not t.text.isascii():
+        if not t.folded_pattern:
             return value.rlike(t.pattern)
-        quick = F.contains(low, F.lit(t.probe)) & low.rlike(t.ascii_pattern)
-        return F.when(wide, value.rlike(t.pattern)).otherwise(quick)
+        return F.contains(folded, F.lit(t.probe)) & folded.rlike(t.folded_pattern)
 
     chain = [F.when(found(t), F.lit(i)) for i, t in enumerate(templates)]
     first = F.when(when, F.coalesce(*chain, F.lit(None).cast("int")))
-    return (
-        lines.withColumns({"_low": F.lower(value), "_wide": F.octet_length(value) != F.char_length(value)})
-        .select("*", F.explode(F.array(first)).alias("ord"))
-        .drop("_low", "_wide")
-    )
+    wide = F.octet_length(value) != F.char_length(value)
+    fold = F.lower(F.when(wide, F.translate(value, _FOLD_FROM, _FOLD_TO)).otherwise(value))
+    return lines.withColumn("_folded", fold).select("*", F.explode(F.array(first)).alias("ord")).drop("_folded")
 
 
 def match_event(line: Column, templates: list[Template]) -> Column:

@@ -215,7 +215,7 @@ SELECT id, count(*) OVER w AS total, count(*) FILTER (status = 'Anomalous') OVER
 FROM history WINDOW w AS (ORDER BY id ROWS UNBOUNDED PRECEDING)"""
 )
 def running_stats(spark: SparkSession, folder: str) -> DataFrame:
-    rows = db.running_stats(_history(spark, folder), line_cells("id"), ["id"])
+    rows = db.running_stats(_history(spark, folder), line_cells("id"), ["id"], store=True)
     return rows.select("id", "total", "anomalies", "healthy", "avg_latency")
 
 

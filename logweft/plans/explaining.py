@@ -134,7 +134,7 @@ SHORT_TOLD_SQL = told_sql(SHORT_SQL)
 
 def _explained(spark: SparkSession, folder: str, short: bool = False) -> DataFrame:
     rows = v.short_traces(spark, folder) if short else v.traces(spark, folder)
-    return ex.explanations(tr.valid_traces(rows), tr.anomaly_types(spark), line_cells(), ["line_id"])
+    return ex.explanations(tr.valid_traces(rows), tr.anomaly_types(spark), line_cells(), ["line_id"], store=True)
 
 
 _SIGNALS_SQL = "array_to_string(list_transform({0}, lambda p: p.pos || ':' || p.event), ',')"
@@ -189,7 +189,7 @@ def sequence_repeats(spark: SparkSession, folder: str) -> DataFrame:
 @EXPLAINING.add(f"WITH {SHORT_TOLD_SQL} SELECT block_id, rotation FROM told")
 def rotation_index(spark: SparkSession, folder: str) -> DataFrame:
     rows = tr.valid_traces(v.short_traces(spark, folder))
-    return ex.rotation(rows, line_cells(), ["line_id"]).select("block_id", "rotation")
+    return ex.rotation(rows, line_cells(), ["line_id"], store=True).select("block_id", "rotation")
 
 
 @EXPLAINING.add(f"WITH {TOLD_SQL} SELECT block_id, anomaly_type, array_to_string(sequence, ',') AS sequence, explanation FROM told")

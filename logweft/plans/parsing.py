@@ -100,7 +100,7 @@ SELECT block_id, line_id, event AS event_id, pos FROM numbered"""
 )
 def event_positions(spark: SparkSession, folder: str) -> DataFrame:
     """Place of every event in its block, by the route that holds for huge blocks."""
-    numbered = ss.numbered_events(v.occurrences(spark, folder))
+    numbered = ss.numbered_events(v.occurrences(spark, folder), store=True)
     return ln.named_events(numbered, v.templates()).select("block_id", "line_id", "event_id", "pos")
 
 

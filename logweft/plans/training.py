@@ -156,7 +156,7 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
         (n % 7 == 0).cast("int").alias("label"),
         F.col("first_seen.line_id").alias("line_id"),
     )
-    return pk.pack(pk.batches(rows, line_cells(), ["line_id"]), most=8)
+    return pk.pack(pk.batches(rows, line_cells(), ["line_id"], store=True), most=8)
 
 
 @TRAINING.add(

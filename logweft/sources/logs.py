@@ -45,7 +45,11 @@ def _plain(name: str) -> str:
 
 
 def stream_log(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """A growing folder of log files as a stream of lines, oldest file first."""
+    """A growing folder of log files as a stream of lines, oldest file first.
+
+    A stream has no row numbers: ``line_id`` is 0 until :func:`number_lines`
+    sets it inside ``foreachBatch``.
+    """
     return (
         spark.readStream.option("maxFilesPerTrigger", max_files)
         .text(folder)
@@ -53,6 +57,11 @@ def stream_log(spark: SparkSession, folder: str, max_files: int = 1000) -> DataF
             "value",
             F.col("_metadata.file_path").alias("file_key"),
             F.col("_metadata.file_block_start").alias("block_start"),
-            F.monotonically_increasing_id().alias("line_id"),
+            F.lit(0).cast("bigint").alias("line_id"),
         )
     )
+
+
+def number_lines(batch: DataFrame) -> DataFrame:
+    """Row ids for the lines of one micro-batch, straight from its scan."""
+    return batch.withColumn("line_id", F.monotonically_increasing_id())

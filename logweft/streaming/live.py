@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logweft.functions import text as tx
 from logweft.operators import lines as ln, sessions as ss
 from logweft.operators.templates import Template
+from logweft.sources import logs
 
 RECENT_LINES = 80
 
@@ -153,6 +154,17 @@ def append_once(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def store_occurrences(path: str, templates: list[Template]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer that numbers a batch of raw lines, parses it and
+    stores the occurrences, once per batch even when replayed."""
+    append = append_once(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append(ln.events(logs.number_lines(batch), templates), batch_id)
+
+    return write
+
+
 def append_new_blocks(path: str, key: str = "block_id") -> Callable[[DataFrame, int], None]:
     """As :func:`append_once`, leaving out keys stored by earlier batches."""
 
