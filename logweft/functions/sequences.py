@@ -52,27 +52,35 @@ def max_gap_before(events: Column, gaps: Column, wanted: list[str]) -> Column:
     return F.array_max(at)
 
 
-def time_insight(events: Column, gaps: Column, latency: Column) -> Column:
+def insight(length: Column, n_gaps: Column, cleanup_gap: Column, max_gap: Column, latency: Column) -> Column:
     """Which timing remark applies, or null. Total time outranks single gaps."""
-    has_gaps = F.size(gaps) > 1
+    has_gaps = n_gaps > 1
     return (
         F.when(latency < 5, "very_short")
-        .when((latency > 3600) & (F.size(events) >= 4), "very_long")
-        .when(has_gaps & (max_gap_before(events, gaps, fv.CLEANUP_EVENTS) > 60), "long_gap_before_cleanup")
-        .when(has_gaps & (F.array_max(gaps) > 120), "long_gap")
-        .when(has_gaps & (F.array_max(gaps) > 30), "moderate_gap")
+        .when((latency > 3600) & (length >= 4), "very_long")
+        .when(has_gaps & (cleanup_gap > 60), "long_gap_before_cleanup")
+        .when(has_gaps & (max_gap > 120), "long_gap")
+        .when(has_gaps & (max_gap > 30), "moderate_gap")
     )
 
 
+SHOWN = 3
+
+
 def features(events: Column, gaps: Column, latency: Column) -> dict[str, Column]:
-    """Named facts about a sequence, as columns to select in one pass."""
+    """Named facts about a sequence, as columns to select in one pass. Signal
+    lists hold the first few; their full counts stand beside them."""
     failures = members(events, fv.FAILURE_EVENTS)
+    context = members(events, fv.CONTEXT_EVENTS)
     first = F.get(failures, 0)["pos"]
     before = F.filter(F.slice(events, 1, F.coalesce(first, F.lit(0))), lambda e: e.isin(fv.NORMAL_BEFORE_FAILURE))
+    place = lambda event: F.nullif(F.array_position(events, event), F.lit(0)) - 1
     return {
         "length": F.size(events),
-        "failures": failures,
-        "context": members(events, fv.CONTEXT_EVENTS),
+        "n_failures": F.size(failures),
+        "failures": F.slice(failures, 1, SHOWN),
+        "n_context": F.size(context),
+        "context": F.slice(context, 1, SHOWN),
         "norm_cycles": pair_count(events, "E11", "E9"),
         "imm_inval": F.exists(pair_flags(events, "E26", "E23"), lambda hit: hit),
         "alloc_no_reg": F.array_contains(events, "E22") & ~F.array_contains(events, "E26"),
@@ -81,9 +89,11 @@ def features(events: Column, gaps: Column, latency: Column) -> dict[str, Column]
         "first_fail_pos": first,
         "last_fail_pos": F.get(failures, F.size(failures) - 1)["pos"],
         "pre_fail_normal": F.size(before),
-        "first_allocation": F.array_position(events, "E22") - 1,
-        "first_registration": F.array_position(events, "E26") - 1,
-        "time_insight": time_insight(events, gaps, latency),
+        "first_allocation": place("E22"),
+        "first_registration": place("E26"),
+        "time_insight": insight(
+            F.size(events), F.size(gaps), max_gap_before(events, gaps, fv.CLEANUP_EVENTS), F.array_max(gaps), latency
+        ),
     }
 
 

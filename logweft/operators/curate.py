@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logweft import fixed_values as fv
 from logweft.functions import sequences as sq, text as tx
 from logweft.operators.ranking import hash_cells, keep_first, rank_rows, seeded_hash
+from logweft.session import materialize
 
 MAX_SMALL_SAMPLE = 10_000
 
@@ -50,8 +51,10 @@ def remaining(sample: DataFrame, done: DataFrame, sample_size: int = fv.SAMPLE_S
 
     The earlier output may be huge. When the sample is known to be small, its ids
     go to the output, and only ids that are in both come back; otherwise the two
-    sides meet in an ordinary anti-join.
+    sides meet in an ordinary anti-join. The sample is read more than once, so it
+    is stored first.
     """
+    sample = materialize(sample, "sample")
     if sample_size > MAX_SMALL_SAMPLE:
         return sample.join(done.select("block_id"), "block_id", "left_anti")
     ids = sample.select("block_id")
@@ -78,12 +81,16 @@ def recovered_type(user: Column) -> Column:
     return F.when(has, tx.strip(F.regexp_extract(user, r"(?m)^Anomaly Type:(.*)$", 1))).otherwise("unknown")
 
 
-def split_rows(rows: DataFrame, key: str, validation: float = 0.1, seed: int = fv.SAMPLE_SEED) -> DataFrame:
+def split_rows(
+    rows: DataFrame, key: str, validation: float = 0.1, seed: int = fv.SAMPLE_SEED, store: bool = False
+) -> DataFrame:
     """Seeded shuffle position and an exact train/val cut.
 
     Positions come from hash-prefix cells, so the shuffle of all rows is a
     spread-out partial sort rather than one ordered partition.
     """
+    if store:
+        rows = materialize(rows, "to-split")
     hashed = rows.withColumn("_h", seeded_hash(seed, key))
     ranked = rank_rows(hashed, "position", hash_cells("_h"), ["_h"])
     n_train = rows.agg(F.floor(F.count(F.lit(1)) * F.lit(1 - validation))).scalar()

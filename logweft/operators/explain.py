@@ -18,11 +18,11 @@ def _phrases() -> Column:
     return F.create_map(*[F.lit(item) for pair in fv.EVENT_PHRASES.items() for item in pair])
 
 
-def _listed(found: Column, more: tuple[str, str]) -> Column:
-    """The first three of a list of signals, and how many are left."""
-    extra = F.size(found) - 3
+def _listed(found: Column, count: Column, more: tuple[str, str]) -> Column:
+    """The first signals, and how many are left."""
+    extra = count - sq.SHOWN
     shown = F.transform(
-        F.slice(found, 1, 3),
+        found,
         lambda s: tx.fill(fv.SIGNAL_AT, phrase=F.element_at(_phrases(), s["event"]), pos=s["pos"]),
     )
     rest = (
@@ -36,8 +36,8 @@ def _listed(found: Column, more: tuple[str, str]) -> Column:
 def signal_text() -> Column:
     """What gives the anomaly away: failures, else context signals, else shape."""
     return (
-        F.when(F.size("failures") > 0, _listed(F.col("failures"), fv.MORE_FAILURES))
-        .when(F.size("context") > 0, _listed(F.col("context"), fv.MORE_CONTEXT))
+        F.when(F.col("n_failures") > 0, _listed(F.col("failures"), F.col("n_failures"), fv.MORE_FAILURES))
+        .when(F.col("n_context") > 0, _listed(F.col("context"), F.col("n_context"), fv.MORE_CONTEXT))
         .when(F.col("alloc_no_reg"), fv.NO_REGISTRATION)
         .when(F.col("imm_inval"), fv.INVALIDATED)
         .otherwise(fv.ODD_ORDER)
@@ -55,7 +55,6 @@ def detail_text() -> Column:
     """One further fact, or null. The first rule that applies decides, even when
     it has nothing to say (failures side by side)."""
     c = F.col
-    n_failures = F.size("failures")
     span = F.when(
         c("last_fail_pos") > c("first_fail_pos") + 1,
         tx.fill(fv.DETAIL_SPAN, a=c("first_fail_pos"), b=c("last_fail_pos"), n=c("length")),
@@ -67,7 +66,7 @@ def detail_text() -> Column:
             tx.fill(fv.DETAIL_ROLLBACK, a=c("first_registration"), b=c("first_registration") + 1),
         )
         .when(c("alloc_no_reg"), tx.fill(fv.DETAIL_NOT_COMPLETED, a=c("first_allocation")))
-        .when(n_failures >= 2, span)
+        .when(c("n_failures") >= 2, span)
         .when(
             (c("norm_cycles") == 0) & (c("pre_fail_normal") == 0) & (c("length") <= 3),
             tx.fill(fv.DETAIL_SHORT, n=c("length")),

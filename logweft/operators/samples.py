@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logweft import fixed_values as fv
 from logweft.functions import text as tx
 from logweft.operators.ranking import hash_cells, keep_first, rank_rows, seeded_hash
+from logweft.session import materialize
 
 
 def join_messages(messages: Column) -> Column:
@@ -115,7 +116,7 @@ def balanced(samples: DataFrame, plan: BalancePlan, seed: int = 42, id_column: s
     ``copy``, ``tile`` and ``again`` tell repeated rows apart; ``shuffle_key`` is
     the seeded order, to sort by only where order matters.
     """
-    combined = oversample(samples, plan, seed, id_column)
+    combined = materialize(oversample(samples, plan, seed, id_column), "oversampled")
     ids = [id_column, "copy", "tile"]
     whole, extra = divmod(plan.total, plan.combined)
     tiled = combined.withColumn("tile", F.explode(F.sequence(F.lit(1), F.lit(max(whole, 1)))))

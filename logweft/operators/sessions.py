@@ -44,13 +44,15 @@ def _names(templates: list[Template], ords: Column) -> Column:
     return F.transform(ords, lambda i: F.get(ids, i.cast("int")))
 
 
-def _gaps(clocks: Column) -> Column:
-    """Seconds since the previous event; 0.0 for the first and where a time is missing."""
+def _gaps(clocks: Column, before: Column) -> Column:
+    """Seconds since the previous event; 0.0 where there is none or a time is
+    missing. ``before`` is the time in front of the first event."""
     timed = F.transform(clocks, lambda c: F.nullif(c, F.lit(_NO_TIME)))
     return F.transform(
         clocks,
-        lambda c, i: F.when(i == 0, 0.0).otherwise(
-            F.coalesce((F.get(timed, i) - F.get(timed, i - 1)).cast("double"), F.lit(0.0))
+        lambda c, i: F.coalesce(
+            (F.get(timed, i) - F.when(i == 0, F.nullif(before, F.lit(_NO_TIME))).otherwise(F.get(timed, i - 1))).cast("double"),
+            F.lit(0.0),
         ),
     )
 
@@ -76,6 +78,7 @@ def _whole_blocks(occurrences: DataFrame) -> DataFrame:
         "n_events",
         F.col("_ev.ord").alias("_ords"),
         F.col("_ev.at").alias("_at"),
+        F.lit(None).cast("bigint").alias("_before"),
         _latency(F.col("_first"), F.col("_last"), F.col("_timed")).alias("latency"),
         F.col("_first").alias("first_ts"),
         "first_seen",
@@ -95,12 +98,17 @@ def numbered_events(occurrences: DataFrame, store: bool = False) -> DataFrame:
 
 
 def _blocks_in_parts(occurrences: DataFrame, part_events: int) -> DataFrame:
-    numbered = numbered_events(occurrences).withColumn("part", F.floor(F.col("pos") / part_events))
+    """Rows of at most ``part_events`` events. Groups are (block, part), so a hot
+    block is spread; its totals come from a partial aggregate."""
+    numbered = materialize(numbered_events(occurrences), "numbered").withColumn("part", F.floor(F.col("pos") / part_events))
     parts = numbered.groupBy("block_id", "part").agg(
         F.array_sort(F.collect_list(F.struct("pos", "ord", F.col("_at").alias("at")))).alias("_ev")
     )
+    tails = numbered.filter(F.col("pos") % part_events == part_events - 1).select(
+        "block_id", (F.col("part") + 1).alias("part"), F.col("_at").alias("_before")
+    )
     stats = occurrences.groupBy("block_id").agg(*_stats())
-    return parts.join(stats, "block_id").select(
+    return parts.join(tails, ["block_id", "part"], "left").join(stats, "block_id").select(
         "block_id",
         "part",
         F.ceil(F.col("n_events") / part_events).alias("parts"),
@@ -108,6 +116,7 @@ def _blocks_in_parts(occurrences: DataFrame, part_events: int) -> DataFrame:
         "n_events",
         F.col("_ev.ord").alias("_ords"),
         F.col("_ev.at").alias("_at"),
+        "_before",
         _latency(F.col("_first"), F.col("_last"), F.col("_timed")).alias("latency"),
         F.col("_first").alias("first_ts"),
         "first_seen",
@@ -151,7 +160,7 @@ def sessions(
         _names(templates, F.col("_ords")).alias("sequence"),
     ]
     if with_gaps:
-        columns.append(_gaps(F.col("_at")).alias("gaps"))
+        columns.append(_gaps(F.col("_at"), F.col("_before")).alias("gaps"))
     result = rows.select(*columns, "latency", "first_ts", "first_seen")
     if with_text:
         result = result.withColumn("text_sequence", text_sequence(templates, F.col("sequence")))

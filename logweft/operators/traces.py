@@ -125,7 +125,8 @@ def session_window_rows(
 
     Each part borrows the first ``window - 1`` events of the following parts, so
     a window that crosses a boundary is cut once, by the part it starts in. The
-    borrowed heads are short rows joined on (block, part).
+    borrowed heads are short rows joined on (block, part). ``session_rows`` is
+    read three times: pass a stored table.
     """
     whole = session_rows.filter("parts = 1").withColumn("_tail", F.array().cast("array<string>"))
     split = session_rows.filter("parts > 1")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logweft import fixed_values as fv
 from logweft.functions import sequences as sq
-from logweft.operators import explain as ex, quality as ql, traces as tr
+from logweft.operators import blocks as bl, explain as ex, quality as ql, traces as tr
 from logweft.operators.ranking import line_cells
 from logweft.plans import views as v
 from logweft.plans.registry import Registry
 from logweft.plans.traces import VALID_SQL
+from logweft.session import materialize
 
 EXPLAINING = Registry()
 
@@ -142,8 +143,8 @@ _SIGNALS_SQL = "array_to_string(list_transform({0}, lambda p: p.pos || ':' || p.
 
 @EXPLAINING.add(
     f"""WITH {FEATURES_SQL}
-SELECT block_id, length, {_SIGNALS_SQL.format("failures")} AS failures, {_SIGNALS_SQL.format("context")} AS context,
-       norm_cycles, imm_inval, alloc_no_reg, serve_count, lookup_misses, first_fail_pos, last_fail_pos, pre_fail_normal, time_insight
+SELECT block_id, length, len(failures) AS n_failures, len(context) AS n_context,
+       {_SIGNALS_SQL.format("failures[1:3]")} AS failures, {_SIGNALS_SQL.format("context[1:3]")} AS context, norm_cycles, imm_inval, alloc_no_reg, serve_count, lookup_misses, first_fail_pos, last_fail_pos, pre_fail_normal, time_insight
 FROM feats"""
 )
 def sequence_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,10 +152,34 @@ def sequence_features(spark: SparkSession, folder: str) -> DataFrame:
     placed = lambda name: F.array_join(
         F.transform(name, lambda p: F.concat(p["pos"].cast("string"), F.lit(":"), p["event"])), ","
     ).alias(name)
-    plain = "norm_cycles imm_inval alloc_no_reg serve_count lookup_misses first_fail_pos last_fail_pos pre_fail_normal time_insight"
+    plain = "n_failures n_context norm_cycles imm_inval alloc_no_reg serve_count lookup_misses first_fail_pos last_fail_pos pre_fail_normal time_insight"
     return rows.select("block_id", "length", placed("failures"), placed("context"), *plain.split())
 
 
+_SESSIONS_AS_VALID = f"{v.SESSIONS_SQL}, valid AS (SELECT *, list_transform(gaps, lambda g: g::DOUBLE) AS time_interval FROM sessions)"
+_FACT_NAMES = (
+    "n_failures n_context norm_cycles imm_inval alloc_no_reg serve_count lookup_misses first_fail_pos "
+    "last_fail_pos pre_fail_normal first_allocation first_registration time_insight"
+)
+
+
+@EXPLAINING.add(
+    f"""WITH {features_sql(_SESSIONS_AS_VALID)}
+SELECT block_id, length, {_SIGNALS_SQL.format("failures[1:3]")} AS failures, {_SIGNALS_SQL.format("context[1:3]")} AS context,
+       len(failures) AS n_failures, len(context) AS n_context, norm_cycles, imm_inval, alloc_no_reg, serve_count, lookup_misses,
+       first_fail_pos, last_fail_pos, pre_fail_normal, nullif(first_allocation, -1) AS first_allocation,
+       nullif(first_registration, -1) AS first_registration, time_insight
+FROM feats"""
+)
+def block_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same facts per block of the log, from sessions kept in parts of six events."""
+    rows = bl.block_facts(materialize(v.sessions(spark, folder, part_events=6, with_gaps=True), "sessions"))
+    placed = lambda name: F.array_join(
+        F.transform(name, lambda p: F.concat(p["pos"].cast("string"), F.lit(":"), p["event"])), ","
+    ).alias(name)
+    return rows.select("block_id", "length", placed("failures"), placed("context"), *_FACT_NAMES.split())
+
+
 @EXPLAINING.add(
     f"""WITH {VALID_SQL},
 spread AS (SELECT block_id, unnest(sequence) AS event, unnest(range(0, len(sequence))) AS pos FROM valid)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from logweft.operators import traces as tr
 from logweft.plans import parsing, views as v
 from logweft.plans.registry import Registry
+from logweft.session import materialize
 
 TRACES = Registry()
 
@@ -124,7 +125,7 @@ SELECT block_id, start // 2 AS win_ix, array_to_string(sequence[start + 1 : star
 )
 def session_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Windows cut from sessions kept in parts of six events."""
-    rows = v.sessions(spark, folder, part_events=6)
+    rows = materialize(v.sessions(spark, folder, part_events=6), "sessions")
     cut = tr.session_window_rows(rows, v.templates(), window=4, stride=2)
     return cut.select("block_id", "win_ix", F.array_join("events", ",").alias("events"))
 

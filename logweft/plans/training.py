@@ -339,7 +339,7 @@ placed AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id)) - 1
 SELECT doc_id, position, CASE WHEN position < floor((SELECT count(*) FROM firsts) * 0.9) THEN 'train' ELSE 'val' END AS split FROM placed"""
 )
 def train_val_split(spark: SparkSession, folder: str) -> DataFrame:
-    return cu.split_rows(_corpus(spark, folder).select("doc_id"), "doc_id")
+    return cu.split_rows(_corpus(spark, folder).select("doc_id"), "doc_id", store=True)
 
 
 @TRAINING.add(

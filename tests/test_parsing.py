@@ -118,16 +118,29 @@ def test_huge_block_in_parts_equals_one_row(spark, monkeypatch, limit):
     occurrences = events_df(spark, hot_rows())
     whole = {r.block_id: r for r in ss.sessions(occurrences, v.templates(), with_gaps=True).collect()}
     parts = ss.sessions(occurrences, v.templates(), part_events=64, with_gaps=True).orderBy("block_id", "part").collect()
-    glued = {}
+    glued, gaps = {}, {}
     for r in parts:
         assert len(r.sequence) <= 64 and r.first_pos == len(glued.get(r.block_id, []))
         assert (r.n_events, r.latency, r.first_seen) == (
             whole[r.block_id].n_events, whole[r.block_id].latency, whole[r.block_id].first_seen)
         glued.setdefault(r.block_id, []).extend(r.sequence)
+        gaps.setdefault(r.block_id, []).extend(r.gaps)
+    assert gaps == {b: r.gaps for b, r in whole.items()}
     assert glued == {b: r.sequence for b, r in whole.items()}
     assert max(r.parts for r in parts) > 20
 
 
+def test_facts_of_parts_equal_facts_of_whole_blocks(spark):
+    from logweft.operators import blocks as bl
+
+    occurrences = events_df(spark, hot_rows())
+    facts = lambda n: sorted(
+        (tuple(r) for r in bl.block_facts(ss.sessions(occurrences, v.templates(), part_events=n, with_gaps=True)).collect()), key=repr)
+    whole = facts(100_000)
+    assert whole == facts(50)
+    assert whole == facts(7)
+
+
 def test_repartitioning_changes_nothing(spark):
     occurrences = events_df(spark, hot_rows(1500))
     key = lambda df: sorted((r.block_id, r.sequence, r.latency) for r in df.collect())
