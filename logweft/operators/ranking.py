@@ -56,8 +56,8 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums per group, in order.
 
-    ``cells`` go from coarse to fine, are never null, and must follow ``order``:
-    a row in a lower cell sorts before every row of a higher one. The input is
+    ``cells`` go from coarse to fine and must follow ``order``: a row in a lower
+    cell sorts before every row of a higher one. Keys and cells are never null. The input is
     read twice, once for the sums of its cells; ``store`` writes it first and
     suits inputs that are costly to derive.
     """

@@ -57,7 +57,7 @@ feats AS (
 
 
 FEATURES_SQL = features_sql(VALID_SQL)
-SHORT_SQL = features_sql(VALID_SQL.replace(v.TRACES_SQL, v.SHORT_TRACES_SQL))
+DAILY_SQL = features_sql(VALID_SQL.replace(v.TRACES_SQL, v.DAILY_TRACES_SQL))
 
 # One form of each kind of text, written with SQL replace().
 
@@ -130,11 +130,11 @@ told AS (
 
 
 TOLD_SQL = told_sql(FEATURES_SQL)
-SHORT_TOLD_SQL = told_sql(SHORT_SQL)
+DAILY_TOLD_SQL = told_sql(DAILY_SQL)
 
 
-def _explained(spark: SparkSession, folder: str, short: bool = False) -> DataFrame:
-    rows = v.short_traces(spark, folder) if short else v.traces(spark, folder)
+def _explained(spark: SparkSession, folder: str, daily: bool = False) -> DataFrame:
+    rows = v.daily_traces(spark, folder) if daily else v.traces(spark, folder)
     return ex.explanations(tr.valid_traces(rows), tr.anomaly_types(spark), line_cells(), ["line_id"], store=True)
 
 
@@ -211,9 +211,9 @@ def sequence_repeats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@EXPLAINING.add(f"WITH {SHORT_TOLD_SQL} SELECT block_id, rotation FROM told")
+@EXPLAINING.add(f"WITH {DAILY_TOLD_SQL} SELECT block_id, rotation FROM told")
 def rotation_index(spark: SparkSession, folder: str) -> DataFrame:
-    rows = tr.valid_traces(v.short_traces(spark, folder))
+    rows = tr.valid_traces(v.daily_traces(spark, folder))
     return ex.rotation(rows, line_cells(), ["line_id"], store=True).select("block_id", "rotation")
 
 
@@ -224,10 +224,10 @@ def explanations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@EXPLAINING.add(f"WITH {SHORT_TOLD_SQL} SELECT block_id, anomaly_type, explanation FROM told")
-def short_explanations(spark: SparkSession, folder: str) -> DataFrame:
-    """Explanations of traces cut to their first event, where sequences repeat."""
-    return _explained(spark, folder, short=True).select("block_id", "anomaly_type", "explanation")
+@EXPLAINING.add(f"WITH {DAILY_TOLD_SQL} SELECT block_id, anomaly_type, explanation FROM told")
+def daily_explanations(spark: SparkSession, folder: str) -> DataFrame:
+    """Explanations of daily traces, where sequences repeat."""
+    return _explained(spark, folder, daily=True).select("block_id", "anomaly_type", "explanation")
 
 
 # -- quality ---------------------------------------------------------------
@@ -282,9 +282,9 @@ def type_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     return ql.breakdown(tr.valid_traces(v.traces(spark, folder)))
 
 
-@EXPLAINING.add(f"WITH {SHORT_TOLD_SQL} SELECT {_SENTENCES_SQL} AS sentences, count(*) AS n FROM told GROUP BY ALL")
+@EXPLAINING.add(f"WITH {DAILY_TOLD_SQL} SELECT {_SENTENCES_SQL} AS sentences, count(*) AS n FROM told GROUP BY ALL")
 def sentence_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    return ql.sentence_distribution(_explained(spark, folder, short=True))
+    return ql.sentence_distribution(_explained(spark, folder, daily=True))
 
 
 @EXPLAINING.add(
@@ -304,10 +304,10 @@ def first_samples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @EXPLAINING.add(
-    f"""WITH {SHORT_TOLD_SQL},
+    f"""WITH {DAILY_TOLD_SQL},
 winner AS (SELECT anomaly_type, sequence FROM told WHERE rotation = 2 ORDER BY line_id LIMIT 1)
 SELECT anomaly_type, rotation, arg_min(explanation[1:180], line_id) AS preview
 FROM told SEMI JOIN winner USING (anomaly_type, sequence) WHERE rotation < 3 GROUP BY ALL"""
 )
 def rotation_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return ql.rotation_sample(_explained(spark, folder, short=True), "line_id")
+    return ql.rotation_sample(_explained(spark, folder, daily=True), "line_id")

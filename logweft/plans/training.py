@@ -217,12 +217,12 @@ def _usable(spark: SparkSession, folder: str, rows: DataFrame | None = None) ->
 
 
 @TRAINING.add(
-    f"""WITH {SAMPLED_SQL.replace(v.TRACES_SQL, v.SHORT_TRACES_SQL)}
+    f"""WITH {SAMPLED_SQL.replace(v.TRACES_SQL, v.DAILY_TRACES_SQL)}
 SELECT md5(array_to_string(sequence, ',')) AS fingerprint, arg_min(block_id, line_id) AS block_id,
        arg_min(anomaly_type, line_id) AS anomaly_type FROM sampled GROUP BY 1"""
 )
 def sequence_fingerprint_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = tr.sampled_traces(v.short_traces(spark, folder))
+    rows = tr.sampled_traces(v.daily_traces(spark, folder))
     return cu.first_of_each_sequence(rows, "line_id").select("fingerprint", "block_id", "anomaly_type")
 
 

@@ -130,12 +130,13 @@ def traces(spark: SparkSession, folder: str) -> DataFrame:
     return traces_of(sessions(spark, folder, with_gaps=True))
 
 
-def short_traces(spark: SparkSession, folder: str) -> DataFrame:
-    """Only the first event of each block, so that many traces are equal."""
-    rows = sessions(spark, folder, with_gaps=True).filter("part = 0")
-    return traces_of(
-        rows.withColumns({"sequence": F.slice("sequence", 1, 1), "gaps": F.slice("gaps", 1, 1)})
-    )
+def daily_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """Traces of one block and day each (day 0 for events without a time): short
+    ones, of which many are equal. The number is block * 100 + day."""
+    day = F.coalesce(F.dayofmonth("ts"), F.lit(0))
+    number = _block_number() * 100 + day
+    daily = occurrences(spark, folder).withColumn("block_id", F.concat(F.lit("blk_"), number.cast("string")))
+    return traces_of(ss.sessions(daily, templates(), with_gaps=True))
 
 
 # -- SQL side --------------------------------------------------------------
@@ -206,21 +207,19 @@ sessions AS (
   FROM gapped GROUP BY block_id)"""
 
 
-def _traces_sql(sequence: str, gaps: str) -> str:
-    return f"""
+TRACES_SQL = f"""{SESSIONS_SQL},
+traces AS (
   SELECT block_id AS BlockId,
          CASE WHEN n % 3 = 0 THEN 'Fail' ELSE 'Success' END AS Label,
          {_sql_list(TYPES)}[(n % {len(TYPES)}) + 1] AS Type,
-         CASE WHEN n % 41 = 0 THEN '[]' ELSE '[' || array_to_string({sequence}, ',') || ']' END AS Features,
+         CASE WHEN n % 41 = 0 THEN '[]' ELSE '[' || array_to_string(sequence, ',') || ']' END AS Features,
          CASE WHEN n % 37 = 0 THEN '[0.0, oops'
-              ELSE '[' || array_to_string(list_transform({gaps}, lambda g: g || '.0'), ', ') || ']' END AS TimeInterval,
+              ELSE '[' || array_to_string(list_transform(gaps, lambda g: g || '.0'), ', ') || ']' END AS TimeInterval,
          CASE WHEN n % 29 = 0 THEN '' ELSE latency::BIGINT || '.0' END AS Latency,
          first_line AS line_id
-  FROM sessions"""
-
-
-TRACES_SQL = f"""{SESSIONS_SQL},
-traces AS ({_traces_sql("sequence", "gaps")})"""
+  FROM sessions)"""
 
-SHORT_TRACES_SQL = f"""{SESSIONS_SQL},
-traces AS ({_traces_sql("sequence[1:1]", "gaps[1:1]")})"""
+DAILY_TRACES_SQL = TRACES_SQL.replace(
+    "SELECT block_id, ts, event, line_id FROM marked",
+    "SELECT 'blk_' || (substr(block_id, 5)::BIGINT * 100 + coalesce(day(ts), 0)) AS block_id, ts, event, line_id FROM marked",
+)

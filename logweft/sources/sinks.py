@@ -26,7 +26,7 @@ def write_contents_csv(rows: DataFrame, path: str) -> None:
 def write_explanations(rows: DataFrame, path: str, form: str = "json") -> None:
     if form == "csv":
         flat = rows.withColumn("sequence", tx.python_list(F.col("sequence")))
-        flat.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', multiLine=True)
+        flat.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
     else:
         rows.write.mode("overwrite").format(form).save(path)
 
