@@ -60,8 +60,15 @@ def log_time(line: Column) -> Column:
     )
 
 
+def clock_seconds(ts: Column) -> Column:
+    """Whole seconds since 1970 by the clock reading itself: the session's time
+    zone and its daylight saving play no part."""
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def seconds_between(first: Column, last: Column) -> Column:
-    return F.timestamp_diff("SECOND", first, last).cast("double")
+    return (clock_seconds(last) - clock_seconds(first)).cast("double")
 
 
 def keyword_events(line: Column) -> Column:

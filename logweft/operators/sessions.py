@@ -22,7 +22,7 @@ _NO_TIME = 9223372036854775807
 
 def _clock(ts: Column) -> Column:
     """Seconds as the sort value; missing time goes last."""
-    return F.coalesce(F.unix_seconds(ts.cast("timestamp")), F.lit(_NO_TIME))
+    return F.coalesce(tx.clock_seconds(ts), F.lit(_NO_TIME))
 
 
 def _latency(first: Column, last: Column, timed: Column) -> Column:

@@ -169,6 +169,20 @@ def test_line_ends_and_bad_bytes(spark, tmp_path):
     assert [r[0] for r in rows.select(tx.clean_line(F.col("value"))).collect()] == ["one", "two", "three", "", "fo�ur"]
 
 
+def test_time_zone_and_daylight_saving_play_no_part(spark):
+    texts = [f"240310 {h:02d}3000 Verification succeeded for blk_1" for h in (1, 2, 3)]
+    texts += ["241103 003000 Reopen Block blk_2", "241103 023000 Reopen Block blk_2"]
+    run = lambda: sorted(
+        (r.block_id, r.sequence, r.latency) for r in ss.sessions(ln.events(lines_df(spark, texts), v.templates()), v.templates()).collect())
+    utc = run()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert run() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [r[2] for r in utc] == [7200.0, 7200.0]
+
+
 def test_event_matrix(spark):
     rows = ss.event_matrix(events_df(spark, [("a", 1, 0), ("a", 2, 0), ("b", 1, 29)]), v.templates()).collect()
     assert {r.block_id: (r.E1, r.E30, r.E5) for r in rows} == {"a": (2, 0, 0), "b": (0, 1, 0)}
