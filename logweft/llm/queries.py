@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweft.llm import bpe, mixing, quality, tokens
+from logweft.llm import bpe, mixing, quality, simhash, tokens
 from logweft.llm.common import bucket_of, table
 
 QUERIES: dict = {}
@@ -26,6 +26,11 @@ def _judged(scored: DataFrame, held_out: Column) -> DataFrame:
     )
 
 
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
