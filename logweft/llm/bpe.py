@@ -33,7 +33,7 @@ from logweft.llm.common import text_bytes, values
 #: White space as the pattern's engine means it (Unicode White_Space). Fixed values.
 SPACE = r"\t-\r \x85\xa0  -     　"
 MOST_STATES = 60_000  # transducer states that a worker builds
-MOST_WORDS = 250_000  # remembered words of a worker, in two generations
+MOST_WORDS = 700_000  # remembered words of a worker, in two generations
 OUT_BYTES = 8 << 20  # text bytes per output batch
 
 Ranks = dict[bytes, int]
