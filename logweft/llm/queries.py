@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweft.llm import bpe, mixing, quality, simhash, substrings, tokens
+from logweft.llm import bpe, mixing, quality, simhash, substrings, tokens, winnow
 from logweft.llm.common import bucket_of, table
 
 QUERIES: dict = {}
@@ -31,6 +31,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_and_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"))
