@@ -24,8 +24,8 @@ from logweft.session import new_folder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-MOST_WORDS = 500_000  # remembered words of a worker, in two generations
-OUT_BYTES = 8 << 20  # text bytes per batch
+MOST_WORDS = 900_000  # remembered words of a worker, in two generations
+OUT_BYTES = 2 << 20  # text bytes per batch
 MARK = "|"  # stands between words that are encoded together
 SCHEMA = "doc_id bigint, shard int, place bigint, start_in_shard bigint, n_tokens bigint, ids array<int>"
 
