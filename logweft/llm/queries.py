@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweft.llm import bpe, mixing, quality, simhash, substrings, tokens, winnow
+from logweft.llm import bpe, mixing, quality, simhash, substrings, tokens, toxicity, winnow
 from logweft.llm.common import bucket_of, table
 
 QUERIES: dict = {}
@@ -41,6 +41,12 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _judged(toxicity.toxicity(docs, labels, bucket_of("doc_id", 5) != 0), bucket_of("doc_id", 5) == 0)
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
