@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweft.llm import bpe, mixing, quality, simhash, substrings, tokens, toxicity, winnow
+from logweft.llm import bpe, mixing, ppm, quality, simhash, substrings, tokens, toxicity, winnow
 from logweft.llm.common import bucket_of, table
 
 QUERIES: dict = {}
@@ -31,6 +31,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = bucket_of("doc_id", 5)
+    return ppm.scored(table(spark, sf_dir, "documents"), learn_from=remainder != 1, held_out=remainder == 1)
+
+
 @query
 def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_and_next(table(spark, sf_dir, "documents"))
