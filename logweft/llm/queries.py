@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweft.llm import bpe, mixing, ppm, quality, simhash, substrings, tokens, toxicity, winnow
+from logweft.llm import bpe, mixing, multiindex, ppm, quality, simhash, substrings, tokens, toxicity, winnow
 from logweft.llm.common import bucket_of, table
 
 QUERIES: dict = {}
@@ -66,6 +66,11 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op7_mix"] = mixing.taken_sql()
 
 
+@query
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
