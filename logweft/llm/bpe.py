@@ -371,6 +371,28 @@ def decode(encoded: DataFrame, path: str, keep: list[str] = ["doc_id"]) -> DataF
     return rows.mapInArrow(step, f"{kinds}, text string")
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, keep: list[str] = ["doc_id"]) -> DataFrame:
+    """``keep`` columns, ``n_tokens``, ``ids``, and whether decoding gives the text's bytes again."""
+    content = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())
+    rows, kinds = _rows(docs, keep)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, _ = _tokens(content.value)
+        for batch in encoded_batches(batches, content.value, pattern, [*keep, "_text"]):
+            column, texts = batch.column(len(keep) + 1), values(batch, "_text")
+            offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            same = [
+                decode_bytes(flat[a:b].tolist(), tokens) == text for a, b, text in zip(offsets, offsets[1:], texts)
+            ]
+            kept = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(np.diff(offsets).astype(np.int64)), column, pa.array(same, pa.bool_())],
+                names=[*keep, "n_tokens", "ids", "round_trip"],
+            )
+
+    return rows.mapInArrow(step, f"{kinds}, n_tokens bigint, ids array<int>, round_trip boolean")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str] = ["doc_id"]) -> DataFrame:
     """Encode, decode the ids and return counts and digests, in one pass."""
     content = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())

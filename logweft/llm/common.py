@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -43,7 +41,13 @@ def keyed(docs: DataFrame, columns: list[str], key: str = "row_key") -> DataFram
     return materialize(rows.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
-def map_batches(
-    df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(step, schema)
+def boxed(docs: DataFrame) -> DataFrame:
+    """``doc`` (the whole row), ``doc_id`` and ``text``: other columns can have any name."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
+
+
+def unboxed(rows: DataFrame, text: Column | None = None) -> DataFrame:
+    """The rows of ``doc`` again; a new ``text`` also sets ``n_chars`` where there is one."""
+    new = {} if text is None else {"text": text, "n_chars": F.char_length(text).cast("bigint")}
+    names = rows.schema["doc"].dataType.names
+    return rows.select(*[(new[c] if c in new else F.col("doc")[c]).alias(c) for c in names])

@@ -15,9 +15,9 @@ order, so a source with a third of all rows is spread like the others.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logweft.llm.common import WORD
+from logweft.llm.common import WORD, boxed, keyed, unboxed
 from logweft.operators.ranking import hash_cells, running_totals
 from logweft.session import materialize
 
@@ -28,15 +28,16 @@ WEIGHTS = (1, 2, 3)  # of the sources in code-point order, repeating
 SEED = 20
 
 
-def sized_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """A stored row per document: its words, its source's key and its seeded order."""
+def sized_documents(docs: DataFrame, seed: int = SEED, key: Column | None = None) -> DataFrame:
+    """A stored row per document: its words, its source's key and its seeded order.
+    ``key`` is a unique long, by default a new number."""
     return materialize(
         docs.select(
             "doc_id",
             F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("source_key"),
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
             F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("order_hash"),
-            F.monotonically_increasing_id().alias("row_id"),
+            (F.monotonically_increasing_id() if key is None else key).alias("row_id"),
         ),
         "mix-sizes",
     )
@@ -188,7 +189,7 @@ def pieces(placed: DataFrame, draws: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(placed documents, pieces of the mix).
 
     Null texts have no words and are never taken; a null source is a source of its
@@ -196,7 +197,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFr
     empty tables. Other columns are not read. Sources are taken to be as many as a
     mix names by hand: their counts fit in one row.
     """
-    sized = sized_documents(docs, seed)
+    sized = sized_documents(docs, seed, key)
     targets = materialize(source_targets(sized), "mix-targets")
     placed = placed_documents(sized, targets)
     draws = block_draws(targets, shard_quotas(targets, shards, seed), seed)
@@ -212,6 +213,21 @@ def taken_words(docs: DataFrame) -> DataFrame:
     )
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix with the documents' own columns: a document of which the mix takes n times
+    its words and some more stands there n times whole, and once with its first words
+    (joined by one space) for the rest."""
+    rows = keyed(boxed(docs).withColumn("source", F.col("doc")["source"]), ["doc", "doc_id", "text", "source"])
+    placed, parts = mix(rows, key=F.col("row_key"))
+    taken = parts.groupBy(F.col("row_id").alias("row_key")).agg(F.sum("n_words").alias("taken"))
+    sizes = placed.select(F.col("row_id").alias("row_key"), "size").join(taken, "row_key")
+    copies = rows.select("row_key", "doc").join(sizes, "row_key").withColumn(
+        "left", F.explode(F.expr("transform(sequence(0L, (taken - 1) div size), c -> taken - c * size)"))
+    )
+    first = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("left").cast("int")), " ")
+    return unboxed(copies, F.when(F.col("left") >= F.col("size"), F.col("doc")["text"]).otherwise(first))
+
+
 def taken_sql(seed: int = SEED) -> str:
     """The same per-document result in SQL (shards don't change what is taken)."""
     return f"""

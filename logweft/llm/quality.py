@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logweft.llm.common import text_bytes, values
+from logweft.llm.common import boxed, text_bytes, unboxed, values
 
 SAMPLE_ROWS = 20_000  # labelled rows that fit the model, about
 FEATURES = [
@@ -263,7 +263,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
     """The documents scored ``threshold`` or more, with their own columns, whatever
     these are called."""
     model = train(docs, labels, "quality", F.lit(True))
-    names = docs.columns
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), "text")
-    kept = with_score(boxed, model, ["doc"], threshold)
-    return kept.select(*[F.col("doc")[c].alias(c) for c in names])
+    return unboxed(with_score(boxed(docs), model, ["doc"], threshold))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from logweft.llm.common import keyed, text_bytes, values
+from logweft.llm.common import boxed, keyed, text_bytes, unboxed, values
 from logweft.llm.links import components, forest
 from logweft.session import materialize
 
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The document of least id of each group, with its own columns."""
-    rows = keyed(docs, docs.columns)
+    rows = keyed(boxed(docs), ["doc", "doc_id", "text"])
     printed = materialize(
         fingerprints(rows, ["doc_id", "row_key"], size).select(
             "fingerprint", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key").alias("place")
@@ -221,4 +221,4 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         "simhash",
     )
     kept = print_classes(printed, "place").select(F.col("component.row_key").alias("row_key")).distinct()
-    return rows.join(kept, "row_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(rows.select("row_key", "doc").join(kept, "row_key", "left_semi"))

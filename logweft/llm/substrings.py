@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from logweft.llm.common import keyed, text_bytes, values
+from logweft.llm.common import boxed, keyed, text_bytes, unboxed, values
 from logweft.session import materialize
 
 WINDOW = 35  # words of a repeat, at least
@@ -282,10 +282,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their own columns and without repeated words: a text that
     loses none is unchanged, else its kept words are joined by one space. Documents
     that lose every word stay, with an empty text; a null text stays null."""
-    names = docs.columns
-    rows = keyed(docs, names).select(
-        "row_key", F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), text_bytes().alias("_text")
-    )
+    rows = keyed(boxed(docs), ["doc", "doc_id", "text"]).select("row_key", "doc", text_bytes().alias("_text"))
     fields = rows.schema["doc"].dataType.simpleString()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,5 +295,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=["doc", "left"])
 
     cut = _spanned(rows).select("doc", "_text", "spans").mapInArrow(step, f"doc {fields}, left string")
-    own = lambda c: F.coalesce("left", "doc.text").alias(c) if c == "text" else F.col("doc")[c].alias(c)
-    return cut.select(*[own(c) for c in names])
+    return unboxed(cut, F.coalesce("left", "doc.text"))
