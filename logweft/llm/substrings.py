@@ -10,7 +10,8 @@ would. The steps:
    branch and is dropped: its windows are unique.
 2. Suffixes with a shared prefix are dealt to trees by that prefix. A tree must fit
    memory: where a prefix begins more than ``TREE`` suffixes it is made longer, up to
-   the whole window, whose node needs no tree: a count of its leaves is enough.
+   the whole window, whose node needs no tree: a count of its leaves is enough. Equal
+   surroundings of an anchor are counted as one before that.
 3. In a tree, the suffixes of windows are ordered; neighbours that agree in all
    ``WINDOW`` words lie below one deep internal node. Such nodes with two leaves or
    more are the repeats, and runs of them in a document are its maximal repeats.
@@ -124,32 +125,35 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every shared anchor, a row with its windows' hashes: their suffixes below the
-    prefix. Where a prefix is too frequent, a row for each window, with its hash as the
-    longer prefix."""
+    """For every shared anchor a row with the hashes of its windows (the suffixes below
+    its prefix): the first window's start, the words from there to the anchor, the hashes."""
     for batch in batches:
-        rows: list[tuple[int, int, int, int, bytes, bool]] = []
+        keys, starts, leads, prefixes_of, longs, paths = [], [], [], [], [], []
         for key, text, shared in zip(values(batch, "row_key"), values(batch, "_text"), values(batch, "shared")):
             wanted = {s["place"]: s["long"] for s in shared}
             for start, prefixes, places, hashes in windows_of(text.split()):
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(places)) + 1, [len(places)]])
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    longer = wanted.get(int(places[a]))
-                    if longer is None:
-                        continue
-                    prefix = int(prefixes[a].view(np.int64))
-                    if longer:
-                        rows += [
-                            (int(h), key, start + a + i, int(places[a]) - start - a - i, prefix.to_bytes(8, "little", signed=True), True)
-                            for i, h in enumerate(hashes[a:b].view(np.int64))
-                        ]
-                    else:
-                        rows.append((prefix, key, start + a, int(places[a]) - start - a, hashes[a:b].tobytes(), False))
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+                for a, b, place in zip(edges[:-1].tolist(), edges[1:].tolist(), places[edges[:-1]].tolist()):
+                    long = wanted.get(place)
+                    if long is not None:
+                        keys.append(key)
+                        starts.append(start + a)
+                        leads.append(place - start - a)
+                        prefixes_of.append(prefixes[a])
+                        longs.append(long)
+                        paths.append(hashes[a:b])
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int32)
+        flat = np.concatenate([np.empty(0, np.uint64), *paths]).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), k) for c, k in zip(columns, kinds)],
-            names=["prefix", "row_key", "start", "offset", "paths", "long"],
+            [
+                pa.array(np.array(prefixes_of, np.uint64).view(np.int64)),
+                pa.array(keys, pa.int64()),
+                pa.array(starts, pa.int32()),
+                pa.array(leads, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                pa.array(longs, pa.bool_()),
+            ],
+            names=["prefix", "row_key", "start", "lead", "paths", "long"],
         )
 
 
@@ -159,14 +163,15 @@ def _repeats_of_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     waiting: pa.Table | None = None
 
     def found(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
         prefix = rows.column("prefix").to_numpy()
         keys, starts = rows.column("row_key").to_numpy(), rows.column("start").to_numpy()
-        offsets = rows.column("offset").to_numpy()
-        paths = rows.column("paths").to_pylist()
-        sizes = np.fromiter((len(p) // 8 for p in paths), np.int64, len(paths))
-        whose = np.repeat(np.arange(len(paths)), sizes)
+        offsets = rows.column("lead").to_numpy()
+        paths = rows.column("paths").combine_chunks()
+        sizes = np.diff(paths.offsets.to_numpy())
+        whose = np.repeat(np.arange(len(sizes)), sizes)
         within = np.arange(len(whose)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        path = np.frombuffer(b"".join(paths), np.uint64)
+        path = paths.flatten().to_numpy()
         # Leaves in the order of the trees: by prefix, then by the rest of their window.
         lead = offsets[whose] - within  # words of the window before the anchor
         order = np.lexsort([lead, path, prefix[whose]])
@@ -204,28 +209,52 @@ def _repeats_of_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield found(waiting)
 
 
+_SUFFIX = "prefix bigint, row_key bigint, start int, lead int, paths array<bigint>"
+
+
+def _repeats_of_long_prefixes(suffixes: DataFrame) -> DataFrame:
+    """(row_key, start, end) where a prefix is too frequent for a tree.
+
+    Anchors with the same windows all around are one row with a count before anything
+    else; with a count of two they are repeats. The windows of the different ones are
+    counted with the whole window as the prefix."""
+    same = ["prefix", "lead", "around"]
+    marked = suffixes.withColumn("around", F.xxhash64("paths"))
+    distinct = materialize(
+        marked.groupBy(*same, "paths").agg(
+            F.count("*").alias("n"), F.min("row_key").alias("row_key"), F.min("start").alias("start")
+        ),
+        "long-prefixes",
+    )
+    end = (F.col("start") + F.size("paths") - 1 + WINDOW).cast("bigint").alias("end")
+    copied = marked.join(distinct.filter("n > 1").select(*same), same).select(
+        "row_key", F.col("start").cast("bigint").alias("start"), end
+    )
+    leaves = distinct.select("prefix", "lead", "n", "row_key", "start", F.posexplode("paths").alias("at", "path"))
+    leaves = leaves.withColumn("lead", F.col("lead") - F.col("at"))
+    node = ["prefix", "lead", "path"]
+    deep = leaves.groupBy(*node).agg(F.sum("n").alias("leaves")).filter("leaves > 1").select(*node)
+    first = (F.col("start") + F.col("at")).cast("bigint")
+    single = leaves.filter("n = 1").join(deep, node).select(
+        "row_key", first.alias("start"), (first + WINDOW).alias("end")
+    )
+    return copied.union(single)
+
+
 def repeats(rows: DataFrame) -> DataFrame:
     """(row_key, start, end): words of maximal repeats, a row per tree they were found in.
     ``rows`` has row_key and _text."""
     anchors = materialize(rows.mapInArrow(_anchors, "prefix bigint, row_key bigint, place int"), "anchors")
-    branches = anchors.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1")
+    branches = materialize(anchors.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1"), "branches")
     shared = anchors.join(branches, "prefix").select(
         "row_key", F.struct("place", (F.col("n") > TREE).alias("long")).alias("shared")
     )
     by_document = shared.groupBy("row_key").agg(F.collect_list("shared").alias("shared"))
     cut = rows.join(by_document, "row_key").select("row_key", "_text", "shared")
-    suffixes = materialize(
-        cut.mapInArrow(_suffixes, "prefix bigint, row_key bigint, start int, offset int, paths binary, long boolean"),
-        "suffixes",
-    )
+    suffixes = materialize(cut.mapInArrow(_suffixes, f"{_SUFFIX}, long boolean"), "suffixes")
     short = suffixes.filter("NOT long").drop("long").repartition("prefix").sortWithinPartitions("prefix")
     in_trees = short.mapInArrow(_repeats_of_trees, "row_key bigint, start bigint, end bigint")
-    leaves = suffixes.filter("long").select("prefix", "paths", "offset", "row_key", "start")
-    nodes = leaves.groupBy("prefix", "paths", "offset").agg(F.count("*").alias("n")).filter("n > 1")
-    alone = leaves.join(nodes, ["prefix", "paths", "offset"]).select(
-        "row_key", F.col("start").cast("bigint").alias("start"), (F.col("start") + WINDOW).cast("bigint").alias("end")
-    )
-    return in_trees.union(alone)
+    return in_trees.union(_repeats_of_long_prefixes(suffixes.filter("long").drop("long")))
 
 
 def _stays(n_words: int, spans: list[dict] | None) -> np.ndarray:
