@@ -303,8 +303,9 @@ def scored(docs: DataFrame, learn_from: Column, held_out: Column) -> DataFrame:
     share = np.log10(n + 0.5 * (v + 1))
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((trie, {k: float(np.log10(c + 0.5) - share) for k, c in known.items()}))
-    end_score = float(np.log10(known.get(token_hash(END_TOKEN), 0) + 0.5) - share)
-    end_known = int(token_hash(END_TOKEN) in known)
+    end_key = int(np.array([token_hash(END_TOKEN)], np.uint64).view(np.int64)[0])
+    end_row = tokens.filter(F.col("key") == end_key).first()
+    end_score, end_known = float(np.log10((end_row["n"] if end_row else 0) + 0.5) - share), int(end_row is not None)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, shares = shared.value
