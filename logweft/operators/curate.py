@@ -9,8 +9,6 @@ from logweft.functions import sequences as sq, text as tx
 from logweft.operators.ranking import hash_cells, keep_first, rank_rows, seeded_hash
 from logweft.session import materialize
 
-MAX_SMALL_SAMPLE = 10_000
-
 
 def usable(sampled: DataFrame, low: int = fv.MIN_SEQUENCE, high: int = fv.MAX_SEQUENCE) -> DataFrame:
     return sampled.filter(sq.length_between(F.col("sequence"), low, high))
@@ -23,11 +21,10 @@ def first_of_each_sequence(rows: DataFrame, order: str | Column) -> DataFrame:
 
 
 def sample_rows(rows: DataFrame, n: int = fv.SAMPLE_SIZE, seed: int = fv.SAMPLE_SEED, key: str = "block_id") -> DataFrame:
-    """``n`` rows by seeded hash. For a small ``n`` each task keeps its best ``n``
-    and no rows are sorted; a large sample takes the rows ranked below ``n``."""
-    if n <= MAX_SMALL_SAMPLE:
-        return rows.orderBy(seeded_hash(seed, key), key).limit(n)
-    ranked = rank_rows(rows.withColumn("_h", seeded_hash(seed, key)), "_rank", hash_cells("_h"), ["_h", key])
+    """``n`` rows by seeded hash: those ranked below ``n``, whatever ``n`` is. Ranks come
+    from cells of the hash, so no task sorts or gathers the sample."""
+    hashed = rows.withColumn("_h", seeded_hash(seed, key))
+    ranked = rank_rows(hashed, "_rank", hash_cells("_h"), ["_h", key], store=True)
     return ranked.filter(F.col("_rank") < n).drop("_h", "_rank")
 
 
@@ -46,20 +43,16 @@ def processed_ids(*outputs: DataFrame) -> DataFrame:
     return union.filter("block_id IS NOT NULL").distinct()
 
 
-def remaining(sample: DataFrame, done: DataFrame, sample_size: int = fv.SAMPLE_SIZE) -> DataFrame:
+def remaining(sample: DataFrame, done: DataFrame) -> DataFrame:
     """Rows of a sample not processed yet.
 
-    The earlier output may be huge. When the sample is known to be small, its ids
-    go to the output, and only ids that are in both come back; otherwise the two
-    sides meet in an ordinary anti-join. The sample is read more than once, so it
-    is stored first.
+    The earlier output may be huge, so it is first cut to ids of the sample, which is
+    stored as it is read twice. Either side is broadcast only if Spark measures it as
+    small enough.
     """
     sample = materialize(sample, "sample")
-    if sample_size > MAX_SMALL_SAMPLE:
-        return sample.join(done.select("block_id"), "block_id", "left_anti")
-    ids = sample.select("block_id")
-    hit = done.join(F.broadcast(ids), "block_id", "left_semi").select("block_id").distinct()
-    return sample.join(F.broadcast(hit), "block_id", "left_anti")
+    hit = done.join(sample.select("block_id"), "block_id", "left_semi").select("block_id")
+    return sample.join(hit, "block_id", "left_anti")
 
 
 def union_in_order(first: DataFrame, second: DataFrame, order: str | Column) -> DataFrame:

@@ -40,6 +40,41 @@ def score(rows: DataFrame, scorer: Scorer | None = None, text: str = "content",
     return rows.mapInPandas(run, schema)
 
 
+def _attempts(generator: Callable[[str], str], retries: int, wait: float) -> Callable[[str], str | None]:
+    """One call with retries and a growing wait; null after the last failure."""
+
+    def attempt(text: str) -> str | None:
+        for n in range(1, retries + 1):
+            try:
+                return generator(text).strip()
+            except Exception:
+                time.sleep(n * wait)
+        return None
+
+    return attempt
+
+
+def score_and_generate(
+    rows: DataFrame, scorer: Scorer | None, generator: Callable[[str], str], retries: int = 3, wait: float = 4.0
+) -> DataFrame:
+    """Verdict, prediction and answer of every row in one step, so neither hook sees a
+    row twice. ``rows`` has ``content`` and ``prompt``, and ``verdict`` if there is no scorer."""
+    attempt = _attempts(generator, retries, wait)
+    new = [T.StructField("prediction", T.IntegerType()), T.StructField("answer", T.StringType())]
+    if scorer is not None:
+        new.insert(0, T.StructField("verdict", T.StringType()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if scorer is not None:
+                batch = batch.assign(verdict=scorer(batch["content"].tolist()))
+            bad = [int("anomalous" in (v or "").lower()) for v in batch["verdict"]]
+            answers = [attempt(p) if b else None for p, b in zip(batch["prompt"], bad)]
+            yield batch.assign(prediction=bad, answer=answers)
+
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, *new]))
+
+
 def generate(
     rows: DataFrame,
     generator: Callable[[str], str],
@@ -51,13 +86,7 @@ def generate(
     """Add one generated text per row. A call is tried ``retries`` times with a
     growing wait; after that the text is null and the gate rejects the row."""
 
-    def attempt(text: str) -> str | None:
-        for n in range(1, retries + 1):
-            try:
-                return generator(text).strip()
-            except Exception:
-                time.sleep(n * wait)
-        return None
+    attempt = _attempts(generator, retries, wait)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,7 +104,7 @@ def anomalies(scored: DataFrame) -> DataFrame:
     return scored.filter("prediction = 1")
 
 
-def first_to_explain(rows: DataFrame, order: str, limit: int = 10) -> DataFrame:
+def first_to_explain(rows: DataFrame, order: str, limit: int = 0) -> DataFrame:
     """The first rows by source order; 0 means all of them."""
     return rows.orderBy(order).limit(limit) if limit else rows
 

@@ -9,13 +9,10 @@ from logweft.operators.ranking import LINE_CELL_BITS, rank_rows
 from logweft.operators.templates import Template, text_of
 from logweft.session import materialize
 
-# A block up to this many events is one row. A bigger one becomes several rows
-# of that size, each with its place in the block, so no array and no task grows
-# with the hottest block.
+# A block of more events is put in order in parts of this size, so no sort grows
+# with the hottest block. ``sessions`` joins the parts to one row again;
+# ``session_parts`` leaves them, for facts and windows that need no whole row.
 PART_EVENTS = 50_000
-# Oversized blocks are split off with a broadcast of their ids up to this many
-# (about 5 MB); with more of them, every block takes the route in parts.
-MAX_BROADCAST_BLOCKS = 100_000
 
 _NO_TIME = 9223372036854775807
 
@@ -123,34 +120,41 @@ def _blocks_in_parts(occurrences: DataFrame, part_events: int) -> DataFrame:
     )
 
 
-def sessions(
-    occurrences: DataFrame,
-    templates: list[Template],
-    part_events: int = PART_EVENTS,
-    with_text: bool = False,
-    with_gaps: bool = False,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """One row per block (or per part of an oversized block), events in order.
+def _parted(occurrences: DataFrame, part_events: int, sizes: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of whole blocks, rows of parts or None). One counting pass finds oversized
+    blocks; their ids are stored, and with any of them the occurrences as well, since
+    several passes follow."""
+    big = materialize(oversized_blocks(occurrences if sizes is None else sizes, part_events), "oversized")
+    if big.isEmpty():
+        return _whole_blocks(occurrences), None
+    occurrences = materialize(occurrences, "occurrences")
+    small = occurrences.join(big, "block_id", "left_anti")
+    large = occurrences.join(big, "block_id", "left_semi")
+    return _whole_blocks(small), _blocks_in_parts(large, part_events)
+
+
+def _assembled(parts: DataFrame) -> DataFrame:
+    """One row per block from its ordered parts."""
+    pieces = F.array_sort(F.collect_list(F.struct("part", "_ords", "_at")))
+    rows = parts.groupBy("block_id").agg(
+        pieces.alias("_pieces"), *[F.any_value(c).alias(c) for c in ("n_events", "latency", "first_ts", "first_seen")]
+    )
+    return rows.select(
+        "block_id",
+        F.lit(0).cast("bigint").alias("part"),
+        F.lit(1).cast("bigint").alias("parts"),
+        F.lit(0).cast("bigint").alias("first_pos"),
+        "n_events",
+        F.flatten(F.transform("_pieces", lambda p: p["_ords"])).alias("_ords"),
+        F.flatten(F.transform("_pieces", lambda p: p["_at"])).alias("_at"),
+        F.lit(None).cast("bigint").alias("_before"),
+        "latency",
+        "first_ts",
+        "first_seen",
+    )
 
-    Order is time, then source position; events without a time come last.
-    One counting pass finds oversized blocks. ``sizes`` makes it cheap: any
-    frame with a ``block_id`` column whose rows per block are no fewer than the
-    occurrences, such as the lines before template matching. If there are
-    oversized blocks, the occurrences are stored once, as several passes follow.
-    """
-    big = oversized_blocks(occurrences if sizes is None else sizes, part_events)
-    n_big = big.limit(MAX_BROADCAST_BLOCKS + 1).count()
-    if n_big:
-        occurrences = materialize(occurrences, "occurrences")
-    if n_big == 0:
-        rows = _whole_blocks(occurrences)
-    elif n_big <= MAX_BROADCAST_BLOCKS:
-        small = occurrences.join(F.broadcast(big), "block_id", "left_anti")
-        large = occurrences.join(F.broadcast(big), "block_id", "left_semi")
-        rows = _whole_blocks(small).unionByName(_blocks_in_parts(large, part_events))
-    else:
-        rows = _blocks_in_parts(occurrences, part_events)
+
+def _named(rows: DataFrame, templates: list[Template], with_text: bool, with_gaps: bool) -> DataFrame:
     columns = [
         "block_id",
         "part",
@@ -167,6 +171,42 @@ def sessions(
     return result
 
 
+def sessions(
+    occurrences: DataFrame,
+    templates: list[Template],
+    part_events: int | None = None,
+    with_text: bool = False,
+    with_gaps: bool = False,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """One row per block of any size, events in order.
+
+    Order is time, then source position; events without a time come last.
+    Oversized blocks are ordered in parts over many tasks and only then joined to
+    the row that is asked for. ``sizes`` makes the counting pass cheap: any frame
+    with a ``block_id`` column whose rows per block are no fewer than the
+    occurrences, such as the lines before template matching.
+    """
+    whole, parts = _parted(occurrences, part_events or PART_EVENTS, sizes)
+    rows = whole if parts is None else whole.unionByName(_assembled(parts))
+    return _named(rows, templates, with_text, with_gaps)
+
+
+def session_parts(
+    occurrences: DataFrame,
+    templates: list[Template],
+    part_events: int | None = None,
+    with_text: bool = False,
+    with_gaps: bool = False,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """As ``sessions``, but an oversized block stays in rows of ``part_events`` events
+    (``part`` of ``parts``, from ``first_pos`` on), for what can merge parts itself."""
+    whole, parts = _parted(occurrences, part_events or PART_EVENTS, sizes)
+    rows = whole if parts is None else whole.unionByName(parts)
+    return _named(rows, templates, with_text, with_gaps)
+
+
 def text_sequence(templates: list[Template], sequence: Column) -> Column:
     """Template texts beside the ids: looked up after the shuffle, never shuffled."""
     return F.transform(sequence, lambda event: text_of(templates, event))
@@ -182,7 +222,7 @@ def event_matrix(occurrences: DataFrame, templates: list[Template]) -> DataFrame
 
 def preview(session_rows: DataFrame, n: int = 3) -> DataFrame:
     """The first sessions in order of first appearance in the source."""
-    return session_rows.orderBy("first_seen", "part").limit(n)
+    return session_rows.orderBy("first_seen").limit(n)
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

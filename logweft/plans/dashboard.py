@@ -59,7 +59,7 @@ def verdict_parse(spark: SparkSession, folder: str) -> DataFrame:
 @DASHBOARD.add(f"WITH {VERDICT_SQL} SELECT block_id, verdict FROM judged WHERE verdict = 'anomalous' ORDER BY first_line LIMIT 10")
 def first_to_explain(spark: SparkSession, folder: str) -> DataFrame:
     flagged = sc.anomalies(_scored(spark, folder)).withColumn("line_id", F.col("first_seen.line_id"))
-    return sc.first_to_explain(flagged, "line_id").select("block_id", "verdict")
+    return sc.first_to_explain(flagged, "line_id", 10).select("block_id", "verdict")
 
 
 def _hook(texts: list[str]) -> list[str]:

@@ -173,7 +173,7 @@ FROM feats"""
 )
 def block_facts(spark: SparkSession, folder: str) -> DataFrame:
     """The same facts per block of the log, from sessions kept in parts of six events."""
-    rows = bl.block_facts(materialize(v.sessions(spark, folder, part_events=6, with_gaps=True), "sessions"))
+    rows = bl.block_facts(materialize(v.session_parts(spark, folder, 6, with_gaps=True), "sessions"))
     placed = lambda name: F.array_join(
         F.transform(name, lambda p: F.concat(p["pos"].cast("string"), F.lit(":"), p["event"])), ","
     ).alias(name)

@@ -20,7 +20,7 @@ from logweft.operators.templates import Template
 from logweft.session import materialize
 from logweft.sources import logs, sinks, tables
 
-EXPLAIN_LIMIT = 10
+EXPLAIN_LIMIT = 0  # anomalies to explain; 0 means all
 Generator = Callable[[str], str]
 
 
@@ -77,7 +77,7 @@ def detect_and_explain(
         told = asked.withColumn("explanation", F.lit(None).cast("string"))
     else:
         told = sc.generate(asked, generator).withColumn("explanation", sc.extracted(F.col("explanation")))
-    told.select("block_id", "part", "sequence", "latency", "prompt", "explanation").write.mode("overwrite").json(
+    told.select("block_id", "sequence", "latency", "prompt", "explanation").write.mode("overwrite").json(
         f"{out}/explanations"
     )
     return parsed.counters | {"sessions": stored.count(), "anomalies": flagged.count()}
@@ -86,7 +86,9 @@ def detect_and_explain(
 def analyze_requests(requests: DataFrame, scorer: sc.Scorer | None = None, generator: Generator | None = None) -> DataFrame:
     """The request path over a table or a stream of requests.
 
-    Only anomalous rows reach the generator.
+    With a generator, scoring and generation are one step over each batch, so every
+    row is scored once, and only anomalous rows reach the generator, once each; a
+    stream needs no stored copy for that.
     """
     rows = requests.withColumns(
         {
@@ -94,13 +96,17 @@ def analyze_requests(requests: DataFrame, scorer: sc.Scorer | None = None, gener
             "sequence": F.col("event_id_sequence"),
         }
     )
-    scored = sc.score(sm.prepare(rows).drop("messages"), scorer).withColumn("prediction", sc.prediction(F.col("verdict")))
+    rows = sm.prepare(rows).drop("messages")
     prompt = render.explainer_prompt(F.col("sequence"), F.col("latency"))
     if generator is None:
-        return sc.verdicts(scored, prompt)
-    bad = sc.generate(sc.anomalies(scored).withColumn("prompt", prompt), generator, output="answer")
-    normal = scored.filter("prediction = 0")
-    return sc.verdicts(bad, sc.extracted(F.col("answer"))).unionByName(sc.verdicts(normal, F.lit(None).cast("string")))
+        scored = sc.score(rows, scorer)
+        return sc.verdicts(scored.withColumn("prediction", sc.prediction(F.col("verdict"))), prompt)
+    if scorer is None:
+        rows = sc.score(rows).withColumn("prompt", prompt)
+        answered = sc.score_and_generate(rows, None, generator)
+    else:
+        answered = sc.score_and_generate(rows.withColumn("prompt", prompt), scorer, generator)
+    return sc.verdicts(answered, sc.extracted(F.col("answer")))
 
 
 def explain_traces(spark: SparkSession, traces_path: str, out: str) -> DataFrame:
@@ -141,7 +147,7 @@ def sampled_generation(
         tables.read_json_lines(spark, accepted_path, schemas.REJECTS),
         tables.read_json_lines(spark, rejected_path, schemas.REJECTS),
     )
-    rest = cu.remaining(sample, done, sample_size).select("block_id", "anomaly_type", "sequence", "latency")
+    rest = cu.remaining(sample, done).select("block_id", "anomaly_type", "sequence", "latency")
     prompt = render.generator_prompt(
         F.col("block_id"), F.col("sequence"), templates, F.col("anomaly_type"), F.col("latency")
     )

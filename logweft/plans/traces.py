@@ -124,7 +124,7 @@ SELECT block_id, start // 2 AS win_ix, array_to_string(sequence[start + 1 : star
 )
 def session_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Windows cut from sessions kept in parts of six events."""
-    rows = materialize(v.sessions(spark, folder, part_events=6), "sessions")
+    rows = materialize(v.session_parts(spark, folder, 6), "sessions")
     cut = tr.session_window_rows(rows, v.templates(), window=4, stride=2)
     return cut.select("block_id", "win_ix", F.array_join("events", ",").alias("events"))
 

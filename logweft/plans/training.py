@@ -14,24 +14,7 @@ from logweft.plans.traces import VALID_SQL
 
 TRAINING = Registry()
 
-_MONTHS = "|".join(a + (f"(?:{b})?" if b else "") for a, b in fv.MONTHS)
-MASK_SQL = "|".join(
-    [
-        "True|true|False|false",
-        r"\b(?:" + "|".join(fv.NUMBER_WORDS) + r")\b",
-        r"\b(?:" + "|".join(fv.WEEKDAYS) + r")\b",
-        rf"\b(?:{_MONTHS})\s+(?:\d{{1,2}})\s+\b",
-        r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d{1,5})?",
-        r"(?:[0-9A-Fa-f]{2}:){11}[0-9A-Fa-f]{2}",
-        r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}",
-        r"[a-zA-Z0-9]*[:\.]*(?:[/\\]+[^/\\\s\[\]]+)+[/\\]*",
-        r"\b[0-9a-fA-F]{8}\b",
-        r"\b[0-9a-fA-F]{10}\b",
-        r"(?:\w+[\w\.]*)@(?:\w+[\w\.]*)\-(?:\w+[\w\.]*)",
-        r"(?:\w+[\w\.]*)@(?:\w+[\w\.]*)",
-        r"[a-zA-Z\.\:\-\_]*\d[a-zA-Z0-9\.\:\-\_]*",
-    ]
-)
+MASK_SQL = "|".join(fv.MASK_PATTERNS)
 MASKED_SQL = f"""{v.LINES_SQL},
 masked AS (
   SELECT line_id, (line_id % 7 = 0)::INTEGER AS label,
@@ -142,7 +125,7 @@ def downsampled(spark: SparkSession, folder: str) -> DataFrame:
 BATCH_SQL = f"""{v.SESSIONS_SQL},
 placed AS (SELECT *, row_number() OVER (ORDER BY first_line) - 1 AS position FROM sessions),
 batched AS (
-  SELECT position // 16 AS batch_id, position, sequence[1:8] AS messages,
+  SELECT position // 16 AS batch_id, position, sequence[1:128] AS messages,
          CASE WHEN n % 7 = 0 THEN 'anomalous' ELSE 'normal' END AS label FROM placed),
 grouped AS (
   SELECT batch_id, list(messages ORDER BY position) AS lists, list(label ORDER BY position) AS labels
@@ -156,7 +139,7 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
         (n % 7 == 0).cast("int").alias("label"),
         F.col("first_seen.line_id").alias("line_id"),
     )
-    return pk.pack(pk.batches(rows, line_cells(), ["line_id"], store=True), most=8)
+    return pk.pack(pk.batches(rows, line_cells(), ["line_id"], store=True), most=128)
 
 
 @TRAINING.add(
@@ -209,11 +192,11 @@ sampled AS (
   SELECT BlockId AS block_id, trunc(Type::DOUBLE)::INTEGER AS anomaly_type, try_cast(nullif(Latency, '') AS DOUBLE) AS latency, line_id,
          list_filter(string_split(trim(Features, '[]'), ','), lambda e: e <> '') AS sequence
   FROM traces WHERE Type <> ''),
-usable AS (SELECT * FROM sampled WHERE len(sequence) BETWEEN 3 AND 8)"""
+usable AS (SELECT * FROM sampled WHERE len(sequence) BETWEEN 3 AND 60)"""
 
 
 def _usable(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
-    return cu.usable(tr.sampled_traces(v.traces(spark, folder) if rows is None else rows), high=8)
+    return cu.usable(tr.sampled_traces(v.traces(spark, folder) if rows is None else rows))
 
 
 @TRAINING.add(
@@ -229,7 +212,7 @@ def sequence_fingerprint_dedup(spark: SparkSession, folder: str) -> DataFrame:
 DONE_SQL = """done AS (SELECT 'blk_' || doc_id AS block_id FROM labels WHERE toxic = 1
           UNION SELECT 'blk_' || doc_id FROM labels WHERE quality = 0)"""
 SAMPLE_SQL = f"""{SAMPLED_SQL}, {DONE_SQL},
-sample AS (SELECT * FROM usable ORDER BY md5('42|' || block_id), block_id LIMIT 200)"""
+sample AS (SELECT * FROM usable ORDER BY md5('42|' || block_id), block_id LIMIT 700)"""
 
 
 def _done(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,8 +228,8 @@ def _done(spark: SparkSession, folder: str) -> DataFrame:
 
 @TRAINING.add(f"WITH {SAMPLE_SQL} SELECT block_id, anomaly_type FROM sample WHERE block_id NOT IN (SELECT block_id FROM done)")
 def resume_anti_join(spark: SparkSession, folder: str) -> DataFrame:
-    sample = cu.sample_rows(_usable(spark, folder), n=200)
-    return cu.remaining(sample, _done(spark, folder), 200).select("block_id", "anomaly_type")
+    sample = cu.sample_rows(_usable(spark, folder))
+    return cu.remaining(sample, _done(spark, folder)).select("block_id", "anomaly_type")
 
 
 LATENCY_TEXT_SQL = """CASE WHEN latency IS NULL THEN 'unknown'

@@ -100,6 +100,11 @@ def sessions(spark: SparkSession, folder: str, **options) -> DataFrame:
     return ss.sessions(occurrences(spark, folder), templates(), sizes=sizes, **options)
 
 
+def session_parts(spark: SparkSession, folder: str, part_events: int, **options) -> DataFrame:
+    sizes = ln.line_blocks(log_lines(spark, folder))
+    return ss.session_parts(occurrences(spark, folder), templates(), part_events, sizes=sizes, **options)
+
+
 def _block_number() -> Column:
     return F.substring("block_id", 5, 20).cast("bigint")
 

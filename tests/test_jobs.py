@@ -1,5 +1,6 @@
 import csv
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,42 @@ def test_requests(spark):
     assert got == {"a": ("Anomalous", "bad disk"), "b": ("Normal", fv.NORMAL_REPLY)}
 
 
+def counting(folder, answer):
+    """A hook that leaves a line per call in a file of its process."""
+
+    def hook(given):
+        with open(f"{folder}/{os.getpid()}", "a") as calls:
+            calls.writelines("x\n" for _ in (given if isinstance(given, list) else [given]))
+        return answer(given)
+
+    return hook
+
+
+def calls(folder):
+    return sum(len(path.read_text().splitlines()) for path in folder.iterdir())
+
+
+@pytest.mark.parametrize("streamed", [False, True])
+def test_requests_reach_each_hook_once(spark, tmp_path, streamed):
+    for name in ("scored", "told", "in"):
+        (tmp_path / name).mkdir()
+    rows = spark.createDataFrame(
+        [(f"b{i}", ["bad" if i % 4 == 0 else "good"], ["E5"], 1.0) for i in range(20)], schemas.REQUESTS)
+    scorer = counting(tmp_path / "scored", lambda texts: ["anomalous" if "bad" in t else "normal" for t in texts])
+    told = counting(tmp_path / "told", lambda prompt: prompt + "why")
+    if streamed:
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        query = jobs.analyze_requests(rows, scorer, told).writeStream.format("memory").queryName("once").start()
+        query.processAllAvailable()
+        query.stop()
+        got = spark.table("once").collect()
+    else:
+        got = jobs.analyze_requests(rows, scorer, told).collect()
+    assert (calls(tmp_path / "scored"), calls(tmp_path / "told")) == (20, 5)
+    assert sum(r.status == "Anomalous" and r.explanation == "why" for r in got) == 5 and len(got) == 20
+
+
 def test_label_windows(spark, tmp_path):
     labels = tmp_path / "l.csv"
     labels.write_text("BlockId,Label\nblk_0,Anomaly\nblk_1,Normal\nblk_99,Anomaly\n")

@@ -31,3 +31,15 @@ def test_query_equals_sql(spark, data, con, name):
     want, wanted = oracle.duck_rows(con, ORACLES[name])
     assert columns == wanted
     assert got == want
+
+
+SESSION_QUERIES = sorted(name for name, sql in ORACLES.items() if "sessions AS (" in sql)
+
+
+@pytest.mark.parametrize("name", SESSION_QUERIES)
+def test_blocks_in_parts_change_no_answer(spark, data, con, name, monkeypatch):
+    """With parts of three events every query on sessions still equals its SQL twin."""
+    from logweft.operators import sessions
+
+    monkeypatch.setattr(sessions, "PART_EVENTS", 3)
+    assert oracle.spark_rows(QUERIES[name](spark, data)) == oracle.duck_rows(con, ORACLES[name])

@@ -112,12 +112,10 @@ def hot_rows(n=4000):
     ]
 
 
-@pytest.mark.parametrize("limit", [100, 0])
-def test_huge_block_in_parts_equals_one_row(spark, monkeypatch, limit):
-    monkeypatch.setattr(ss, "MAX_BROADCAST_BLOCKS", limit)
+def test_huge_block_in_parts_equals_one_row(spark):
     occurrences = events_df(spark, hot_rows())
     whole = {r.block_id: r for r in ss.sessions(occurrences, v.templates(), with_gaps=True).collect()}
-    parts = ss.sessions(occurrences, v.templates(), part_events=64, with_gaps=True).orderBy("block_id", "part").collect()
+    parts = ss.session_parts(occurrences, v.templates(), part_events=64, with_gaps=True).orderBy("block_id", "part").collect()
     glued, gaps = {}, {}
     for r in parts:
         assert len(r.sequence) <= 64 and r.first_pos == len(glued.get(r.block_id, []))
@@ -135,7 +133,7 @@ def test_facts_of_parts_equal_facts_of_whole_blocks(spark):
 
     occurrences = events_df(spark, hot_rows())
     facts = lambda n: sorted(
-        (tuple(r) for r in bl.block_facts(ss.sessions(occurrences, v.templates(), part_events=n, with_gaps=True)).collect()), key=repr)
+        (tuple(r) for r in bl.block_facts(ss.session_parts(occurrences, v.templates(), part_events=n, with_gaps=True)).collect()), key=repr)
     whole = facts(100_000)
     assert whole == facts(50)
     assert whole == facts(7)

@@ -55,8 +55,11 @@ def test_top_k_is_cut_before_the_shuffle(spark, data):
     named = lines.select("line_id", F.col("value").alias("text"), tx.block_id(F.col("value")).alias("b"))
     plan = plan_of(db.recent_context(named, ["b"], "line_id"))
     assert plan.index("WindowGroupLimit") < plan.index("Exchange") or plan.count("WindowGroupLimit") == 2
+
+
+def test_a_sample_is_ranked_in_cells(spark, data):
     sample = plan_of(cu.sample_rows(tr.sampled_traces(v.traces(spark, data)), 5))
-    assert "TakeOrderedAndProject" in sample
+    assert "TakeOrderedAndProject" not in sample and "rangepartitioning" not in sample
 
 
 def test_filters_reach_the_scan(spark, data):

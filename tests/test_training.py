@@ -1,3 +1,4 @@
+import hashlib
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,16 +106,15 @@ def test_split_is_exact_and_stable(spark):
     assert again == {(r.k, r.split) for r in split.collect()}
 
 
-def test_sample_routes_agree(spark, monkeypatch):
+def test_samples_are_the_least_hashes(spark):
     rows = spark.range(3000).select(C("id").cast("string").alias("block_id"))
     small = {r.block_id for r in cu.sample_rows(rows, 700).collect()}
-    monkeypatch.setattr(cu, "MAX_SMALL_SAMPLE", 10)
-    large = {r.block_id for r in cu.sample_rows(rows, 700).collect()}
-    assert len(small) == 700 and small == large
+    least = sorted((hashlib.md5(f"{fv.SAMPLE_SEED}|{i}".encode()).hexdigest(), str(i)) for i in range(3000))[:700]
+    assert small == {name for _, name in least}
     assert {r.block_id for r in cu.sample_rows(rows.limit(5), 700).collect()} == {str(i) for i in range(5)}
 
 
-def test_processed_ids_and_remaining(spark, monkeypatch):
+def test_processed_ids_and_remaining(spark):
     chat = "block_id string, messages array<struct<role:string,content:string>>"
     done = spark.createDataFrame(
         [("blk_1", None), (None, [("system", "s"), ("user", "Hi\nBlock: blk_2 \nBlock: blk_9")]), (None, [("system", "s")])], chat
@@ -122,8 +122,7 @@ def test_processed_ids_and_remaining(spark, monkeypatch):
     ids = cu.processed_ids(done)
     assert {r.block_id for r in ids.collect()} == {"blk_1", "blk_2"}
     sample = spark.createDataFrame([("blk_1",), ("blk_2",), ("blk_3",)], "block_id string")
-    for size in (3, 10**6):
-        assert [r.block_id for r in cu.remaining(sample, ids, size).collect()] == ["blk_3"]
+    assert [r.block_id for r in cu.remaining(sample, ids).collect()] == ["blk_3"]
 
 
 def test_recovered_type(one):
