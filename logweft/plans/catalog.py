@@ -5,12 +5,13 @@ from __future__ import annotations
 from logweft.plans.parsing import PARSING
 from logweft.plans.dashboard import DASHBOARD
 from logweft.plans.explaining import EXPLAINING
+from logweft.plans.files import FILES
 from logweft.plans.live import LIVE
 from logweft.plans.registry import Query
 from logweft.plans.traces import TRACES
 from logweft.plans.training import TRAINING
 
-GROUPS = [PARSING, TRACES, TRAINING, EXPLAINING, DASHBOARD, LIVE]
+GROUPS = [PARSING, TRACES, TRAINING, EXPLAINING, DASHBOARD, FILES, LIVE]
 
 
 def queries() -> dict[str, Query]:

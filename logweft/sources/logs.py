@@ -2,46 +2,22 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A file list up to this size is broadcast to number the files; beyond it the
-# path itself is the sort key.
-MAX_NUMBERED_FILES = 100_000
-
 
 def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines with ``file_key, block_start, line_id``, which sort in file order.
 
-    Spark reads a big file in several splits and packs splits by size, so the
-    row id alone is out of order; file and split start come first in the key.
+    The file's path is its key, at any number of files. Spark reads a big file in
+    several splits and packs splits by size, so the row id alone is out of order; file
+    and split start come first.
     """
-    raw = spark.read.text(path).select(
+    return spark.read.text(path).select(
         "value",
-        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_path").alias("file_key"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"),
     )
-    files = raw.inputFiles()
-    if len(files) == 1:
-        return raw.select("value", F.lit(0).cast("bigint").alias("file_key"), "block_start", "line_id")
-    if len(files) > MAX_NUMBERED_FILES:
-        return raw.select("value", F.col("file_path").alias("file_key"), "block_start", "line_id")
-    names = sorted(_plain(name) for name in files)
-    numbered = spark.createDataFrame(list(enumerate(names)), "file_key bigint, name string")
-    # A left join that fails loudly: a file name in an unforeseen form must not
-    # lose its lines.
-    known = F.coalesce("file_key", F.raise_error(F.concat(F.lit("file not in the list: "), "file_path")))
-    named = raw.withColumn("name", F.regexp_replace("file_path", "^file:/+", "/"))
-    return named.join(F.broadcast(numbered), "name", "left").select(
-        "value", known.cast("bigint").alias("file_key"), "block_start", "line_id"
-    )
-
-
-def _plain(name: str) -> str:
-    """Local paths come as ``file:/x`` or ``file:///x``."""
-    return re.sub("^file:/+", "/", name)
 
 
 def stream_log(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
