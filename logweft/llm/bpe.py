@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,9 +33,9 @@ from logweft.llm.common import text_bytes, values
 
 #: White space as the pattern's engine means it (Unicode White_Space). Fixed values.
 SPACE = r"\t-\r \x85\xa0  -     　"
-MOST_STATES = 60_000  # transducer states that a worker builds
-MOST_WORDS = 700_000  # remembered words of a worker, in two generations
-OUT_BYTES = 8 << 20  # text bytes per output batch
+MOST_STATES = 40_000  # transducer states that a worker builds
+MOST_WORDS = 300_000  # remembered words of a worker, in two generations
+OUT_BYTES = 2 << 20  # text bytes per output batch
 
 Ranks = dict[bytes, int]
 NO_RANK = 1 << 60
@@ -114,7 +115,7 @@ class Transducer:
     def _may_follow(self, before: bytes, token: bytes) -> bool:
         known = self._follows.get((before, token))
         if known is None:
-            if len(self._follows) > 4 * MOST_STATES:
+            if len(self._follows) > 3 * MOST_STATES:
                 self._follows.clear()
             known = self._follows[before, token] = merge(before + token, self.ranks) == [before, token]
         return known
@@ -217,7 +218,7 @@ class Encoder:
         if ids is None:
             encode = self._machine.encode
             found = [i for piece in self._pieces(word) for i in encode(piece.encode())]
-            ids = np.array(found, np.int32).tobytes()
+            ids = array("i", found).tobytes()
         if len(word) <= 64:  # long junk comes back rarely
             if len(self._young) >= MOST_WORDS // 2:
                 self._old, self._young = self._young, {}

@@ -11,7 +11,7 @@ Features are counted once over every whole text. Labels of at most
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logweft.llm.common import boxed, text_bytes, unboxed, values
 
 SAMPLE_ROWS = 20_000  # labelled rows that fit the model, about
+ROWS_AT_ONCE = 1000
 FEATURES = [
     "log_bytes",
     "word_bytes",
@@ -233,18 +234,21 @@ def train(docs: DataFrame, labels: DataFrame, column: str, learn_from: Column, r
     return fit(matrix[order], target[order])
 
 
-def with_score(docs: DataFrame, model: AdditiveModel, keep: list[str], least: float | None = None) -> DataFrame:
+def _score_batches(
+    rows: DataFrame, keep: list[str], text: Callable[[pa.RecordBatch], list[bytes]], model: AdditiveModel, least: float | None
+) -> DataFrame:
     """``keep`` columns and ``score``, the chance of label 1; only rows of ``least`` or more if given."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text_bytes().alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema.fields)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            matrix = np.array([text_features(t) for t in values(batch, "_text")], dtype=float)
-            scores = model.score(matrix.reshape(-1, len(FEATURES)))
-            columns = [batch.column(i) for i in range(len(keep))]
-            out = pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=[*keep, "score"])
-            yield out if least is None else out.filter(pa.array(scores >= least))
+        for whole in batches:
+            for start in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                matrix = np.array([text_features(t) for t in text(batch)], dtype=float)
+                scores = model.score(matrix.reshape(-1, len(FEATURES)))
+                columns = [batch.column(i) for i in range(len(keep))]
+                out = pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=[*keep, "score"])
+                yield out if least is None else out.filter(pa.array(scores >= least))
 
     return rows.mapInArrow(step, f"{kinds}, score double")
 
@@ -256,11 +260,17 @@ def quality(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int =
     Null texts count as empty; repeated rows each get their score; a null id is
     never learned from. Columns other than ``doc_id`` and ``text`` are not read.
     """
-    return with_score(docs, train(docs, labels, "quality", learn_from, rows), ["doc_id"])
+    model = train(docs, labels, "quality", learn_from, rows)
+    texts = docs.select("doc_id", text_bytes().alias("_text"))
+    return _score_batches(texts, ["doc_id"], lambda batch: values(batch, "_text"), model, None)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents scored ``threshold`` or more, with their own columns, whatever
     these are called."""
     model = train(docs, labels, "quality", F.lit(True))
-    return unboxed(with_score(boxed(docs), model, ["doc"], threshold))
+
+    def texts(batch: pa.RecordBatch) -> list[bytes]:
+        return [t or b"" for t in batch.column(0).field("text").cast(pa.binary()).to_pylist()]
+
+    return unboxed(_score_batches(boxed(docs).select("doc"), ["doc"], texts, model, threshold))
