@@ -14,8 +14,13 @@ LIVE = Registry()
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = v.table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder)
+    """The events table as a stream, whether it is one file or a folder of files."""
+    rows = v.table(spark, folder, "events")
+    some = rows.select("_metadata.file_path").first()
+    source = spark.readStream.schema(rows.schema)
+    if some is not None and some.file_path.endswith("/events.parquet"):
+        return source.option("pathGlobFilter", "events.parquet").parquet(folder)
+    return source.parquet(f"{folder}/events.parquet")
 
 
 def _line_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -55,13 +55,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores where the scan has fewer partitions than that, as for
-    one small file. A scan of real size has more and is left alone."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def templates() -> list[Template]:
     return vocabulary(fv.TEMPLATES_30)
 
@@ -88,7 +81,7 @@ def lines_of(events: DataFrame) -> DataFrame:
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("event_id", "ts", "user_id")
-    return lines_of(spread(events, "event_id"))
+    return lines_of(events)
 
 
 def occurrences(spark: SparkSession, folder: str) -> DataFrame:

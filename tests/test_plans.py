@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweft.functions import text as tx
 from logweft.operators import curate as cu, dashboard as db, lines as ln, quality as ql, samples as sm, sessions as ss, traces as tr
-from logweft.plans import views as v
+from logweft.plans import parsing, views as v
 from logweft.session import materialize
 
 
@@ -29,6 +29,10 @@ def test_sessions_shuffle_once(stored):
     assert exchanges(ss.event_matrix(stored, v.templates())) == 1
 
 
+def test_the_flagship_query_shuffles_once(spark, data):
+    assert exchanges(parsing.block_sessions(spark, data)) == 1
+
+
 def test_parsing_is_narrow_and_runs_each_pattern_once(spark, data):
     lines = spark.read.parquet(f"{data}/events.parquet")
     plan = plan_of(ln.events(v.lines_of(lines), v.templates()))
