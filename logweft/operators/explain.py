@@ -154,3 +154,12 @@ def explanations(
     return told.withColumn("_text", text).select(
         *kept, "rotation", tx.squeeze_spaces(at_most_five(F.col("_text"))).alias("explanation")
     )
+
+
+def rule_explanation(rows: DataFrame) -> DataFrame:
+    """``explanation`` by rules alone for sequences without a known type: the signals,
+    one further fact and the time. ``rows`` has sequence, gaps and latency."""
+    told = rows.withColumns(sq.features(F.col("sequence"), F.col("gaps"), F.col("latency")))
+    sentence = lambda text: F.concat(sentence_capital(text), F.lit("."))
+    text = F.concat_ws(" ", sentence(signal_text()), sentence(detail_text()), time_text(F.col("latency")))
+    return told.select(*rows.columns, tx.squeeze_spaces(text).alias("explanation"))

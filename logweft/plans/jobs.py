@@ -43,7 +43,7 @@ def parse_log(spark: SparkSession, log_path: str, templates: list[Template], wit
         seen, F.count(F.lit(1)).alias("total"), *[count(reason) for reason in reasons]
     )
     occurrences = materialize(ln.matched_events(marked), "occurrences")
-    return ParsedLog(occurrences, ss.sessions(occurrences, templates, with_text=with_text), seen.get)
+    return ParsedLog(occurrences, ss.sessions(occurrences, templates, with_text=with_text, with_gaps=True), seen.get)
 
 
 def detect_and_explain(
@@ -57,8 +57,8 @@ def detect_and_explain(
 ) -> dict[str, int]:
     """Raw log to sessions, verdicts and explanations of the first anomalies.
 
-    Without a scorer the built-in rule decides; without a generator the prompts
-    are written and explanations stay null.
+    Without a scorer the built-in rule decides; without a generator the explanation
+    is put together by rules from the sequence. Prompts are written either way.
     """
     parsed = parse_log(spark, log_path, templates)
     ss.require_rows(parsed.occurrences, "matched lines")
@@ -74,7 +74,7 @@ def detect_and_explain(
     chosen = sc.first_to_explain(flagged, "first_seen", explain_limit)
     asked = chosen.withColumn("prompt", render.explainer_prompt(F.col("sequence"), F.col("latency")))
     if generator is None:
-        told = asked.withColumn("explanation", F.lit(None).cast("string"))
+        told = ex.rule_explanation(asked)
     else:
         told = sc.generate(asked, generator).withColumn("explanation", sc.extracted(F.col("explanation")))
     told.select("block_id", "sequence", "latency", "prompt", "explanation").write.mode("overwrite").json(

@@ -24,6 +24,15 @@ def test_detect_and_explain(spark, tmp_path, data):
     assert spark.read.csv(f"{out}/contents", header=True).columns == ["Content", "Label"]
 
 
+def test_every_anomaly_is_explained_by_default(spark, tmp_path, data):
+    v.log_lines(spark, data).orderBy("line_id").select("value").coalesce(1).write.text(str(tmp_path / "log"))
+    out = str(tmp_path / "out")
+    counts = jobs.detect_and_explain(spark, str(tmp_path / "log"), v.templates(), out)
+    told = spark.read.json(f"{out}/explanations").collect()
+    assert len(told) == counts["anomalies"] > 10
+    assert all(r.explanation.endswith(".") and len(r.explanation) > 20 for r in told)
+
+
 def trace_file(tmp_path):
     path = tmp_path / "traces.csv"
     with open(path, "w", newline="") as f:
