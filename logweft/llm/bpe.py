@@ -34,6 +34,7 @@ from logweft.llm.common import text_bytes, values
 #: White space as the pattern's engine means it (Unicode White_Space). Fixed values.
 SPACE = r"\t-\r \x85\xa0  -     　"
 MOST_STATES = 40_000  # transducer states that a worker builds
+MOST_PAIRS = 300_000  # remembered pairs of tokens
 MOST_WORDS = 300_000  # remembered words of a worker, in two generations
 OUT_BYTES = 2 << 20  # text bytes per output batch
 
@@ -46,8 +47,25 @@ def parse_ranks(content: bytes) -> Ranks:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
 
 
+def token_list(ranks: Ranks) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
 def merge(piece: bytes, ranks: Ranks) -> list[bytes]:
     """Plain BPE of a short piece: join the adjacent pair of least rank, leftmost first."""
+    return _merged(piece, ranks, -1) or []
+
+
+def stay_apart(left: bytes, right: bytes, ranks: Ranks) -> bool:
+    """Does plain BPE of both, one after the other, give just these two tokens?"""
+    return _merged(left + right, ranks, len(left)) == [left, right]
+
+
+def _merged(piece: bytes, ranks: Ranks, border: int) -> list[bytes] | None:
+    """The parts that plain BPE ends with, or None once it joins across ``border``."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     known = [ranks.get(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]
     while known:
@@ -55,6 +73,10 @@ def merge(piece: bytes, ranks: Ranks) -> list[bytes]:
         if least == NO_RANK:
             break
         i = known.index(least)
+        if i < border:
+            border -= 1
+            if i == border:
+                return None
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
         del known[i]
         if i:
@@ -66,14 +88,17 @@ def merge(piece: bytes, ranks: Ranks) -> list[bytes]:
 
 class Suffix:
     """The longest suffix read so far that a token may still continue. ``steps[byte]``
-    is (the next suffix, the tokens that may end there, longest first, and the
-    places, counted back from there, where later tokens may begin)."""
+    is (the next suffix, the tokens that may end there with their sizes, longest first,
+    and the places, counted back from there, where later tokens may begin)."""
 
     __slots__ = ("read", "steps")
 
     def __init__(self, read: bytes):
         self.read = read
-        self.steps: dict[int, tuple[Suffix, list[bytes], list[int]]] = {}
+        self.steps: dict[int, tuple[Suffix, list[tuple[int, int]], list[int]]] = {}
+
+
+START = -1  # stands for the token before a piece
 
 
 class Transducer:
@@ -81,24 +106,26 @@ class Transducer:
 
     Places are those where a coming token may begin, and those on the ways back from
     them to the nearest place that all ways share, which is the greatest. The token
-    at a place is None at the start of the piece. Once ``MOST_STATES`` states are
-    built, an unknown transition is not made a state: the rest of that piece is read
-    with the places themselves, which gives the same tokens more slowly.
+    at a place is START at the start of the piece. Once ``most`` states are built, an
+    unknown transition is not made a state: the rest of that piece is read with the
+    places themselves, which gives the same tokens more slowly.
     """
 
     def __init__(self, ranks: Ranks, most: int = MOST_STATES):
         self.ranks, self.most = ranks, most
+        self._bytes = token_list(ranks)
+        self._size = [len(token) for token in self._bytes]
         self._openings = {token[:n] for token in ranks for n in range(1, len(token))}
-        self._follows: dict[tuple[bytes, bytes], bool] = {}
+        self._follows: dict[int, bool] = {}
         self._whole: dict[bytes, bool] = {}
         self._suffixes: dict[bytes, Suffix] = {b"": Suffix(b"")}
         self._number: dict[tuple, int] = {}
-        self._state: list[tuple[Suffix, dict[int, bytes | None]]] = []
+        self._state: list[tuple[Suffix, dict[int, int]]] = []
         self._next: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._rest: dict[int, tuple[int, ...]] = {}
-        self._intern(self._suffixes[b""], {0: None})
+        self._intern(self._suffixes[b""], {0: START})
 
-    def _intern(self, suffix: Suffix, places: dict[int, bytes | None]) -> int:
+    def _intern(self, suffix: Suffix, places: dict[int, int]) -> int:
         key = (suffix.read, *places.items())
         number = self._number.get(key)
         if number is None:
@@ -112,15 +139,19 @@ class Transducer:
             known = self._whole[token] = merge(token, self.ranks) == [token]
         return known
 
-    def _may_follow(self, before: bytes, token: bytes) -> bool:
-        known = self._follows.get((before, token))
+    def _may_follow(self, before: int, token: int) -> bool:
+        """May the token come after this one (START: after nothing)?"""
+        if before == START:
+            return True
+        pair = before << 32 | token
+        known = self._follows.get(pair)
         if known is None:
-            if len(self._follows) > 3 * MOST_STATES:
+            if len(self._follows) > MOST_PAIRS:
                 self._follows.clear()
-            known = self._follows[before, token] = merge(before + token, self.ranks) == [before, token]
+            known = self._follows[pair] = stay_apart(self._bytes[before], self._bytes[token], self.ranks)
         return known
 
-    def _step(self, suffix: Suffix, byte: int) -> tuple[Suffix, list[bytes], list[int]]:
+    def _step(self, suffix: Suffix, byte: int) -> tuple[Suffix, list[tuple[int, int]], list[int]]:
         found = suffix.steps.get(byte)
         if found is None:
             read = suffix.read + bytes([byte])
@@ -128,39 +159,32 @@ class Transducer:
             opens = [len(e) for e in ends if e in self._openings]
             kept = read[-opens[0] :] if opens else b""
             after = self._suffixes.setdefault(kept, Suffix(kept))
-            tokens = [e for e in ends if e in self.ranks and self._is_whole(e)]
+            tokens = [(self.ranks[e], len(e)) for e in ends if e in self.ranks and self._is_whole(e)]
             found = suffix.steps[byte] = (after, tokens, [0, *reversed(opens)])
         return found
 
-    def _last_token(self, tokens: list[bytes], before: dict[int, bytes | None], end: int) -> bytes:
-        """The one token that may end a byte after ``end``, by the encoding before it."""
-        for token in tokens:
-            last = before.get(end + 1 - len(token), b"")
-            if last is None or last and self._may_follow(last, token):
-                return token
-        raise ValueError("the ranks lack a single byte")
-
     def _build(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         suffix, before = self._state[state]
         suffix, tokens, opens = self._step(suffix, byte)
         places = {place + 1: token for place, token in before.items()}
-        places[0] = self._last_token(tokens, {-place: token for place, token in before.items()}, 0)
+        # Exactly one of the tokens that may end here follows the encoding before it.
+        places[0] = next(t for t, size in tokens if size in places and self._may_follow(places[size], t))
         live, kept = set(opens), {}
         while len(live) > 1:
             place = min(live)
             live.remove(place)
             kept[place] = places[place]
-            live.add(place + len(places[place]))
+            live.add(place + self._size[places[place]])
         (trunk,) = live
         kept[trunk] = places[trunk]
         return self._intern(suffix, kept), self._between(places, trunk)
 
-    def _between(self, places: dict[int, bytes | None], place: int) -> tuple[int, ...]:
-        """Ids of the tokens from the first place kept up to this one."""
+    def _between(self, places: dict[int, int], place: int) -> tuple[int, ...]:
+        """The tokens from the first place kept up to this one."""
         first, out = max(places), []
         while place != first:
-            out.append(self.ranks[places[place]])
-            place += len(places[place])
+            out.append(places[place])
+            place += self._size[places[place]]
         return tuple(reversed(out))
 
     def _finish(self, state: int) -> tuple[int, ...]:
@@ -170,17 +194,27 @@ class Transducer:
         return rest
 
     def _read_on(self, state: int, rest: bytes) -> list[int]:
-        """Ids still to come, without new states; here places are counted forward."""
+        """Tokens still to come, without new states; here places are counted forward."""
         suffix, places = self._state[state]
         first = -max(places)
         last = {-place: token for place, token in places.items()}
-        for end, byte in enumerate(rest):
-            suffix, tokens, _ = self._step(suffix, byte)
-            last[end + 1] = self._last_token(tokens, last, end)
-        out, place = [], len(rest)
-        while place != first:
-            out.append(self.ranks[last[place]])
-            place -= len(last[place])
+        follows, end = self._follows, 0
+        for byte in rest:
+            step = suffix.steps.get(byte) or self._step(suffix, byte)
+            suffix = step[0]
+            end += 1
+            for token, size in step[1]:
+                before = last.get(end - size)
+                if before is None:
+                    continue
+                known = follows.get(before << 32 | token)
+                if known or known is None and self._may_follow(before, token):
+                    last[end] = token
+                    break
+        out, sizes = [], self._size
+        while end != first:
+            out.append(last[end])
+            end -= sizes[last[end]]
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
@@ -216,9 +250,17 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         ids = self._old.get(word)
         if ids is None:
-            encode = self._machine.encode
-            found = [i for piece in self._pieces(word) for i in encode(piece.encode())]
-            ids = array("i", found).tobytes()
+            pieces = self._pieces(word)
+            if len(pieces) == 1:
+                ids = array("i", self._machine.encode(word.encode())).tobytes()
+            else:  # a piece is often a word seen elsewhere
+                young, old, encode = self._young, self._old, self._machine.encode
+                parts = [
+                    young.get(p) or old.get(p) or array("i", encode(p.encode())).tobytes() for p in pieces
+                ]
+                if len(pieces[0]) <= 64:
+                    young[pieces[0]] = parts[0]
+                ids = b"".join(parts)
         if len(word) <= 64:  # long junk comes back rarely
             if len(self._young) >= MOST_WORDS // 2:
                 self._old, self._young = self._young, {}
@@ -280,13 +322,6 @@ def decode_stream(ids: Iterable[int], tokens: list[bytes]) -> Iterator[str]:
         yield text
 
 
-def token_list(ranks: Ranks) -> list[bytes]:
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    return tokens
-
-
 @lru_cache(maxsize=2)
 def _encoder(content: bytes, pattern: str) -> Encoder:
     return Encoder(parse_ranks(content), pattern)
