@@ -408,7 +408,10 @@ def decode(encoded: DataFrame, path: str, keep: list[str] = ["doc_id"]) -> DataF
 
 
 def encode_checked(docs: DataFrame, path: str, pattern: str, keep: list[str] = ["doc_id"]) -> DataFrame:
-    """``keep`` columns, ``n_tokens``, ``ids``, and whether decoding gives the text's bytes again."""
+    """``keep`` columns, ``n_tokens``, ``ids``, and whether decoding gives the text's bytes again.
+
+    Meant for a stage among others: a task's encoder goes with the task, so workers that
+    later stages use again hold no states and words."""
     content = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())
     rows, kinds = _rows(docs, keep)
 
@@ -425,6 +428,8 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, keep: list[str] = [
                 [*kept, pa.array(np.diff(offsets).astype(np.int64)), column, pa.array(same, pa.bool_())],
                 names=[*keep, "n_tokens", "ids", "round_trip"],
             )
+        _encoder.cache_clear()
+        _tokens.cache_clear()
 
     return rows.mapInArrow(step, f"{kinds}, n_tokens bigint, ids array<int>, round_trip boolean")
 
