@@ -26,6 +26,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 MOST_WORDS = 900_000  # remembered words of a worker, in two generations
 OUT_BYTES = 2 << 20  # text bytes per batch
+MARKS = b".,!?;:*&%$#"  # end words; never begin a contraction, which an apostrophe would
 MARK = "|"  # stands between words that are encoded together
 SCHEMA = "doc_id bigint, shard int, place bigint, start_in_shard bigint, n_tokens bigint, ids array<int>"
 
@@ -34,8 +35,9 @@ class WordEncoder:
     """A tokenizers file applied word by word.
 
     The tokenizers that this suits cut at white space and drop it, so a text's ids are
-    those of its words one after the other. New words are encoded in one call per
-    batch, with a mark between them.
+    those of its words one after the other. They also cut between letters and the marks
+    after them, so a word of letters that ends in such marks is made of both. New words
+    are encoded in one call per batch, with a mark between them.
     """
 
     def __init__(self, content: str):
@@ -67,14 +69,25 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         cut = [t.split() for t in texts]
-        young, old, new = self._young, self._old, []
+        young, old, new, ended = self._young, self._old, set(), []
+
+        def known(word: bytes) -> bool:
+            if word not in young and word in old:
+                young[word] = old[word]
+            return word in young
+
         for word in {w for words in cut for w in words}:
-            if word not in young:
-                if word in old:
-                    young[word] = old[word]
+            if not known(word):
+                bare = word.rstrip(MARKS)
+                marks = word[len(bare) :]
+                if marks and bare.decode("utf-8", "replace").isalpha():
+                    ended.append((word, bare, marks))
+                    new.update(part for part in (bare, marks) if not known(part))
                 else:
-                    new.append(word)
+                    new.add(word)
         self._learn(sorted(new))
+        for word, bare, marks in ended:
+            young[word] = young[bare] + young[marks]
         out = [np.frombuffer(b"".join(map(young.__getitem__, words)), np.uint32) for words in cut]
         if len(young) > MOST_WORDS // 2:
             self._old, self._young = young, {}

@@ -285,6 +285,18 @@ def test_token_files(spark, data):
         start += len(ids)
 
 
+def test_words_encoded_apart_equal_whole_texts():
+    content = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    plain, own, rnd = Tokenizer.from_str(content), tokens.WordEncoder(content), random.Random(3)
+    plain.encode_special_tokens = True
+    letters = "abcéñß日ª .,!?;:*&%$#|'\"”’0123\u0301\n\t\xa0-<>sS"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    texts += ["it's.", "it's", "<|endoftext|>.", "a|b."]
+    got = own.encode([t.encode() for t in texts])
+    want = plain.encode_batch(texts, add_special_tokens=False)
+    assert [g.tolist() for g in got] == [w.ids for w in want]
+
+
 RANKS = bpe.parse_ranks(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
 
 
