@@ -7,10 +7,14 @@ shorter context is asked, without the symbols that the longer one knew (exclusio
 below the shortest, what is left of the 256 symbols is equally likely. Each document's
 code length is the sum over its bytes and one end symbol.
 
-The trie is counted over all training texts, exactly. Of each order those nodes are kept
-that hold a share of at least 1 / ``MOST_NODES`` of all counts, which bounds their
-number at any size of corpus; on small corpora all are kept. A node's shorter contexts
-are at least as frequent, so they are kept with it.
+The trie is counted over all training texts, exactly, and every node takes part in the
+scores. A symbol in the longest context that holds a share of at least 1 / ``MOST_NODES``
+of all counts is known to all tasks, with its chance. The other symbols of a text, rare
+or never seen there, are asked for: they are dealt by a hash of their last ``NEAR`` context
+bytes, and so are the stored counts, so that one task has all nodes of ``NEAR`` bytes of
+context and more that an answer can need. Shorter contexts have at most 256 ** ``NEAR``
+symbols at any size of corpus; all tasks know them. Asks and answers travel in packed
+groups, as sums of each text.
 
 The plain comparison, token shares, needs the count of every token of every document.
 Tokens with a share of at least 1 / ``MOST_FREQUENT`` are known to all tasks; the others
@@ -25,19 +29,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweft.llm.common import keyed, text_bytes, values
 from logweft.session import materialize
 
 ORDER = 5  # bytes of the longest context
-MOST_NODES = 1 << 20  # nodes of one order
+NEAR = 3  # bytes of the shortest contexts that are dealt to tasks
+MOST_NODES = 1 << 20  # nodes of one order that all tasks know
 MOST_FREQUENT = 1 << 17  # tokens known to all tasks
 END = 0xFF  # ends a text and stands before it; never a byte of UTF-8
 END_TOKEN = b""
 DISCOUNT = 0.5  # of every count, for the escape
 BLOCK_BYTES = 1 << 20  # text bytes that are worked on at once
 FLUSH = 1_500_000  # distinct keys that a task holds
+ASKS = 1 << 18  # symbols that are asked for together
+BUCKET_NODES = 1 << 18  # stored symbols that a bucket aims at
 GRAM, TOKEN = 0, 1
 
 
@@ -204,9 +212,9 @@ class Trie:
     """The static model; ``nodes[d]`` has (keys of d + 1 bytes, counts, contexts of d
     bytes, their total counts)."""
 
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.orders: list[Order] = []
-        for d, (keys, counts, contexts, totals) in enumerate(nodes):
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], below: tuple[Order, ...] = ()):
+        self.orders: list[Order] = [*below]
+        for d, (keys, counts, contexts, totals) in enumerate(nodes, len(below)):
             order = np.argsort(keys)
             keys, weight = keys[order], counts[order] - DISCOUNT
             own, at = np.unique(keys >> np.uint64(8), return_inverse=True)
@@ -221,6 +229,11 @@ class Trie:
                 Order(Index(keys), weight, Index(own), total, sums(weight), sums(np.ones(len(keys))), sums(shorter))
             )
 
+    def extended(self, grams: np.ndarray, counts: np.ndarray) -> Trie:
+        """With the longer contexts of some counted symbols of ORDER bytes of context: all
+        that share their last NEAR context bytes."""
+        return Trie(nodes_of(grams, counts, range(len(self.orders), ORDER + 1)), tuple(self.orders))
+
     @staticmethod
     def _mask(n: int) -> np.uint64:
         return np.uint64((1 << 8 * n) - 1)
@@ -257,7 +270,7 @@ class Trie:
 
 
 def kept_nodes(grams: DataFrame) -> list[tuple[np.ndarray, ...]]:
-    """For each order the nodes to keep, from (key, n) of the longest: at most MOST_NODES
+    """For each order its frequent nodes, from (key, n) of the longest: at most MOST_NODES
     symbols each, with their contexts and what these count with all symbols, kept or not."""
     total = grams.agg(F.sum("n")).first()[0] or 0
     nodes = []
@@ -282,6 +295,218 @@ def kept_nodes(grams: DataFrame) -> list[tuple[np.ndarray, ...]]:
     return nodes[::-1]
 
 
+def nearest_nodes(grams: DataFrame) -> list[tuple[np.ndarray, ...]]:
+    """All nodes of contexts of fewer than NEAR bytes."""
+    level = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * NEAR) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    keys, counts = level.column("key").to_numpy().view(np.uint64), level.column("n").to_numpy()
+    return nodes_of(keys, counts, range(NEAR))
+
+
+def nodes_of(grams: np.ndarray, counts: np.ndarray, orders: range) -> list[tuple[np.ndarray, ...]]:
+    nodes = []
+    for d in orders:
+        keys, at = np.unique(grams & Trie._mask(d + 1), return_inverse=True)
+        n = np.bincount(at, counts, minlength=len(keys))
+        contexts, at = np.unique(keys >> np.uint64(8), return_inverse=True)
+        nodes.append((keys, n, contexts, np.bincount(at, n, minlength=len(contexts))))
+    return nodes
+
+
+def frequent_nodes(grams: DataFrame) -> tuple[np.ndarray, ...]:
+    """Keys and counts of the frequent symbols in their longest contexts, these contexts and their totals."""
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    frequent = grams.filter(F.col("n") * MOST_NODES >= F.lit(total))
+    context = F.shiftrightunsigned("key", 8).alias("context")
+    wanted = F.broadcast(frequent.select(context).distinct())
+    sums = grams.select(context, "n").join(wanted, "context", "left_semi").groupBy("context").agg(F.sum("n").alias("n")).toArrow()
+    got = frequent.toArrow()
+    return (
+        got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy(),
+        sums.column("context").to_numpy().view(np.uint64), sums.column("n").to_numpy(),
+    )
+
+
+class Frequent:
+    """Frequent symbols of the longest contexts: log10 of their chances."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, totals: np.ndarray):
+        place = np.argsort(contexts)
+        total = totals[place][np.searchsorted(contexts[place], keys >> np.uint64(8))]
+        self.log = np.log10((counts - DISCOUNT) / total)
+        self.index = Index(keys)
+
+    def score(self, grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of texts over their frequent symbols; the other symbols and their texts."""
+        at = self.index.find(grams)
+        known = at >= 0
+        logs = np.zeros(len(grams))
+        logs[known] = self.log[at[known]]
+        whose = np.repeat(np.arange(len(sizes)), sizes)
+        return np.bincount(whose, logs, minlength=len(sizes)), grams[~known], whose[~known]
+
+
+_ODD, _SHIFT = 2654435761, 20  # of a hash
+
+
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    near = (grams >> np.uint64(8)) & np.uint64((1 << 8 * NEAR) - 1)
+    return (((near * np.uint64(_ODD)) >> np.uint64(_SHIFT)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of the numbers, all first bytes before all second ones."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _of_planes(data: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = data.reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def _packed(grams: np.ndarray, numbers: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """(bucket, its grams and their numbers of at most 6 bytes), sorted so that they shrink."""
+    bucket = _bucket(grams, buckets)
+    order = np.lexsort([grams, bucket])
+    grams, numbers, bucket = grams[order], numbers[order], bucket[order]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(bucket)]):
+        data = _planes(numbers[a:b], 6) + _planes(grams[a:b], ORDER + 1)
+        out.append((int(bucket[a]), (b - a).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)))
+    return out
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(packed[:8], "little")
+    raw = np.frombuffer(pa.decompress(packed[8:], n * (6 + ORDER + 1), "zstd", asbytes=True), np.uint8)
+    return _of_planes(raw[6 * n :], ORDER + 1), _of_planes(raw[: 6 * n], 6)
+
+
+class Asks:
+    """Symbols of a task's texts that are not frequent, packed by bucket."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.group = buckets, 0
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.texts = 0
+
+    @property
+    def home(self) -> int:
+        """Where answers go: a number of the task and of its group of asks."""
+        return (TaskContext.get().partitionId() << 32) + self.group
+
+    def add(self, grams: np.ndarray, texts: np.ndarray, n_texts: int) -> None:
+        self.held.append((grams, texts + self.texts))
+        self.size, self.texts = self.size + len(grams), self.texts + n_texts
+
+    def taken(self) -> list[tuple[int, int, bytes]]:
+        """(home, bucket, asks) of what is held."""
+        grams, texts = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
+        out = [(self.home, bucket, packed) for bucket, packed in _packed(grams, texts, self.buckets)]
+        self.held, self.size, self.texts, self.group = [], 0, 0, self.group + 1
+        return out
+
+
+def packed_counts(grams: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, home, asks) with the counts of stored symbols in place of texts, and no home."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            of, packed = zip(*_packed(*(np.concatenate([h[i] for h in held]) for i in (0, 1)), buckets))
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(of, pa.int32()), pa.nulls(len(of), pa.int64()), pa.array(packed, pa.binary())],
+                names=["bucket", "home", "asks"],
+            )
+
+        for batch in batches:
+            if len(batch):
+                held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+                size += len(batch)
+            if size >= FLUSH:
+                yield out()
+                size = 0
+        if held:
+            yield out()
+
+    return grams.mapInArrow(step, "bucket int, home bigint, asks binary")
+
+
+def answered(asks: DataFrame, grams: DataFrame, short: Trie, buckets: int) -> DataFrame:
+    """``home``, ``place`` and ``asked_score``: the sum over all that a text asked for.
+
+    ``asks`` has home, bucket and asks; ``grams`` is (key, n) of all symbols in their
+    longest contexts and ``short`` has all contexts of fewer than NEAR bytes.
+    """
+    shared = asks.sparkSession.sparkContext.broadcast(short)
+
+    def answers(trie: Trie, homes: list[int], packed: list[bytes]) -> pa.RecordBatch:
+        asked = [_unpacked(p) for p in packed]
+        logs = trie.log10(np.concatenate([grams for grams, _ in asked]))
+        out, start = [], 0
+        for grams, own in asked:
+            found, at = np.unique(own, return_inverse=True)
+            out.append(_planes(found, 4) + np.bincount(at, logs[start : start + len(grams)]).tobytes())
+            start += len(grams)
+        return pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(out, pa.binary())], names=["home", "sums"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, keys, counts, trie = None, [], [], None
+        for batch in batches:
+            of, asking = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(of) != 0) | (np.diff(asking.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(of)]):
+                if a == b:
+                    continue
+                if of[a] != bucket:
+                    bucket, keys, counts, trie = of[a], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], None
+                if not asking[a]:
+                    for packed in batch.column(2).slice(a, b - a).to_pylist():
+                        found, n = _unpacked(packed)
+                        keys.append(found)
+                        counts.append(n)
+                    continue
+                if trie is None:
+                    trie = shared.value.extended(np.concatenate(keys), np.concatenate(counts))
+                for at in range(a, b, 256):
+                    some = [batch.column(i).slice(at, min(256, b - at)).to_pylist() for i in (1, 2)]
+                    yield answers(trie, *some)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, total, seen = None, np.zeros(0), np.zeros(0, bool)
+
+        def out() -> pa.RecordBatch:
+            places = np.flatnonzero(seen)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(places), home)), pa.array(places), pa.array(total[places])],
+                names=["home", "place", "asked_score"],
+            )
+
+        for batch in batches:
+            for own, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if own != home:
+                    if home is not None:
+                        yield out()
+                    home, total, seen = own, np.zeros(0), np.zeros(0, bool)
+                n = len(packed) // 12
+                raw = np.frombuffer(packed, np.uint8)
+                places = _of_planes(raw[: 4 * n], 4).astype(np.int64)
+                more = max(0, int(places.max()) + 1 - len(total))
+                total, seen = np.pad(total, (0, more)), np.pad(seen, (0, more))
+                total[places] += raw[4 * n :].copy().view(np.float64)
+                seen[places] = True
+        if home is not None:
+            yield out()
+
+    both = packed_counts(grams, buckets).union(asks.select("bucket", "home", "asks"))
+    dealt = both.repartition("bucket").sortWithinPartitions("bucket", F.col("home").asc_nulls_first())
+    found = dealt.mapInArrow(look_up, "home bigint, sums binary").repartition("home").sortWithinPartitions("home")
+    return found.mapInArrow(add_up, "home bigint, place bigint, asked_score double")
+
+
 def scored(docs: DataFrame, learn_from: Column, held_out: Column) -> DataFrame:
     """Scores of every whole text under the model and under plain token shares.
 
@@ -297,22 +522,45 @@ def scored(docs: DataFrame, learn_from: Column, held_out: Column) -> DataFrame:
     counts = materialize(counted(rows.filter("_learn")), "ppm-counts")
     tokens = counts.filter(F.col("kind") == TOKEN).select("key", "n")
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    trie = Trie(kept_nodes(counts.filter(F.col("kind") == GRAM).select("key", "n")))
+    grams = counts.filter(F.col("kind") == GRAM).select("key", "n")
+    nearest, short = Frequent(*frequent_nodes(grams)), Trie(nearest_nodes(grams))
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), grams.count() // BUCKET_NODES)
     frequent = tokens.filter(F.col("n") * MOST_FREQUENT >= F.lit(n)).toArrow()
     known = {int(k): c for k, c in zip(frequent.column("key").to_numpy().view(np.uint64), frequent.column("n").to_pylist())}
     share = np.log10(n + 0.5 * (v + 1))
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((trie, {k: float(np.log10(c + 0.5) - share) for k, c in known.items()}))
+    shared = context.broadcast((nearest, {k: float(np.log10(c + 0.5) - share) for k, c in known.items()}))
     end_key = int(np.array([token_hash(END_TOKEN)], np.uint64).view(np.int64)[0])
     end_row = tokens.filter(F.col("key") == end_key).first()
     end_score, end_known = float(np.log10((end_row["n"] if end_row else 0) + 0.5) - share), int(end_row is not None)
 
+    kind = dict(docs.dtypes)["doc_id"]
+    fields = (
+        f"row_key bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double,"
+        " score double, rare array<bigint>, place bigint, home bigint, bucket int, asks binary"
+    )
+    names = ["row_key", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "place", "home", "bucket", "asks"]
+
+    together = ASKS
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, shares = shared.value
+        nearest, shares = shared.value
+        asks, id_type = Asks(buckets), None
+
+        def asked() -> pa.RecordBatch:
+            homes, of, packed = zip(*taken) if (taken := asks.taken()) else ([], [], [])
+            types = [pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.int64()]
+            empty = [pa.nulls(len(homes), t) for t in types]
+            own = [pa.array(homes, pa.int64()), pa.array(of, pa.int32()), pa.array(packed, pa.binary())]
+            return pa.RecordBatch.from_arrays([*empty, *own], names=names)
+
         for batch in batches:
+            id_type = batch.schema.field("doc_id").type
             for block in blocks(batch, "_text", "row_key", "doc_id", "held_out"):
                 cut = [normal_form(row[0]) for row in block]
-                scores = trie.score([b" ".join(words) for words in cut])
+                scores, unknown, texts = nearest.score(*packed_grams([b" ".join(words) for words in cut]))
+                places, home = np.arange(len(block)) + asks.texts, asks.home
+                asks.add(unknown, texts, len(block))
                 base, found, rare = [], [], []
                 for words in cut:
                     hashed = list(map(token_hash, words))
@@ -326,40 +574,41 @@ def scored(docs: DataFrame, learn_from: Column, held_out: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row[1] for row in block], pa.int64()),
-                        pa.array([row[2] for row in block], batch.schema.field("doc_id").type),
+                        pa.array([row[2] for row in block], id_type),
                         pa.array([row[3] for row in block], pa.bool_()),
                         pa.array([len(words) + 1 for words in cut], pa.int64()),
                         pa.array(found, pa.int64()),
                         pa.array(base, pa.float64()),
                         pa.array(scores, pa.float64()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                        pa.array(places, pa.int64()),
+                        pa.array(np.full(len(block), home), pa.int64()),
+                        pa.nulls(len(block), pa.int32()),
+                        pa.nulls(len(block), pa.binary()),
                     ],
-                    names=["row_key", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                    names=names,
                 )
-
-    kind = dict(docs.dtypes)["doc_id"]
-    measured = materialize(
-        rows.drop("_learn").mapInArrow(
-            step,
-            f"row_key bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double,"
-            " score double, rare array<bigint>",
-        ),
-        "ppm-scores",
-    )
+                if asks.size >= together:
+                    yield asked()
+        if asks.held:
+            yield asked()
+
+    stored = materialize(rows.drop("_learn").mapInArrow(step, fields), "ppm-scores")
+    answers = answered(stored.filter("bucket IS NOT NULL"), grams, short, buckets)
+    measured = stored.filter("bucket IS NULL").drop("bucket", "asks")
     missing = measured.select("row_key", F.explode("rare").alias("key")).join(tokens, "key", "left").select(
-        "row_key",
-        (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(float(share))).alias("log_share"),
-        F.col("n").isNotNull().cast("bigint").alias("known"),
+        "row_key", F.coalesce("n", F.lit(0)).alias("n")
     )
+    log_share = F.log10(F.col("n") + 0.5) - F.lit(float(share))
     rest = missing.repartition("row_key").groupBy("row_key").agg(
-        F.sum("log_share").alias("rare_score"), F.sum("known").alias("rare_known")
+        F.sum(log_share).alias("rare_score"), F.count_if(F.col("n") > 0).alias("rare_known")
     )
-    return measured.drop("rare").join(rest, "row_key", "left").select(
+    return measured.drop("rare").join(rest, "row_key", "left").join(answers, ["home", "place"], "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("asked_score", F.lit(0.0))).alias("score"),
     )

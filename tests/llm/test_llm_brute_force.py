@@ -167,6 +167,23 @@ def test_pruned_tries_stay_distributions(spark, monkeypatch):
         assert (10 ** trie.log10(context + np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("nodes", [1 << 20, 40])
+def test_rare_contexts_count_in_scores(spark, monkeypatch, nodes):
+    monkeypatch.setattr(ppm, "MOST_NODES", nodes)
+    monkeypatch.setattr(ppm, "ASKS", 50)
+    rnd = random.Random(nodes)
+    rows = [(i, " ".join("".join(rnd.choice("abé") for _ in range(rnd.randint(1, 6))) for _ in range(rnd.randint(0, 30)))) for i in range(40)]
+    rows += [(40, "zyx " * 9), (41, "abab qqq zyx"), (42, None)]
+    normal = lambda text: b" ".join((text or "").encode().lower().split())
+    chance = plain_ppm([normal(t) for i, t in rows if i % 4 != 1], ppm.ORDER)
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {r["doc_id"]: r["score"] for r in ppm.scored(docs, F.col("doc_id") % 4 != 1, F.col("doc_id") % 4 == 1).collect()}
+    for i, text in rows:
+        padded = bytes([255]) * ppm.ORDER + normal(text) + b"\xff"
+        plain = sum(math.log10(chance(padded[j - ppm.ORDER : j], padded[j])) for j in range(ppm.ORDER, len(padded)))
+        assert got[i] == pytest.approx(plain, rel=1e-9)
+
+
 @pytest.mark.parametrize("frequent", [1 << 17, 40])
 def test_token_shares(spark, data, monkeypatch, frequent):
     monkeypatch.setattr(ppm, "MOST_FREQUENT", frequent)
