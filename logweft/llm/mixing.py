@@ -182,6 +182,7 @@ def pieces(placed: DataFrame, draws: DataFrame, seed: int = SEED) -> DataFrame:
         "row_id",
         "doc_id",
         "source_key",
+        "pass",
         "shard",
         F.xxhash64(F.lit(seed), "shard", "row_id", "pass", "block").alias("shard_order"),
         (first - F.col("start")).alias("first_word"),
@@ -214,18 +215,23 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix with the documents' own columns: a document of which the mix takes n times
-    its words and some more stands there n times whole, and once with its first words
-    (joined by one space) for the rest."""
+    """The mix with the documents' own columns: a row per document and pass that draws words
+    of it. Where a pass draws all of them the document is whole, otherwise the row has the
+    drawn words in the document's order, joined by one space. Rows are in the order of
+    their shards, and within a shard in its local order; a document across blocks goes to
+    the shard of its first drawn words."""
     rows = keyed(boxed(docs).withColumn("source", F.col("doc")["source"]), ["doc", "doc_id", "text", "source"])
     placed, parts = mix(rows, key=F.col("row_key"))
-    taken = parts.groupBy(F.col("row_id").alias("row_key")).agg(F.sum("n_words").alias("taken"))
-    sizes = placed.select(F.col("row_id").alias("row_key"), "size").join(taken, "row_key")
-    copies = rows.select("row_key", "doc").join(sizes, "row_key").withColumn(
-        "left", F.explode(F.expr("transform(sequence(0L, (taken - 1) div size), c -> taken - c * size)"))
-    )
-    first = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("left").cast("int")), " ")
-    return unboxed(copies, F.when(F.col("left") >= F.col("size"), F.col("doc")["text"]).otherwise(first))
+    spans = F.array_sort(F.collect_list(F.struct("first_word", "n_words", "shard", "shard_order")))
+    drawn = parts.groupBy(F.col("row_id").alias("row_key"), "pass").agg(spans.alias("spans"), F.sum("n_words").alias("taken"))
+    sizes = placed.select(F.col("row_id").alias("row_key"), "size")
+    copies = rows.select("row_key", "doc").join(drawn.join(sizes, "row_key"), "row_key")
+    first = F.col("spans")[0]
+    ordered = copies.orderBy(first["shard"], first["shard_order"], "row_key", "pass")
+    words = F.array(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)))
+    span = lambda w, s: F.slice(w, (s["first_word"] + 1).cast("int"), s["n_words"].cast("int"))
+    part = F.transform(words, lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: span(w, s))), " "))[0]
+    return unboxed(ordered, F.when(F.col("taken") == F.col("size"), F.col("doc")["text"]).otherwise(part))
 
 
 def taken_sql(seed: int = SEED) -> str:
