@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,7 @@ STANDS_FOR = {
 }
 APART = " .-_*~'"  # may stand between the letters of a word
 SWAP, DROP, JOIN, KEEP = 1.0, 0.5, 0.5, 4.0  # costs: as a letter, between letters, fewer repeats, unread
+SETTLED = 64  # runs after which what all paths have in common is put aside
 
 _SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
@@ -96,11 +98,13 @@ class CharacterModel:
         return counts
 
     def restore(self, word: str) -> str:
-        """The best path through the word's lattice."""
+        """The best path through the word's lattice. A space may be a border of two words,
+        at the cost of the first one's end; the second begins like any word."""
+        settled: list[str] = []
         best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
         runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", word, re.S)]
-        for char, length in runs:
-            choices = [(char * min(length, 2), 0.0 if char.isalpha() else KEEP)]
+        for place, (char, length) in enumerate(runs):
+            choices = [(char * min(length, 2), 0.0 if char.isalpha() else KEEP)] if char != " " else [(" ", 0.0)]
             if length > 1 and char.isalpha():
                 choices.append((char, JOIN if length > 2 else 3 * JOIN))
             for letter in STANDS_FOR.get(char, ""):
@@ -111,7 +115,9 @@ class CharacterModel:
             for (a, b), (cost, read) in best.items():
                 for letters, own in choices:
                     x, y, total = a, b, cost + own
-                    for c in letters:
+                    if letters == " ":
+                        total, x, y = total + self.cost[a, b, EDGE], EDGE, EDGE
+                    for c in letters.strip(" "):
                         z = code_of(c)
                         total += self.cost[x, y, z]
                         x, y = y, z
@@ -119,7 +125,12 @@ class CharacterModel:
                     if known is None or (total, read + letters) < known:
                         after[x, y] = (total, read + letters)
             best = after
-        return min((cost + self.cost[a, b, EDGE], read) for (a, b), (cost, read) in best.items())[1]
+            if place % SETTLED == SETTLED - 1:
+                common = commonprefix([read for _, read in best.values()])
+                settled.append(common)
+                best = {k: (cost, read[len(common) :]) for k, (cost, read) in best.items()}
+        last = min((cost + self.cost[a, b, EDGE], read) for (a, b), (cost, read) in best.items())[1]
+        return "".join(settled) + last
 
 
 def code_of(char: str) -> int:
@@ -175,7 +186,7 @@ class ToxicityModel:
 
     def read(self, word: str) -> str:
         word = bare(word)
-        return self.characters.restore(word) if len(word) <= 64 and looks_hidden(word) else word
+        return self.characters.restore(word) if looks_hidden(word) else word
 
     def _weigh(self, word: str) -> float:
         known = self._old.get(word)
@@ -189,12 +200,12 @@ class ToxicityModel:
 
     def set_apart(self, text: str) -> list[str]:
         """Words whose letters stand apart, restored."""
-        return [self.characters.restore(bare(m[0])) for m in _SPACED.finditer(text) if len(m[0]) <= 128]
+        return [w for m in _SPACED.finditer(text) for w in self.characters.restore(bare(m[0])).split()]
 
     def restored(self, text: str) -> str:
         """The whole text as it is scored."""
         text = text.lower()
-        joined = _SPACED.sub(lambda m: self.characters.restore(bare(m[0])) if len(m[0]) <= 128 else m[0], text)
+        joined = _SPACED.sub(lambda m: self.characters.restore(bare(m[0])), text)
         return " ".join(map(self.read, joined.split()))
 
     def measure(self, text: str) -> list[float]:
