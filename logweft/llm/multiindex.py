@@ -6,7 +6,7 @@ the cells nearest to it, in the order of the sum of both squared distances (a ce
 is the i-th in one half and the j-th in the other is never among the first i * j - 1,
 which bounds what has to be compared to find them). How many cells it visits is the
 least number that finds ``RECALL`` of the links of sampled vectors, which are compared
-with all rows. What is found is verified by cosine in double precision.
+with all rows, and of planted pairs at the least cosine of a link. What is found is verified by cosine in double precision.
 
 Equal vectors of one label are one row with a count. Where both vectors of a pair visit
 each other's cell, the one of lower number counts it; so links are counted without
@@ -28,7 +28,10 @@ from logweft.session import materialize
 COSINE = 0.93
 RECALL = 0.98  # of the sampled vectors' links
 SAMPLE = 8192  # vectors that codebooks are fitted on
-QUERIES = 100  # sampled vectors that are compared with all rows
+QUERIES = 100  # sampled vectors that are compared with all rows at first
+MOST_QUERIES = 1600  # of them at once
+LINKS = 500  # links to measure, if the sample has so many
+PLANTED = 2000  # pairs at COSINE that the least number of visits is taken from
 MOST_CENTROIDS = 128  # of a half
 PER_CELL = 16  # vectors of a cell that the number of centroids aims at
 BLOCK = 2048  # residents of a cell that are compared at once
@@ -76,6 +79,16 @@ class Grid:
         left, right = self._both(vectors)
         return left.argmin(1) * self.width + right.argmin(1)
 
+    def rank(self, vectors: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many other cells every vector visits before or with its given one."""
+        out = np.zeros(len(vectors), np.int64)
+        for at in range(0, len(vectors), 64):
+            left, right = self._both(vectors[at : at + 64])
+            sums = (left[:, :, None] + right[:, None, :]).reshape(len(left), -1)
+            own = np.take_along_axis(sums, cells[at : at + 64, None], 1)
+            out[at : at + 64] = (sums <= own).sum(1) - 1
+        return out
+
     def visits(self, vectors: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of every vector, nearest first."""
         n = min(n, self.cells)
@@ -105,18 +118,45 @@ def _matrix(batch: pa.RecordBatch, name: str = "embedding") -> np.ndarray:
     return unit(np.array(values(batch, name), dtype=float)) if len(batch) else np.zeros((0, 0))
 
 
-def _measured_visits(classes: DataFrame, grid: Grid, queries: list) -> int:
-    """Cells to visit for RECALL of the queries' links with all rows."""
-    if not queries:
-        return VISITS
-    vectors = unit(np.array([q["embedding"] for q in queries], dtype=float))
-    rank = np.argsort(grid.visits(vectors, grid.cells), axis=1)
+def _measured_visits(classes: DataFrame, grid: Grid, sample: list) -> int:
+    """Cells to visit for RECALL of the sampled vectors' links with all rows, at least
+    those for planted pairs. More vectors are compared until ``LINKS`` are measured."""
+    own = unit(np.array([q["embedding"] for q in sample], dtype=float))
+    reached: dict[int, int] = {}
+    start, n = 0, QUERIES
+    while start < len(sample) and sum(reached.values()) < LINKS:
+        for rank, links in _link_ranks(classes, grid, own[start : start + n], sample[start : start + n]):
+            reached[rank] = reached.get(rank, 0) + links
+        start, n = start + n, min(4 * n, MOST_QUERIES)
+    floor = _planted_visits(grid, own)
+    if not reached:
+        return max(floor, VISITS)
+    ranks = sorted(reached)
+    sums = np.cumsum([reached[r] for r in ranks])
+    return max(floor, ranks[int(np.searchsorted(sums, RECALL * sums[-1]))] + 1)
+
+
+def _planted_visits(grid: Grid, vectors: np.ndarray) -> int:
+    """Cells to visit for RECALL of pairs at COSINE, made by turning sampled vectors. A pair
+    is found from either side."""
+    rng = np.random.default_rng(SAMPLE)
+    some = vectors[np.linspace(0, len(vectors) - 1, PLANTED).astype(int)]
+    aside = rng.normal(size=some.shape)
+    aside = aside - (aside * some).sum(1, keepdims=True) * some
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+    turned = COSINE * some + np.sqrt(1 - COSINE**2) * aside
+    rank = np.minimum(grid.rank(some, grid.cell(turned)), grid.rank(turned, grid.cell(some)))
+    return int(np.sort(rank)[int(np.ceil(RECALL * len(rank))) - 1]) + 1
+
+
+def _link_ranks(classes: DataFrame, grid: Grid, vectors: np.ndarray, queries: list) -> list[tuple[int, int]]:
+    """(rank of the linked row's cell among those that a query visits, links)."""
     shared = classes.sparkSession.sparkContext.broadcast(
-        (grid, vectors, np.array([q["label"] for q in queries]), np.array([q["class_id"] for q in queries]), rank)
+        (grid, vectors, np.array([q["label"] for q in queries]), np.array([q["class_id"] for q in queries]))
     )
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid, vectors, labels, ids, rank = shared.value
+        grid, vectors, labels, ids = shared.value
         for batch in batches:
             own = _matrix(batch)
             if not len(own):
@@ -124,15 +164,11 @@ def _measured_visits(classes: DataFrame, grid: Grid, queries: list) -> int:
             linked = (own @ vectors.T >= COSINE) & (np.array(values(batch, "label"))[:, None] == labels)
             linked &= np.array(values(batch, "class_id"))[:, None] != ids
             row, query = np.nonzero(linked)
-            ranks, counts = np.unique(rank[query, grid.cell(own)[row]], return_counts=True)
+            ranks, counts = np.unique(grid.rank(vectors[query], grid.cell(own)[row]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(ranks), pa.array(counts)], names=["rank", "n"])
 
     found = classes.select("class_id", "label", "embedding").mapInArrow(step, "rank bigint, n bigint")
-    ranks = found.groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    if not ranks:
-        return VISITS
-    reached = np.cumsum([r["n"] for r in ranks])
-    return int(ranks[int(np.searchsorted(reached, RECALL * reached[-1]))]["rank"]) + 1
+    return [(r["rank"], r["n"]) for r in found.groupBy("rank").agg(F.sum("n").alias("n")).collect()]
 
 
 def _placed(classes: DataFrame, grid: Grid, visits: int) -> DataFrame:
@@ -246,7 +282,7 @@ def linked_vectors(vectors: DataFrame) -> DataFrame:
         sample.sort(key=lambda r: (r["k1"], r["class_id"]))
         k = int(np.clip(round(np.sqrt(n / PER_CELL)), 2, MOST_CENTROIDS))
         grid = Grid(unit(np.array([r["embedding"] for r in sample], dtype=float)), k)
-        visits = _measured_visits(classes, grid, sample[:QUERIES])
+        visits = _measured_visits(classes, grid, sample)
         placed = materialize(_placed(classes, grid, visits), "vector-cells")
         sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
         sizes = sizes.select("label", F.col("cell").alias("home"), "parts")
