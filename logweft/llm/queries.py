@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweft.llm import bpe, mixing, multiindex, ppm, quality, simhash, substrings, tokens, toxicity, winnow
+from logweft.llm import bpe, mixing, multiindex, ppm, quality, runs, simhash, substrings, tokens, toxicity, winnow
 from logweft.llm.common import bucket_of, table
 
 QUERIES: dict = {}
@@ -83,6 +85,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.quality(docs, labels, bucket_of("doc_id", 3) != 1), bucket_of("doc_id", 3) == 1)
 
 
+def _periodic_end(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """The stated edit: in one of ten documents, words from some place on go round."""
+    checksum, size = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or checksum % 10 or not size:
+        return words
+    seed = checksum // 10
+    start = seed % size
+    cycle = words[start : start + 1 + (size - start) // (3 + seed % 8)]
+    return words[:start] + (cycle * ((size - start) // len(cycle) + 1))[: size - start]
+
+
+@query
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(table(spark, sf_dir, "documents"), edit=_periodic_end))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
