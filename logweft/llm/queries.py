@@ -7,7 +7,7 @@ import zlib
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweft.llm import bpe, mixing, multiindex, ppm, quality, runs, simhash, substrings, tokens, toxicity, winnow
+from logweft.llm import bpe, mixing, multiindex, packing, ppm, quality, runs, simhash, substrings, tokens, toxicity, winnow
 from logweft.llm.common import bucket_of, table
 
 QUERIES: dict = {}
@@ -101,6 +101,12 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(table(spark, sf_dir, "documents"), edit=_periodic_end))
 
 
+@query
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.digests(packing.pieces(table(spark, sf_dir, "documents"), path, end_id=0))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
