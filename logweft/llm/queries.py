@@ -7,7 +7,7 @@ import zlib
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweft.llm import bpe, mixing, multiindex, packing, ppm, quality, runs, simhash, substrings, tokens, toxicity, winnow
+from logweft.llm import bpe, mixing, multiindex, packing, ppm, quality, runs, simhash, substrings, tokens, toxicity, variants, winnow
 from logweft.llm.common import bucket_of, table
 
 QUERIES: dict = {}
@@ -107,6 +107,11 @@ def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pieces(table(spark, sf_dir, "documents"), path, end_id=0))
 
 
+@query
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"), edit=variants.one_letter_less)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
