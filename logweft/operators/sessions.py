@@ -36,7 +36,8 @@ def _stats() -> list[Column]:
     ]
 
 
-def _names(templates: list[Template], ords: Column) -> Column:
+def named(ords: Column, templates: list[Template]) -> Column:
+    """Event ids at matched ordinals."""
     ids = F.array(*[F.lit(t.event_id) for t in templates])
     return F.transform(ords, lambda i: F.get(ids, i.cast("int")))
 
@@ -161,7 +162,7 @@ def _named(rows: DataFrame, templates: list[Template], with_text: bool, with_gap
         "parts",
         "first_pos",
         "n_events",
-        _names(templates, F.col("_ords")).alias("sequence"),
+        named(F.col("_ords"), templates).alias("sequence"),
     ]
     if with_gaps:
         columns.append(_gaps(F.col("_at"), F.col("_before")).alias("gaps"))

@@ -5,26 +5,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logweft.operators import sessions as ss
 from logweft.plans import views as v
 from logweft.plans.registry import Registry
 from logweft.session import new_folder
-from logweft.streaming import live
+from logweft.sources import tail
+from logweft.streaming import keyed, live
 
 LIVE = Registry()
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table as a stream, whether it is one file or a folder of files."""
-    rows = v.table(spark, folder, "events")
-    some = rows.select("_metadata.file_path").first()
-    source = spark.readStream.schema(rows.schema)
-    if some is not None and some.file_path.endswith("/events.parquet"):
-        return source.option("pathGlobFilter", "events.parquet").parquet(folder)
-    return source.parquet(f"{folder}/events.parquet")
+BATCHES = 5  # of rows in order; one more brings late ones
+LATE_ROWS = "event_id % 50 = 7 AND event_id * 10 < (SELECT max(event_id) FROM events)"
+
+
+def _files_per_batch(spark: SparkSession) -> int:
+    return max(1, spark.sparkContext.defaultParallelism // 4)
 
 
-def _line_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return v.lines_of(_event_stream(spark, folder))
+def _with_lateness(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """Events with ``late``: some of the first tenth, to be delivered after all others."""
+    events = v.table(spark, folder, "events").select("event_id", "ts", "user_id", "value")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    return events.withColumn("late", F.expr(f"event_id % 50 = 7 AND event_id * 10 < {last}")), last
+
+
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream of ``BATCHES`` batches in order and a late one: a file stream
+    takes files by their times, so the batches are written one after the other."""
+    events, last = _with_lateness(spark, folder)
+    path, files = new_folder(spark, "events"), _files_per_batch(spark)
+    step = last // BATCHES + 1
+    for k in range(BATCHES + 1):
+        own = events.filter("late") if k == BATCHES else events.filter(~F.col("late") & F.expr(f"event_id DIV {step} = {k}"))
+        own.drop("late").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.drop("late").schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _log_tail(spark: SparkSession, folder: str) -> DataFrame:
+    """The derived log as the tail of text files whose names follow their lines, in
+    batches of ``_files_per_batch`` files; files of late lines come last."""
+    events, _ = _with_lateness(spark, folder)
+    paths, files = [new_folder(spark, "tail"), new_folder(spark, "tail-late")], _files_per_batch(spark)
+    for path, rows, count in ((paths[0], events.filter("NOT late"), BATCHES * files), (paths[1], events.filter("late"), files)):
+        ordered = v.lines_of(rows).repartitionByRange(count, "line_id").sortWithinPartitions("line_id")
+        ordered.select("value").write.text(path)
+    return tail.tail_log(spark, paths, files_per_batch=files)
 
 
 def _verdict_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,25 +78,74 @@ SELECT count(*) AS total, count(*) FILTER (status = 'Anomalous') AS anomalies, c
 def stream_stats(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "stats")
     totals = live.running_stats(_verdict_stream(spark, folder))
-    query = live.drain(totals, live.replace_table(path), f"{path}-state", "complete")
-    return live.recent(spark, path, query).withColumn("avg_latency", F.round("avg_latency", 6))
+    live.drain(totals, live.replace_table(path), f"{path}-state", "complete")
+    return live.snapshot(spark, path).withColumn("avg_latency", F.round("avg_latency", 6))
 
 
-@LIVE.add(
-    f"""WITH {_VERDICTS_SQL},
-w AS (SELECT time_bucket(INTERVAL '2 hours', ts, TIMESTAMP '2000-01-01') AS window_start, count(*) AS anomalies
-      FROM verdicts WHERE status = 'Anomalous' GROUP BY 1)
-SELECT epoch(window_start)::BIGINT AS window_start, anomalies FROM w
-WHERE window_start + INTERVAL '2 hours' <= (SELECT max(ts) FROM verdicts WHERE status = 'Anomalous') - INTERVAL '10 minutes'"""
-)
+def _windows_sql(rows: str) -> str:
+    return f"""WITH {_VERDICTS_SQL}
+SELECT epoch(time_bucket(INTERVAL '2 hours', ts, TIMESTAMP '2000-01-01'))::BIGINT AS window_start, count(*) AS anomalies
+FROM verdicts WHERE status = 'Anomalous' AND {rows} GROUP BY 1"""
+
+
+@LIVE.add(_windows_sql("true"))
 def stream_anomalies_2h(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows closed by the watermark once the whole table has passed."""
+    """All windows, the late rows counted in the ones they belong to."""
     path = new_folder(spark, "two-hours")
-    live.drain(live.two_hour_counts(_verdict_stream(spark, folder)), live.append_once(path), f"{path}-state")
+    live.drain(_verdict_stream(spark, folder), live.add_counts(path, live.anomaly_windows), f"{path}-state")
+    counts = live.snapshot(spark, path)
+    return counts.select(F.unix_seconds("window_start").alias("window_start"), F.col("n").alias("anomalies"))
+
+
+_LATE = LATE_ROWS.replace("event_id %", "id %").replace("event_id *", "id *")
+
+
+@LIVE.add(_windows_sql(f"NOT ({_LATE})"))
+def stream_closed_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows as the watermark closes them, the last ones by a flush; late rows are dropped."""
+    path = new_folder(spark, "closed-windows")
+    marks = keyed.mark_stream(spark, f"{path}-marks")
+    windows = live.two_hour_counts(_verdict_stream(spark, folder), marks=marks)
+    live.drain(windows, live.append_once(path), f"{path}-state")
+    keyed.request_flush(spark, f"{path}-marks")
+    live.drain(windows, live.append_once(path), f"{path}-state")
     closed = spark.read.parquet(path)
     return closed.select(F.unix_seconds("window_start").alias("window_start"), "anomalies")
 
 
+@LIVE.add(f"WITH {_VERDICTS_SQL} SELECT id, block_id FROM verdicts WHERE {_LATE}")
+def stream_late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The side table of rows that came too late for the watermark."""
+    path = new_folder(spark, "late")
+    live.drain(_verdict_stream(spark, folder), live.keep_late(path), f"{path}-state")
+    return spark.read.parquet(f"{path}/late").select("id", "block_id")
+
+
+@LIVE.add(f"WITH {_VERDICTS_SQL} SELECT DISTINCT block_id FROM verdicts WHERE status = 'Anomalous'")
+def stream_first_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks with an alert, once each over all batches."""
+    path = new_folder(spark, "first-alerts")
+    alerts = live.once_per_key(live.alert_stream(_verdict_stream(spark, folder)), delay="1000 days")
+    live.drain(alerts, live.append_once(path), f"{path}-state")
+    return spark.read.parquet(path).select("block_id")
+
+
+@LIVE.add(f"WITH {v.LINES_SQL} SELECT 'INFO' AS lvl, value AS text FROM log_lines WHERE value <> ''")
+def live_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of growing files as the live view shows them, blank ones left out."""
+    path = new_folder(spark, "feed")
+    with live.caught_up(live.live_lines(_log_tail(spark, folder)), live.append_once(path), f"{path}-state"):
+        return spark.read.parquet(path).select("lvl", "text")
+
+
+@LIVE.add(f"WITH {v.LINES_SQL} SELECT value, count(*) AS n FROM log_lines GROUP BY value")
+def tailed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of growing files, blank ones too, once."""
+    path = new_folder(spark, "tailed")
+    with live.caught_up(_log_tail(spark, folder), live.append_once(path), f"{path}-state"):
+        return spark.read.parquet(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @LIVE.add(f"WITH {_VERDICTS_SQL} SELECT id, block_id FROM verdicts WHERE status = 'Anomalous'")
 def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "alerts")
@@ -81,44 +156,37 @@ def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
 @LIVE.add(f"WITH {v.LINES_SQL} SELECT line_id, value FROM log_lines WHERE value <> '' ORDER BY line_id DESC LIMIT 80")
 def recent_buffer(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "recent")
-    lines = _line_stream(spark, folder).filter("value <> ''").select("line_id", "value")
-    query = live.drain(lines, live.keep_recent(path, "line_id"), f"{path}-state")
-    return live.recent(spark, path, query)
+    lines = v.lines_of(_event_stream(spark, folder)).filter("value <> ''").select("line_id", "value")
+    live.drain(lines, live.keep_recent(path, "line_id"), f"{path}-state")
+    return live.snapshot(spark, path)
 
 
 _SPANS_SQL = f"""{v.MARKED_SQL},
-timed AS (SELECT block_id, ts, event, line_id FROM marked WHERE reason = 'matched' AND ts IS NOT NULL),
+timed AS (SELECT block_id, ts, event, line_id FROM marked
+          WHERE reason = 'matched' AND ts IS NOT NULL AND NOT ({LATE_ROWS.replace("event_id %", "line_id %").replace("event_id *", "line_id *")})),
 started AS (
   SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh
   FROM timed WINDOW w AS (PARTITION BY block_id ORDER BY ts, line_id)),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY block_id ORDER BY ts, line_id) AS s FROM started),
-spans AS (
-  SELECT block_id, s, count(*) AS n_events, min(ts) AS first_ts, date_diff('second', min(ts), max(ts))::DOUBLE AS latency,
-         string_agg(event, ',' ORDER BY ts, line_id) AS sequence
-  FROM numbered GROUP BY block_id, s
-  HAVING max(ts) + INTERVAL '6 hours' <= (SELECT max(ts) FROM timed) - INTERVAL '10 minutes')"""
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY block_id ORDER BY ts, line_id) AS s FROM started)
+SELECT block_id, epoch(min(ts))::BIGINT AS first_second, count(*) AS n_events, date_diff('second', min(ts), max(ts))::DOUBLE AS latency,
+       string_agg(event, ',' ORDER BY ts, line_id) AS sequence
+FROM numbered GROUP BY block_id, s"""
 
 
-@LIVE.add(
-    f"WITH {_SPANS_SQL} SELECT block_id, epoch(first_ts)::BIGINT AS first_second, n_events, latency, sequence FROM spans"
-)
+@LIVE.add(f"WITH {_SPANS_SQL}")
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """Sessions by inactivity gap: bounds from the stream, event lists from the
-    occurrences that the same stream stored."""
+    """Sessions by inactivity gap from the tail of text files: late lines are dropped, and
+    a flush closes what is open at the end."""
     path = new_folder(spark, "sessions")
-    parsed = live.parse_stream(_line_stream(spark, folder), v.templates())
-    live.drain(parsed, live.append_once(f"{path}/occurrences"), f"{path}/parse-state")
-    schema = parsed.schema
-    stored = spark.read.parquet(f"{path}/occurrences").drop("batch")
-    again = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/occurrences")
-    spans = live.session_spans(again, gap="6 hours")
-    live.drain(spans, live.append_once(f"{path}/spans"), f"{path}/span-state")
-    closed = spark.read.parquet(f"{path}/spans").drop("batch")
-    rows = live.span_sequences(closed, stored, v.templates())
-    return rows.select(
+    parsed = live.parse_stream(_log_tail(spark, folder), v.templates())
+    closed = keyed.gap_sessions(parsed, 6 * 3600, marks=keyed.mark_stream(spark, f"{path}-marks"))
+    with live.caught_up(closed, live.append_once(path), f"{path}-state") as query:
+        keyed.request_flush(spark, f"{path}-marks")
+        query.processAllAvailable()
+    return spark.read.parquet(path).select(
         "block_id",
-        F.substring_index("session_key", "@", -1).cast("bigint").alias("first_second"),
+        F.unix_seconds("first_ts").alias("first_second"),
         "n_events",
         "latency",
-        F.array_join("sequence", ",").alias("sequence"),
+        F.array_join(ss.named(F.col("ords"), v.templates()), ",").alias("sequence"),
     )

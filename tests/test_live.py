@@ -21,22 +21,6 @@ def line(second, block, text="Verification succeeded for"):
     return f"240101 {second // 3600:02d}{second // 60 % 60:02d}{second % 60:02d} 7 INFO x: {text} blk_{block}"
 
 
-def spans_of(spark, tmp_path, batches):
-    write_files(tmp_path / "in", batches)
-    stream = live.parse_stream(logs.stream_log(spark, str(tmp_path / "in"), max_files=1), v.templates())
-    spans = live.session_spans(stream, gap="1 minute", delay="10 seconds")
-    query = live.drain(spans, live.append_once(str(tmp_path / "out")), str(tmp_path / "state"))
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
-    return sorted((r.block_id, r.n_events, r.latency) for r in rows), query
-
-
-def test_sessions_in_order_equal_batch(spark, tmp_path):
-    batches = [[line(0, 1), line(30, 1), line(40, 2)], [line(400, 1), line(420, 1)], [line(2000, 9)]]
-    got, query = spans_of(spark, tmp_path, batches)
-    assert got == [("blk_1", 2, 20.0), ("blk_1", 2, 30.0), ("blk_2", 1, 0.0)]
-    assert live.rows_dropped_late(query) == 0
-
-
 def test_stored_stream_equals_batch_sessions(spark, tmp_path):
     batches = [[line(5, 1), line(5, 1, "Reopen Block"), line(5, 2)], [line(5, 1, "writeBlock received exception"), line(1, 2, "Reopen Block")]]
     write_files(tmp_path / "in", batches)
@@ -53,18 +37,11 @@ def test_stored_stream_equals_batch_sessions(spark, tmp_path):
     assert streamed == [("blk_1", ["E2", "E19", "E7"], 0.0), ("blk_2", ["E19", "E2"], 4.0)]
 
 
-def test_late_rows_are_counted(spark, tmp_path):
-    batches = [[line(4000, 1)], [line(8000, 2)], [line(10, 3), line(20, 3), line(12000, 4)]]
-    got, query = spans_of(spark, tmp_path, batches)
-    assert ("blk_3", 2, 10.0) not in got
-    assert live.rows_dropped_late(query) >= 1
-
-
 def test_recent_buffer_over_batches(spark, tmp_path):
     write_files(tmp_path / "in", [[f"{i:03d}" for i in range(k, k + 50)] for k in (0, 50, 100)])
     lines = logs.stream_log(spark, str(tmp_path / "in"), max_files=1).select("value")
-    query = live.drain(lines, live.keep_recent(str(tmp_path / "out"), "value"), str(tmp_path / "state"))
-    got = sorted(r.value for r in live.recent(spark, str(tmp_path / "out"), query).collect())
+    live.drain(lines, live.keep_recent(str(tmp_path / "out"), "value"), str(tmp_path / "state"))
+    got = sorted(r.value for r in live.snapshot(spark, str(tmp_path / "out")).collect())
     assert got == [f"{i:03d}" for i in range(70, 150)]
 
 
@@ -74,11 +51,6 @@ def test_replayed_batch_is_stored_once(spark, tmp_path):
     for _ in range(2):
         write(rows, 0)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
-    fresh = live.append_new_blocks(str(tmp_path / "blocks"))
-    fresh(rows, 0)
-    fresh(rows.union(spark.createDataFrame([("9",)], "block_id string")), 1)
-    fresh(rows.union(spark.createDataFrame([("9",)], "block_id string")), 1)
-    assert sorted(r.block_id for r in spark.read.parquet(str(tmp_path / "blocks")).collect()) == ["0", "1", "2", "3", "4", "9"]
 
 
 def test_stream_resumes_from_checkpoint(spark, tmp_path):
@@ -91,15 +63,3 @@ def test_stream_resumes_from_checkpoint(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.text for r in rows.collect()) == ["a", "b", "c"]
     assert rows.select(live.clock_time(F.col("ts")).alias("t")).first().t.count(":") == 2
-
-
-def test_span_sequences_split_one_block(spark):
-    from test_parsing import events_df
-
-    occurrences = events_df(spark, [("a", 0, 0), ("a", 10, 1), ("a", 500, 2), ("b", 3, 3)])
-    spans = spark.sql(
-        "select 'a' block_id, timestamp'2024-01-01 00:00:00' first_ts, timestamp'2024-01-01 00:00:10' last_ts "
-        "union all select 'a', timestamp'2024-01-01 00:08:20', timestamp'2024-01-01 00:08:20'")
-    got = {(r.block_id, tuple(r.sequence)) for r in live.span_sequences(spans, occurrences, v.templates()).collect()}
-    assert got == {("a", ("E1", "E2")), ("a", ("E3",))}
-    assert ss.sessions(occurrences, v.templates()).count() == 2
