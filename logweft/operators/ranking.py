@@ -111,6 +111,32 @@ def rank_rows(
     return ranked.withColumn(name, F.col(name) - 1)
 
 
+def ranged(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Stored rows in ranges of about equal size over (keys, order), each sorted: ``_range``
+    and the ``_place`` in it. Cut points come from Spark's sample of these sort values, so
+    a key with most of the rows is cut wherever its rows are dense, whatever its order looks like."""
+    by = [*keys, *order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns(
+        {"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    return materialize(placed, "ranged")
+
+
+def range_numbered(df: DataFrame, name: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Add a 0-based position within each group (or overall) by a unique ``order``.
+
+    A range's start in a group is the sum of the group's rows in the ranges before it: a
+    table with a row per group and range, and a group is in few ranges unless it is large.
+    Keys are never null.
+    """
+    rows = ranged(df, order, keys)
+    cells = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select(*keys, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    numbered = rows.join(starts, [*keys, "_range"])
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_start") + F.col("_place")).alias(name))
+
+
 def seeded_hash(seed: int, *ids: str | Column) -> Column:
     """A repeatable random order that no repartitioning changes."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *ids))

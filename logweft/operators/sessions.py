@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweft.functions import text as tx
-from logweft.operators.ranking import LINE_CELL_BITS, rank_rows
+from logweft.operators.ranking import range_numbered
 from logweft.operators.templates import Template, text_of
 from logweft.session import materialize
 
@@ -36,8 +36,10 @@ def _stats() -> list[Column]:
     ]
 
 
-def named(ords: Column, templates: list[Template]) -> Column:
+def named(ords: Column, templates: list[Template] | None) -> Column:
     """Event ids at matched ordinals."""
+    if templates is None:
+        return ords
     ids = F.array(*[F.lit(t.event_id) for t in templates])
     return F.transform(ords, lambda i: F.get(ids, i.cast("int")))
 
@@ -83,16 +85,14 @@ def _whole_blocks(occurrences: DataFrame) -> DataFrame:
     )
 
 
-def numbered_events(occurrences: DataFrame, store: bool = False) -> DataFrame:
-    """Every event with its 0-based position in its block, for blocks of any size.
+EVENT_ORDER = ("_at", "file_key", "block_start", "line_id")
 
-    The cells are a day, then one second of one stretch of source lines.
-    """
-    clocked = occurrences.withColumn("_at", _clock(F.col("ts")))
-    day = F.floor(F.col("_at") / 86_400)
-    stretch = F.struct("_at", "file_key", "block_start", F.shiftright("line_id", LINE_CELL_BITS))
-    order = ["_at", "file_key", "block_start", "line_id"]
-    return rank_rows(clocked, "pos", [day, stretch], order, ["block_id"], store)
+
+def numbered_events(occurrences: DataFrame) -> DataFrame:
+    """Every event with its 0-based position in its block, for blocks of any size: ranges
+    are cut by a sample of the events' own order, so no task has a whole hot block, nor a
+    hot second of it."""
+    return range_numbered(occurrences.withColumn("_at", _clock(F.col("ts"))), "pos", EVENT_ORDER, ["block_id"])
 
 
 def _blocks_in_parts(occurrences: DataFrame, part_events: int) -> DataFrame:
@@ -124,11 +124,15 @@ def _blocks_in_parts(occurrences: DataFrame, part_events: int) -> DataFrame:
 def _parted(occurrences: DataFrame, part_events: int, sizes: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """(rows of whole blocks, rows of parts or None). One counting pass finds oversized
     blocks; their ids are stored, and with any of them the occurrences as well, since
-    several passes follow."""
-    big = materialize(oversized_blocks(occurrences if sizes is None else sizes, part_events), "oversized")
+    several passes follow. Without ``sizes`` they are stored first, and counted there."""
+    stored = sizes is None or sizes is occurrences
+    if sizes is None:
+        occurrences = sizes = materialize(occurrences, "occurrences")
+    big = materialize(oversized_blocks(sizes, part_events), "oversized")
     if big.isEmpty():
         return _whole_blocks(occurrences), None
-    occurrences = materialize(occurrences, "occurrences")
+    if not stored:
+        occurrences = materialize(occurrences, "occurrences")
     small = occurrences.join(big, "block_id", "left_anti")
     large = occurrences.join(big, "block_id", "left_semi")
     return _whole_blocks(small), _blocks_in_parts(large, part_events)
@@ -155,7 +159,7 @@ def _assembled(parts: DataFrame) -> DataFrame:
     )
 
 
-def _named(rows: DataFrame, templates: list[Template], with_text: bool, with_gaps: bool) -> DataFrame:
+def _named(rows: DataFrame, templates: list[Template] | None, with_text: bool, with_gaps: bool) -> DataFrame:
     columns = [
         "block_id",
         "part",
@@ -174,7 +178,7 @@ def _named(rows: DataFrame, templates: list[Template], with_text: bool, with_gap
 
 def sessions(
     occurrences: DataFrame,
-    templates: list[Template],
+    templates: list[Template] | None,
     part_events: int | None = None,
     with_text: bool = False,
     with_gaps: bool = False,
@@ -186,7 +190,9 @@ def sessions(
     Oversized blocks are ordered in parts over many tasks and only then joined to
     the row that is asked for. ``sizes`` makes the counting pass cheap: any frame
     with a ``block_id`` column whose rows per block are no fewer than the
-    occurrences, such as the lines before template matching.
+    occurrences, such as the lines before template matching, or the occurrences
+    themselves where they are stored already. Without ``templates``, ``ord`` already
+    is the event id.
     """
     whole, parts = _parted(occurrences, part_events or PART_EVENTS, sizes)
     rows = whole if parts is None else whole.unionByName(_assembled(parts))
@@ -195,7 +201,7 @@ def sessions(
 
 def session_parts(
     occurrences: DataFrame,
-    templates: list[Template],
+    templates: list[Template] | None,
     part_events: int | None = None,
     with_text: bool = False,
     with_gaps: bool = False,

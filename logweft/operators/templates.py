@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from logweft import schemas
 from logweft.functions import text as tx
 
-MAX_TEMPLATES = 10_000
-
 
 # White space inside a template stands for any run of it, by Unicode's list.
 _SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
@@ -60,11 +58,11 @@ def vocabulary(rows: list[tuple[str, str]], elastic: bool = True) -> list[Templa
 
 
 def load_templates(spark: SparkSession, path: str, elastic: bool = True) -> list[Template]:
-    """Template file in its own order, which is the matching priority."""
+    """Template file in its own order, which is the matching priority. The list is for
+    vocabularies that a plan can spell out, some hundred; ``vocabulary.load_vocabulary``
+    keeps any number as a table."""
     rows = spark.read.schema(schemas.TEMPLATES_CSV).csv(path, header=True, quote='"', escape='"')
-    found = rows.limit(MAX_TEMPLATES + 1).collect()
-    if len(found) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates in {path}")
+    found = rows.collect()
     return vocabulary([(row.EventId, row.EventTemplate) for row in found], elastic)
 
 
@@ -85,6 +83,12 @@ def id_of(templates: list[Template], ord: Column) -> Column:
     return F.get(F.array(*[F.lit(t.event_id) for t in templates]), ord)
 
 
+def folded_line(value: Column) -> Column:
+    """Lower case in which each letter that may stand for an ASCII one is that one."""
+    wide = F.octet_length(value) != F.char_length(value)
+    return F.lower(F.when(wide, F.translate(value, _FOLD_FROM, _FOLD_TO)).otherwise(value))
+
+
 def with_match(lines: DataFrame, templates: list[Template], when: Column, line: str = "value") -> DataFrame:
     """Add ``ord``: position of the first template found in the line, else null.
 
@@ -101,9 +105,7 @@ def with_match(lines: DataFrame, templates: list[Template], when: Column, line:
 
     chain = [F.when(found(t), F.lit(i)) for i, t in enumerate(templates)]
     first = F.when(when, F.coalesce(*chain, F.lit(None).cast("int")))
-    wide = F.octet_length(value) != F.char_length(value)
-    fold = F.lower(F.when(wide, F.translate(value, _FOLD_FROM, _FOLD_TO)).otherwise(value))
-    return lines.withColumn("_folded", fold).select("*", F.explode(F.array(first)).alias("ord")).drop("_folded")
+    return lines.withColumn("_folded", folded_line(value)).select("*", F.explode(F.array(first)).alias("ord")).drop("_folded")
 
 
 def match_event(line: Column, templates: list[Template]) -> Column:

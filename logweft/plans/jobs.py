@@ -43,7 +43,8 @@ def parse_log(spark: SparkSession, log_path: str, templates: list[Template], wit
         seen, F.count(F.lit(1)).alias("total"), *[count(reason) for reason in reasons]
     )
     occurrences = materialize(ln.matched_events(marked), "occurrences")
-    return ParsedLog(occurrences, ss.sessions(occurrences, templates, with_text=with_text, with_gaps=True), seen.get)
+    rows = ss.sessions(occurrences, templates, with_text=with_text, with_gaps=True, sizes=occurrences)
+    return ParsedLog(occurrences, rows, seen.get)
 
 
 def detect_and_explain(

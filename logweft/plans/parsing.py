@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweft import fixed_values as fv
+from logweft import fixed_values as fv, schemas
 from logweft.functions import text as tx
-from logweft.operators import lines as ln, sessions as ss
+from logweft.operators import lines as ln, sessions as ss, vocabulary as vc
 from logweft.plans import views as v
 from logweft.plans.registry import Registry
+from logweft.session import new_folder
 
 PARSING = Registry()
 
@@ -100,10 +101,49 @@ SELECT block_id, line_id, event AS event_id, pos FROM numbered"""
 )
 def event_positions(spark: SparkSession, folder: str) -> DataFrame:
     """Place of every event in its block, by the route that holds for huge blocks."""
-    numbered = ss.numbered_events(v.occurrences(spark, folder), store=True)
+    numbered = ss.numbered_events(v.occurrences(spark, folder))
     return ln.named_events(numbered, v.templates()).select("block_id", "line_id", "event_id", "pos")
 
 
+_VOCABULARY = 20_000  # templates: those of the given list after many others of the same shape
+
+
+def _vocabulary_files(spark: SparkSession) -> list[str]:
+    """The 30 templates among 20 000, as three files in matching order."""
+    number = F.col("id").cast("string")
+    head = F.element_at(F.array(*[F.lit(m.split("{b}")[0].strip() or "block") for m in v.MESSAGES]), (F.col("id") % len(v.MESSAGES)).cast("int") + 1)
+    others = spark.range(_VOCABULARY).select(
+        F.concat(F.lit("X"), number).alias("EventId"), F.concat(head, F.lit(" <*> part"), number, F.lit(" <*>")).alias("EventTemplate")
+    )
+    half = _VOCABULARY // 2
+    given = spark.createDataFrame(fv.TEMPLATES_30, schemas.TEMPLATES_CSV).coalesce(1)
+    paths = []
+    for rows in (others.filter(F.col("EventId").substr(2, 9).cast("int") < half), given, others.filter(F.col("EventId").substr(2, 9).cast("int") >= half)):
+        paths.append(f"{new_folder(spark, 'vocabulary')}-{len(paths)}")
+        rows.write.csv(paths[-1], header=True, quote='"', escape='"')
+    return paths
+
+
+@PARSING.add(f"WITH {v.MARKED_SQL} SELECT line_id, block_id, event AS event_id, ts FROM marked WHERE reason = 'matched'")
+def vocabulary_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines searched for 20 030 templates out of several files; those of the given list match."""
+    index = vc.template_index(vc.load_vocabulary(spark, _vocabulary_files(spark)))
+    return vc.events(v.log_lines(spark, folder), index).select("line_id", "block_id", "event_id", "ts")
+
+
+@PARSING.add(
+    f"""WITH {v.SESSIONS_SQL}
+SELECT block_id, array_to_string(sequence, ',') AS sequence, n_events, latency FROM sessions"""
+)
+def vocabulary_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of a large vocabulary: event ids travel with the events."""
+    index = vc.template_index(vc.load_vocabulary(spark, _vocabulary_files(spark)))
+    found = vc.events(v.log_lines(spark, folder), index).drop("ord").withColumnRenamed("event_id", "ord")
+    return ss.sessions(found, None).select(
+        "block_id", F.array_join("sequence", ",").alias("sequence"), "n_events", "latency"
+    )
+
+
 _KEYWORDS = "list_filter([CASE WHEN contains(value, 'PacketResponder') THEN 'E11' END, CASE WHEN contains(value, 'Received block') THEN 'E22' END, CASE WHEN contains(value, 'terminating') THEN 'E5' END], lambda x: x IS NOT NULL)"
 
 
