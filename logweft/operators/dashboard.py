@@ -97,19 +97,19 @@ def sort_history(history: DataFrame, key: str = "id", descending: bool = True) -
 
 
 def alerts(history: DataFrame, chars: int = 140) -> DataFrame:
-    """Anomalous entries with a short text, newest first."""
+    """Anomalous entries with a short text, in no order: ``newest_first`` is for the end."""
     short = F.concat(F.substring("explanation", 1, chars), F.lit("…"))
-    return (
-        history.filter(F.col("status") == "Anomalous")
-        .select("id", "block_id", short.alias("preview"))
-        .orderBy(F.desc("id"))
-    )
+    return history.filter(F.col("status") == "Anomalous").select("id", "block_id", short.alias("preview"))
 
 
 def dismiss(alert_rows: DataFrame, dismissed: DataFrame) -> DataFrame:
     return alert_rows.join(dismissed.select("id"), "id", "left_anti")
 
 
+def newest_first(alert_rows: DataFrame) -> DataFrame:
+    return alert_rows.orderBy(F.desc("id"))
+
+
 def recent_context(lines: DataFrame, keys: Sequence[str], order: str, n: int = 5) -> DataFrame:
     """The newest ``n`` texts per key joined, newest first. Spark keeps only ``n``
     rows per key and task before the shuffle (window group limit)."""

@@ -4,7 +4,8 @@ A plain ``row_number() over (partition by key order by ...)`` sends a whole
 group to one task. Here every group is cut into *cells*: coarse values of the
 sort key that follow its order (a line range, a file, a hash prefix). Each task
 then sorts one cell of one group, and a cell's start value comes from a small
-table of per-cell sums, made with map-side partial aggregation.
+table of per-cell sums, made with map-side partial aggregation. Where no such cells are
+known, ``ranged`` cuts ranges at sampled sort values.
 """
 
 from __future__ import annotations
@@ -142,9 +143,41 @@ def seeded_hash(seed: int, *ids: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *ids))
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """One row per key: the one lowest in ``order``. Partial aggregation leaves
-    one row per key and task before the shuffle, so copies cost nothing."""
+def _first_by_sort(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    """Keep-first on the keys themselves: their whole rows are aggregated, and sorted for it."""
     rest = [c for c in df.columns if c not in keys]
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_first"))
     return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+
+
+_WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def keep_first(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    """One row per key: the one lowest in ``order``, which is unique.
+
+    The rows are stored once. What is aggregated is 128 bits of digest and the least
+    position, all of fixed width, by hash and in part before the shuffle; the rows come back
+    by a semi-join on their numbers. Rows that share a digest with a first row are compared
+    with its keys; should any differ, they are kept apart by the keys themselves.
+    An order that is no whole number is turned into positions by ranges of it.
+    """
+    digests = {"_d1": F.xxhash64(*keys), "_d2": F.xxhash64(F.lit("second"), *keys)}
+    rows = materialize(df.withColumns({**digests, "_order": order, "_row": F.monotonically_increasing_id()}), "keep-first")
+    narrow = rows.select("_d1", "_d2", "_row", "_order")
+    if dict(rows.dtypes)["_order"] in _WHOLE_NUMBERS:
+        placed = narrow.withColumn("_pos", F.col("_order").cast("bigint"))
+    else:
+        placed = range_numbered(narrow, "_pos", ["_order"])
+    least = placed.groupBy("_d1", "_d2").agg(F.min("_pos").alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    firsts = materialize(placed.join(least, ["_d1", "_d2", "_pos"]).select("_row", "_d1", "_d2", "_n"), "firsts")
+    kept = rows.join(firsts.select("_row"), "_row", "left_semi")
+
+    repeated = firsts.filter("_n > 1")
+    named = F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)])
+    winners = rows.join(repeated.select("_row"), "_row", "left_semi").select("_d1", "_d2", named.alias("_winner"))
+    others = rows.join(firsts.select("_row"), "_row", "left_anti").join(winners, ["_d1", "_d2"])
+    collided = others.filter(~F.col("_winner").eqNullSafe(named)).drop("_winner")
+    if not collided.isEmpty():
+        kept = kept.unionByName(_first_by_sort(collided, keys, F.col("_order")))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])

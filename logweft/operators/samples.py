@@ -95,6 +95,23 @@ def _ranked(rows: DataFrame, seed: int, ids: list[str]) -> DataFrame:
     return rank_rows(hashed, "_rank", hash_cells("_h"), ["_h"]).drop("_h")
 
 
+COPIES_A_ROW = 256  # that one row is repeated before it is dealt to tasks again
+
+
+def repeated(rows: DataFrame, times: Column, most: int, name: str) -> DataFrame:
+    """Each row ``times`` times, at most ``most``, numbered from 1 in ``name``. Where a row
+    can have many copies, it first becomes one row per ``COPIES_A_ROW`` of them and these
+    are dealt out evenly, so the copies of one row are made in as many tasks as there are."""
+    if most <= COPIES_A_ROW:
+        return rows.withColumn(name, F.explode(F.sequence(F.lit(1), times.cast("int"))))
+    chunks = F.sequence(F.lit(0), F.ceil(times / COPIES_A_ROW).cast("int") - 1)
+    chunked = rows.withColumn("_times", times.cast("int")).withColumn("_chunk", F.explode(chunks))
+    spread = chunked.repartition(F.xxhash64(*[F.col(f"`{c}`") for c in chunked.columns]))
+    low = F.col("_chunk") * COPIES_A_ROW + 1
+    numbers = F.sequence(low, F.least(low + (COPIES_A_ROW - 1), F.col("_times")))
+    return spread.withColumn(name, F.explode(numbers)).drop("_times", "_chunk")
+
+
 def oversample(samples: DataFrame, plan: BalancePlan, seed: int = 42, id_column: str = "id") -> DataFrame:
     """All majority rows, and the minority repeated to its target: whole copies
     of every row, then one more of a seeded choice."""
@@ -105,8 +122,8 @@ def oversample(samples: DataFrame, plan: BalancePlan, seed: int = 42, id_column:
     if extra:
         rare = _ranked(rare, seed, [id_column])
         copies = copies + F.when(F.col("_rank") < extra, 1).otherwise(0)
-    repeated = rare.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    return common.withColumn("copy", F.lit(1)).unionByName(repeated.drop("_rank"))
+    copied = repeated(rare, copies, whole + 1, "copy")
+    return common.withColumn("copy", F.lit(1)).unionByName(copied.drop("_rank"))
 
 
 def balanced(samples: DataFrame, plan: BalancePlan, seed: int = 42, id_column: str = "id") -> DataFrame:
@@ -119,7 +136,7 @@ def balanced(samples: DataFrame, plan: BalancePlan, seed: int = 42, id_column: s
     combined = materialize(oversample(samples, plan, seed, id_column), "oversampled")
     ids = [id_column, "copy", "tile"]
     whole, extra = divmod(plan.total, plan.combined)
-    tiled = combined.withColumn("tile", F.explode(F.sequence(F.lit(1), F.lit(max(whole, 1)))))
+    tiled = repeated(combined, F.lit(max(whole, 1)), whole, "tile")
     again = F.array(F.lit(0))
     if extra:
         tiled = _ranked(tiled, seed + 1, ids)

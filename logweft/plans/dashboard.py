@@ -245,7 +245,7 @@ def history_search(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {HISTORY_SQL} SELECT id, block_id, explanation[1:140] || '…' AS preview FROM history WHERE status = 'Anomalous'"
 )
 def alerts(spark: SparkSession, folder: str) -> DataFrame:
-    return db.alerts(_history(spark, folder))
+    return db.newest_first(db.alerts(_history(spark, folder)))
 
 
 @DASHBOARD.add(
@@ -254,7 +254,7 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
 def open_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """Alerts without the dismissed ones."""
     dismissed = v.table(spark, folder, "labels").select(F.col("doc_id").alias("id"))
-    return db.dismiss(db.alerts(_history(spark, folder)), dismissed).select("id", "block_id")
+    return db.newest_first(db.dismiss(db.alerts(_history(spark, folder)), dismissed)).select("id", "block_id")
 
 
 @DASHBOARD.add(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from logweft import fixed_values as fv, schemas
 from logweft.functions import render
@@ -17,7 +17,7 @@ from logweft.operators import curate as cu, explain as ex, lines as ln, quality
 from logweft.operators import samples as sm, scoring as sc, sessions as ss, traces as tr
 from logweft.operators.ranking import SOURCE_ORDER, source_cells, source_order
 from logweft.operators.templates import Template
-from logweft.session import materialize
+from logweft.session import materialize, new_folder
 from logweft.sources import logs, sinks, tables
 
 EXPLAIN_LIMIT = 0  # anomalies to explain; 0 means all
@@ -171,18 +171,18 @@ def combine_and_split(spark: SparkSession, first: str, second: str, out: str, va
         tables.read_json_lines(spark, first), tables.read_json_lines(spark, second), source_order()
     )
     answer = F.get(F.col("messages"), 2)["content"]
-    total = both.count()
-    unique = materialize(
-        cu.first_of_each_text(both.withColumn("answer", answer), "answer").select(
-            "answer", "messages", F.to_json("source_order").alias("row_key")
-        ),
-        "unique",
-    )
-    split = cu.split_rows(unique, "row_key", validation)
-    for name in ("train", "val"):
+    read, kept = Observation("read"), Observation("kept")
+    count = F.count(F.lit(1)).alias("n")
+    answered = both.withColumn("answer", answer).observe(read, count)
+    first = cu.first_of_each_text(answered, "answer").select("answer", "messages", F.to_json("source_order").alias("row_key"))
+    unique = materialize(first.observe(kept, count), "unique")
+    parts = new_folder(spark, "split")
+    cu.split_rows(unique, "row_key", validation).select("split", "messages").write.partitionBy("split").parquet(parts)
+    split = spark.read.schema(T.StructType([*unique.select("messages").schema.fields, T.StructField("split", T.StringType())])).parquet(parts)
+    for name in ("train", "val"):  # ranked once, above
         split.filter(F.col("split") == name).select("messages").write.mode("overwrite").json(f"{out}/{name}")
-    kept = unique.count()
-    return {"total": total, "unique": kept, "removed": total - kept}
+    total, unique_rows = read.get["n"], kept.get["n"]
+    return {"total": total, "unique": unique_rows, "removed": total - unique_rows}
 
 
 def type_distribution(records: DataFrame) -> DataFrame:
