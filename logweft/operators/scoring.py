@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from logweft import fixed_values as fv, schemas
 from logweft.functions import sequences as sq, text as tx
 from logweft.functions.render import after_marker
+from logweft.operators.calls import Caller
 
 Scorer = Callable[[list[str]], list[str]]
 
@@ -40,36 +40,30 @@ def score(rows: DataFrame, scorer: Scorer | None = None, text: str = "content",
     return rows.mapInPandas(run, schema)
 
 
-def _attempts(generator: Callable[[str], str], retries: int, wait: float) -> Callable[[str], str | None]:
-    """One call with retries and a growing wait; null after the last failure."""
-
-    def attempt(text: str) -> str | None:
-        for n in range(1, retries + 1):
-            try:
-                return generator(text).strip()
-            except Exception:
-                time.sleep(n * wait)
-        return None
-
-    return attempt
-
-
 def score_and_generate(
-    rows: DataFrame, scorer: Scorer | None, generator: Callable[[str], str], retries: int = 3, wait: float = 4.0
+    rows: DataFrame,
+    scorer: Scorer | None,
+    generator: Callable[[str], str],
+    retries: int = 3,
+    wait: float = 4.0,
+    parallel: int = 1,
+    per_second: float = 0.0,
+    ledger: str | None = None,
 ) -> DataFrame:
     """Verdict, prediction and answer of every row in one step, so neither hook sees a
-    row twice. ``rows`` has ``content`` and ``prompt``, and ``verdict`` if there is no scorer."""
-    attempt = _attempts(generator, retries, wait)
+    row twice. ``rows`` has ``content`` and ``prompt``, and ``verdict`` if there is no scorer.
+    Calls are made as in :func:`generate`."""
     new = [T.StructField("prediction", T.IntegerType()), T.StructField("answer", T.StringType())]
     if scorer is not None:
         new.insert(0, T.StructField("verdict", T.StringType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caller = Caller(generator, retries, wait, parallel, per_second, ledger)
         for batch in batches:
             if scorer is not None:
                 batch = batch.assign(verdict=scorer(batch["content"].tolist()))
             bad = [int("anomalous" in (v or "").lower()) for v in batch["verdict"]]
-            answers = [attempt(p) if b else None for p, b in zip(batch["prompt"], bad)]
+            answers = caller.answers([p if b else None for p, b in zip(batch["prompt"], bad)])
             yield batch.assign(prediction=bad, answer=answers)
 
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, *new]))
@@ -82,15 +76,22 @@ def generate(
     output: str = "explanation",
     retries: int = 3,
     wait: float = 4.0,
+    parallel: int = 1,
+    per_second: float = 0.0,
+    ledger: str | None = None,
 ) -> DataFrame:
     """Add one generated text per row. A call is tried ``retries`` times with a
-    growing wait; after that the text is null and the gate rejects the row."""
+    growing wait; after that the text is null and the gate rejects the row.
 
-    attempt = _attempts(generator, retries, wait)
+    A task has up to ``parallel`` calls under way (the generator must allow for threads)
+    and starts at most ``per_second`` of them. ``ledger`` is a shared folder of answers:
+    a task or job that runs again makes no call twice whose answer came.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caller = Caller(generator, retries, wait, parallel, per_second, ledger)
         for batch in batches:
-            yield batch.assign(**{output: [attempt(p) for p in batch[prompt]]})
+            yield batch.assign(**{output: caller.answers(batch[prompt].tolist())})
 
     schema = T.StructType([*rows.schema.fields, T.StructField(output, T.StringType())])
     return rows.mapInPandas(run, schema)

@@ -227,6 +227,15 @@ def event_matrix(occurrences: DataFrame, templates: list[Template]) -> DataFrame
     return occurrences.groupBy("block_id").agg(*counts)
 
 
+def sparse_event_matrix(occurrences: DataFrame) -> DataFrame:
+    """One row per block for vocabularies of any size: ``ords``, the template numbers it has
+    in ascending order, and ``counts`` beside them. Events are shuffled once, summed up
+    before; what follows is a row per block and distinct event."""
+    counted = occurrences.groupBy("block_id", "ord").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("ord", "n"))).alias("_cells"))
+    return rows.select("block_id", F.col("_cells.ord").alias("ords"), F.col("_cells.n").alias("counts"))
+
+
 def preview(session_rows: DataFrame, n: int = 3) -> DataFrame:
     """The first sessions in order of first appearance in the source."""
     return session_rows.orderBy("first_seen").limit(n)

@@ -17,7 +17,7 @@ from logweft.plans import jobs, views as v
 from logweft.plans.dashboard import HISTORY_SQL
 from logweft.plans.registry import Registry
 from logweft.session import new_folder
-from logweft.sources import logs, sinks, tables
+from logweft.sources import json_array, logs, sinks, tables
 
 FILES = Registry()
 PARTS = 5  # files that an input is written as
@@ -150,6 +150,24 @@ def explanation_files(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
+_ODD = r'"},{ ]\\" } [ '  # brackets, quotes and escapes inside a string
+
+
+@FILES.add(f"WITH {HISTORY_SQL} SELECT block_id, explanation || ' {_ODD}' AS explanation FROM history")
+def json_array_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Explanations as files of one JSON array each, read in splits."""
+    rows = v.sessions(spark, folder).select(
+        "block_id", F.concat(F.lit("events "), F.array_join("sequence", " then "), F.lit(f" {_ODD}")).alias("explanation"), "sequence"
+    )
+    part = F.pmod(F.hash("block_id"), F.lit(PARTS))
+    chunk = F.pmod(F.xxhash64("block_id"), F.lit(64))
+    some = rows.groupBy(part.alias("part"), chunk.alias("chunk")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    arrays = some.groupBy("part").agg(F.to_json(F.flatten(F.collect_list("rows"))).alias("value"))
+    path = new_folder(spark, "json-arrays")
+    arrays.write.partitionBy("part").text(path)
+    return json_array.read_json_array(spark, f"{path}/*", schemas.EXPLANATIONS).select("block_id", "explanation")
+
+
 def _tail(prompt: str) -> str:
     """A stand-in for a language model: some of what it was asked."""
     if prompt.startswith("#"):

@@ -136,11 +136,14 @@ def sampled_generation(
     sample_size: int = fv.SAMPLE_SIZE,
     seed: int = fv.SAMPLE_SEED,
     wait: float = 4.0,
+    parallel: int = 1,
+    per_second: float = 0.0,
 ) -> DataFrame:
     """Distinct anomalous sequences, sampled, minus those done before, explained
     by the generator and appended to the accepted or rejected file.
 
-    The answers are stored before they are split: no call is made twice.
+    Answers are kept in a ledger beside the accepted file as they come, and stored before
+    they are split: a job that died half-way makes no call twice.
     """
     usable = cu.usable(tr.sampled_traces(tables.read_traces(spark, traces_path)))
     sample = cu.sample_rows(cu.first_of_each_sequence(usable, source_order()), sample_size, seed)
@@ -152,7 +155,10 @@ def sampled_generation(
     prompt = render.generator_prompt(
         F.col("block_id"), F.col("sequence"), templates, F.col("anomaly_type"), F.col("latency")
     )
-    answered = materialize(sc.generate(rest.withColumn("prompt", prompt), generator, wait=wait), "answers")
+    asked = rest.withColumn("prompt", prompt)
+    ledger = f"{accepted_path.rstrip('/')}-calls"
+    told = sc.generate(asked, generator, wait=wait, parallel=parallel, per_second=per_second, ledger=ledger)
+    answered = materialize(told, "answers")
     gated = ql.gate(answered, "explanation")
     chat = F.when(F.col("explanation").isNotNull(), render.sampled_chat(F.col("explanation")))
     sinks.append_by_verdict(gated.withColumn("messages", chat), accepted_path, rejected_path)

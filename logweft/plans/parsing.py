@@ -9,7 +9,7 @@ from logweft.functions import text as tx
 from logweft.operators import lines as ln, sessions as ss, vocabulary as vc
 from logweft.plans import views as v
 from logweft.plans.registry import Registry
-from logweft.session import new_folder
+from logweft.session import materialize, new_folder
 
 PARSING = Registry()
 
@@ -82,6 +82,37 @@ def event_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return ss.event_matrix(v.occurrences(spark, folder), v.templates())
 
 
+_ORDINAL = "MAP {" + ", ".join(f"'{i}': {n}" for n, (i, _) in enumerate(fv.TEMPLATES_30)) + "}"
+
+
+@PARSING.add(
+    f"""WITH {v.MARKED_SQL},
+cells AS (SELECT block_id, {_ORDINAL}[event] AS ord, count(*) AS n FROM marked WHERE reason = 'matched' GROUP BY 1, 2)
+SELECT block_id, string_agg(ord, ',' ORDER BY ord) AS ords, string_agg(n, ',' ORDER BY ord) AS counts FROM cells GROUP BY block_id"""
+)
+def sparse_event_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """The event counts of each block as lists, whatever the size of the vocabulary."""
+    rows = ss.sparse_event_matrix(v.occurrences(spark, folder))
+    return rows.select("block_id", F.array_join("ords", ",").alias("ords"), F.array_join("counts", ",").alias("counts"))
+
+
+@PARSING.add(
+    f"""WITH {v.MARKED_SQL},
+occ AS (SELECT ts::DATE AS day, block_id FROM marked WHERE reason = 'matched' AND ts IS NOT NULL)
+SELECT count(*) AS n_events, count(DISTINCT block_id) AS unique_blocks, true AS estimate_holds FROM occ
+WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-19'"""
+)
+def range_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters of a range of days from stored daily rows, beside the exact number."""
+    found = v.occurrences(spark, folder)
+    first, last = (F.lit(d).cast("date") for d in ("2024-01-05", "2024-01-19"))
+    stored = materialize(ln.daily_counters(found), "daily-counters")
+    told = ln.counters_between(stored, first, last)
+    exact = found.filter(F.to_date("ts").between(first, last)).agg(F.count_distinct("block_id").alias("exact")).scalar()
+    near = F.abs(F.col("unique_blocks") - exact) <= exact * ln.SKETCH_ERROR + 1
+    return told.select("n_events", exact.alias("unique_blocks"), near.alias("estimate_holds"))
+
+
 @PARSING.add(
     f"""WITH {v.SESSIONS_SQL}
 SELECT block_id, array_to_string(sequence, ',') AS sequence, latency FROM sessions ORDER BY first_line LIMIT 3"""

@@ -35,8 +35,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_explanations(spark: SparkSession, path: str) -> DataFrame:
-    """A file holding one JSON array of explanation objects. JSON arrays cannot
-    be split; store large sets as JSON lines or Parquet."""
+    """A file holding one JSON array of explanation objects, in one task per file;
+    ``json_array.read_json_array`` reads large ones in splits."""
     return positioned(spark.read.schema(schemas.EXPLANATIONS).json(path, multiLine=True))
 
 
