@@ -111,7 +111,9 @@ def analyze_requests(requests: DataFrame, scorer: sc.Scorer | None = None, gener
 
 
 def explain_traces(spark: SparkSession, traces_path: str, out: str) -> DataFrame:
-    """Labelled traces to rule-based explanations, skip report and quality report."""
+    """Labelled traces to rule-based explanations and the whole validation report: totals
+    (also returned), rows per type and per number of sentences, event codes that slipped
+    in, samples per type and of the rotation, skipped rows by reason and the first ten."""
     checked = materialize(tr.checked_traces(tables.read_traces(spark, traces_path)), "checked")
     valid = checked.filter("skip_reason IS NULL").drop("skip_reason")
     told = ex.explanations(valid, tr.anomaly_types(spark), source_cells(), SOURCE_ORDER)
@@ -120,7 +122,18 @@ def explain_traces(spark: SparkSession, traces_path: str, out: str) -> DataFrame
     sinks.write_explanations(
         stored.select("block_id", "anomaly_type", "sequence", "explanation"), f"{out}/explanations_json"
     )
-    tr.skip_report(checked).write.mode("overwrite").json(f"{out}/skipped")
+    placed = stored.withColumn("_at", source_order())
+    parts = {
+        "skipped": tr.skip_report(checked),
+        "first_skipped": tr.first_skipped(checked.withColumn("_at", source_order()), "_at"),
+        "types": ql.breakdown(stored),
+        "sentences": ql.sentence_distribution(stored),
+        "leaked_codes": ql.leaked_codes(stored),
+        "first_samples": ql.first_per_type(placed, F.col("_at")),
+        "rotation_samples": ql.rotation_sample(placed, "_at"),
+    }
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").json(f"{out}/{name}")
     report = ql.report(stored)
     report.write.mode("overwrite").json(f"{out}/report")
     return spark.read.schema(report.schema).json(f"{out}/report")

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logweft import fixed_values as fv
 from logweft.operators import sessions as ss
-from logweft.plans import views as v
+from logweft.plans import views as v, watch
 from logweft.plans.registry import Registry
 from logweft.session import new_folder
 from logweft.sources import tail
@@ -42,14 +43,19 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(events.drop("late").schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def _log_tail(spark: SparkSession, folder: str) -> DataFrame:
-    """The derived log as the tail of text files whose names follow their lines, in
-    batches of ``_files_per_batch`` files; files of late lines come last."""
+def _log_files(spark: SparkSession, folder: str) -> tuple[list[str], int]:
+    """The derived log as text files whose names follow their lines, then files of late
+    lines, and how many of them make a batch."""
     events, _ = _with_lateness(spark, folder)
     paths, files = [new_folder(spark, "tail"), new_folder(spark, "tail-late")], _files_per_batch(spark)
     for path, rows, count in ((paths[0], events.filter("NOT late"), BATCHES * files), (paths[1], events.filter("late"), files)):
         ordered = v.lines_of(rows).repartitionByRange(count, "line_id").sortWithinPartitions("line_id")
         ordered.select("value").write.text(path)
+    return paths, files
+
+
+def _log_tail(spark: SparkSession, folder: str) -> DataFrame:
+    paths, files = _log_files(spark, folder)
     return tail.tail_log(spark, paths, files_per_batch=files)
 
 
@@ -161,13 +167,14 @@ def recent_buffer(spark: SparkSession, folder: str) -> DataFrame:
     return live.snapshot(spark, path)
 
 
-_SPANS_SQL = f"""{v.MARKED_SQL},
+_SPANS = f"""{v.MARKED_SQL},
 timed AS (SELECT block_id, ts, event, line_id FROM marked
           WHERE reason = 'matched' AND ts IS NOT NULL AND NOT ({LATE_ROWS.replace("event_id %", "line_id %").replace("event_id *", "line_id *")})),
 started AS (
   SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh
   FROM timed WINDOW w AS (PARTITION BY block_id ORDER BY ts, line_id)),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY block_id ORDER BY ts, line_id) AS s FROM started)
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY block_id ORDER BY ts, line_id) AS s FROM started)"""
+_SPANS_SQL = f"""{_SPANS}
 SELECT block_id, epoch(min(ts))::BIGINT AS first_second, count(*) AS n_events, date_diff('second', min(ts), max(ts))::DOUBLE AS latency,
        string_agg(event, ',' ORDER BY ts, line_id) AS sequence
 FROM numbered GROUP BY block_id, s"""
@@ -190,3 +197,29 @@ def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
         "latency",
         F.array_join(ss.named(F.col("ords"), v.templates()), ",").alias("sequence"),
     )
+
+
+_EVENT_TEXTS = "MAP {" + ", ".join(f"'{i}': {v._quoted(t)}" for i, t in fv.TEMPLATES_30) + "}"
+
+
+def _judge(texts: list[str]) -> list[str]:
+    return ["anomalous" if "exception" in t.lower() else "normal" for t in texts]
+
+
+@LIVE.add(
+    f"""WITH {_SPANS},
+judged AS (SELECT block_id, min(ts) AS first_ts, max(ts) AS last_ts, bool_or(contains(lower({_EVENT_TEXTS}[event]), 'exception')) AS bad
+           FROM numbered GROUP BY block_id, s)
+SELECT count(*) AS total, count(*) FILTER (bad) AS anomalies, count(*) FILTER (NOT bad) AS healthy, count(*) FILTER (bad) AS alerts,
+       round(avg(date_diff('second', first_ts, last_ts)), 6) AS avg_latency FROM judged"""
+)
+def watched_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole live job over growing files: its totals, and its alerts counted."""
+    out = new_folder(spark, "watch")
+    paths, files = _log_files(spark, folder)
+    query = watch.watch_log(spark, paths, v.templates(), out, 6 * 3600, scorer=_judge, every="0 seconds", files_per_batch=files)
+    watch.finish(query, spark, out)
+    alerts = spark.read.parquet(f"{out}/alerts").agg(F.count(F.lit(1))).scalar()
+    return watch.totals(spark, out).select(
+        "total", "anomalies", "healthy", alerts.alias("alerts"), F.round("avg_latency", 6).alias("avg_latency")
+    )

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = ["at", "file_key", "block_start", "line_id", "ord"]
 STATE = "at array<bigint>, file_key array<string>, block_start array<bigint>, line_id array<bigint>, ord array<int>"
-CLOSED = "block_id string, first_at bigint, last_at bigint, n_events bigint, ords array<int>"
+CLOSED = "block_id string, first_at bigint, last_at bigint, n_events bigint, ords array<int>, gaps array<double>"
 END_OF_INPUT = "2262-01-01 00:00:00"  # near the last time that pandas can hold
 
 
@@ -33,6 +33,12 @@ def cut_sessions(events: list[tuple], gap: int) -> list[list[tuple]]:
     return out
 
 
+def pauses(session: list[tuple]) -> list[float]:
+    """Whole seconds since the event before, 0.0 for the first."""
+    seconds = [event[0] // 1000 for event in session]
+    return [0.0, *(float(b - a) for a, b in zip(seconds, seconds[1:]))]
+
+
 def _closing(gap: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """``gap`` in milliseconds. A session closes once the watermark is a gap past its end:
     events that would continue it are late by then and dropped by Spark."""
@@ -53,8 +59,8 @@ def _closing(gap: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState],
         elif state.exists:
             state.remove()
         if closed:
-            found = [(key[0], s[0][0], s[-1][0], len(s), [e[4] for e in s]) for s in closed]
-            yield pd.DataFrame(found, columns=["block_id", "first_at", "last_at", "n_events", "ords"])
+            found = [(key[0], s[0][0], s[-1][0], len(s), [e[4] for e in s], pauses(s)) for s in closed]
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in CLOSED.split(", ")])
 
     return step
 
@@ -63,7 +69,8 @@ def gap_sessions(
     occurrences: DataFrame, gap_seconds: int, delay: str = "10 minutes", marks: DataFrame | None = None
 ) -> DataFrame:
     """Closed sessions of a stream: ``block_id``, ``first_ts``, ``last_ts``, ``n_events``,
-    ``latency`` and ``ords``, the template numbers in order of time and source position.
+    ``latency``, ``ords``, the template numbers in order of time and source position, and
+    ``gaps``, the seconds before each.
 
     Events without a time cannot be placed on a stream and are left out; rows more than
     ``delay`` behind are dropped and counted by Spark. ``marks`` (see :func:`mark_stream`)
@@ -91,6 +98,7 @@ def gap_sessions(
         "n_events",
         (F.floor(F.col("last_at") / 1000) - F.floor(F.col("first_at") / 1000)).cast("double").alias("latency"),
         "ords",
+        "gaps",
     )
 
 

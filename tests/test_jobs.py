@@ -49,6 +49,12 @@ def test_explain_traces(spark, tmp_path):
     assert report.n_rows == 20 and report.out_of_range == 0 and report.typed_openers == 0
     skipped = {r.skip_reason: r.n for r in spark.read.json(str(tmp_path / "out" / "skipped")).collect()}
     assert skipped == {"unparseable type: ": 20, "invalid type: 8": 1}
+    part = lambda name: spark.read.json(str(tmp_path / "out" / name)).collect()
+    assert sum(r.n for r in part("types")) == sum(r.n for r in part("sentences")) == 20
+    assert len(part("first_skipped")) == 10 and {r.skip_reason for r in part("first_skipped")} <= set(skipped)
+    assert {r.anomaly_type for r in part("first_samples")} == {r.anomaly_type for r in part("types")}
+    assert {r.rotation for r in part("rotation_samples")} <= {0, 1, 2}
+    assert spark.read.schema("code string").json(str(tmp_path / "out" / "leaked_codes")).count() == 0
     told = spark.read.json(str(tmp_path / "out" / "explanations_json"))
     assert sorted(told.columns) == ["anomaly_type", "block_id", "explanation", "sequence"]
 

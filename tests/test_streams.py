@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweft.operators import lines as ln
-from logweft.plans import views as v
+from logweft.plans import views as v, watch
 from logweft.sources import tail
 from logweft.streaming import keyed, live
 
@@ -238,3 +238,25 @@ def test_late_rows_correct_their_windows(spark, tmp_path):
     assert got == {at(0): 3, at(120): 1, at(480): 2}
     side = spark.read.parquet(str(tmp_path / "late" / "late")).collect()
     assert sorted((r.block_id, r.ts) for r in side) == [("a", at(10)), ("d", at(130)), ("f", at(5))]
+
+
+# -- the live job ------------------------------------------------------------
+
+
+def test_watched_log_goes_on_after_a_restart(spark, tmp_path):
+    log, out = tmp_path / "in", str(tmp_path / "out")
+    log.mkdir()
+    (log / "a.log").write_text("\n".join([line(0, 1), line(30, 1, "Exception in receiveBlock for block"), line(40, 2)]) + "\n")
+    run = lambda: watch.watch_log(spark, str(log), v.templates(), out, 60, "10 seconds", every="0 seconds")
+    query = run()
+    query.processAllAvailable()
+    query.stop()
+    with (log / "a.log").open("a") as f:
+        f.write("\n".join([line(400, 1), line(420, 1)]) + "\n")
+    watch.finish(run(), spark, out)
+    history = spark.read.parquet(f"{out}/history").collect()
+    got = sorted((r.block_id, r.n_events, r.latency, r.status) for r in history)
+    assert got == [("blk_1", 2, 20.0, "Normal"), ("blk_1", 2, 30.0, "Anomalous"), ("blk_2", 1, 0.0, "Normal")]
+    (alert,) = spark.read.parquet(f"{out}/alerts").collect()
+    assert alert.block_id == "blk_1" and len(alert.explanation) > 20
+    assert tuple(watch.totals(spark, out).first()) == (3, 1, 2, pytest.approx(50 / 3))
