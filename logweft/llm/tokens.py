@@ -9,17 +9,21 @@ place within its shard; places in the whole corpus come from the shards' totals.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from logweft.llm.common import text_bytes, values
+from logweft.llm.common import text_bytes
 from logweft.session import new_folder
 
 ROW_GROUP_BYTES = 32 << 20
@@ -31,13 +35,35 @@ MARK = "|"  # stands between words that are encoded together
 SCHEMA = "doc_id bigint, shard int, place bigint, start_in_shard bigint, n_tokens bigint, ids array<int>"
 
 
+# What the fast way for single words takes for granted; any other file goes through the whole library.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": CUTS}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+PLAIN = re.compile(r"[!-~¡-ſ]+")  # no composition, no white space, and lower case letter by letter
+_PIECES = regex.compile(CUTS)
+
+
+def _stand_ins() -> dict[int, str]:
+    """The printable characters that byte-level vocabularies write for bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_STAND_INS = _stand_ins()
+
+
 class WordEncoder:
     """A tokenizers file applied word by word.
 
     The tokenizers that this suits cut at white space and drop it, so a text's ids are
     those of its words one after the other. They also cut between letters and the marks
-    after them, so a word of letters that ends in such marks is made of both. New words
-    are encoded in one call per batch, with a mark between them.
+    after them, so a word of letters that ends in such marks is made of both. A new word
+    of plain letters and marks goes straight to the library's merges, cut as the file says;
+    other new words are encoded in one call per batch, with a mark between them.
     """
 
     def __init__(self, content: str):
@@ -47,14 +73,30 @@ class WordEncoder:
         self._old: dict[bytes, bytes] = {}
         mark = self._ids(MARK)
         self._mark = mark[0] if len(mark) == 1 else None
+        file = json.loads(content)
+        known = file.get("normalizer") == NORMALIZER and file.get("pre_tokenizer") == PRE_TOKENIZER
+        self._merges = self._tokenizer.model if known else None
 
     def _ids(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _plain_ids(self, text: str) -> list[int]:
+        low = text.lower()
+        pieces = [low] if low.isalpha() else _PIECES.findall(low)
+        named = pieces if low.isascii() else [p.encode().decode("latin-1").translate(_STAND_INS) for p in pieces]
+        return [token.id for piece in named for token in self._merges.tokenize(piece)]
+
     def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if self._mark is not None and MARK.encode() not in w]
-        for start in range(0, len(plain), 256):
-            part = plain[start : start + 256]
+        rest = []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            if self._merges is not None and PLAIN.fullmatch(text):
+                self._young[word] = np.array(self._plain_ids(text), np.uint32).tobytes()
+            else:
+                rest.append(word)
+        joinable = [w for w in rest if self._mark is not None and MARK.encode() not in w]
+        for start in range(0, len(joinable), 256):
+            part = joinable[start : start + 256]
             joined = f" {MARK} ".join(w.decode("utf-8", "replace") for w in part)
             (found,) = self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)
             ids = np.array(found.ids, np.uint32)
@@ -63,36 +105,57 @@ class WordEncoder:
                 self._young.update(
                     (w, ids[a:b].tobytes()) for w, a, b in zip(part, [0, *cuts + 1], [*cuts, len(ids)])
                 )
-        for word in words:
+        for word in rest:
             if word not in self._young:
                 self._young[word] = np.array(self._ids(word.decode("utf-8", "replace")), np.uint32).tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        cut = [t.split() for t in texts]
+    def _of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, as bytes: remembered ones are looked up, others learned."""
         young, old, new, ended = self._young, self._old, set(), []
 
         def known(word: bytes) -> bool:
-            if word not in young and word in old:
+            if word in old:
                 young[word] = old[word]
-            return word in young
+                return True
+            return False
 
-        for word in {w for words in cut for w in words}:
-            if not known(word):
+        for word in words:
+            if word not in young and not known(word):
                 bare = word.rstrip(MARKS)
                 marks = word[len(bare) :]
                 if marks and bare.decode("utf-8", "replace").isalpha():
                     ended.append((word, bare, marks))
-                    new.update(part for part in (bare, marks) if not known(part))
+                    new.update(part for part in (bare, marks) if part not in young and not known(part))
                 else:
                     new.add(word)
         self._learn(sorted(new))
         for word, bare, marks in ended:
             young[word] = young[bare] + young[marks]
-        out = [np.frombuffer(b"".join(map(young.__getitem__, words)), np.uint32) for words in cut]
+        out = [young[word] for word in words]
         if len(young) > MOST_WORDS // 2:
             self._old, self._young = young, {}
         return out
 
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with ``end_id`` after it, and where each begins
+        and the last ends. Words become numbers of distinct words first, in Arrow; only
+        these are looked up, and their ids are gathered by number."""
+        cut = pc.ascii_split_whitespace(texts.view(pa.string()))
+        coded = cut.flatten().dictionary_encode()
+        found = self._of(coded.dictionary.view(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        words = coded.indices.to_numpy()
+        size = sizes[words]
+        until = np.concatenate([[0], np.cumsum(size)])
+        before = np.arange(len(texts) + 1)  # end ids of the texts in front
+        edges = until[cut.offsets.to_numpy()] + before
+        ids = np.full(edges[-1], end_id, np.uint32)
+        held = np.ones(len(ids), bool)
+        held[edges[1:] - 1] = False
+        ids[held] = np.frombuffer(b"".join(found), np.uint32)[np.arange(until[-1]) + np.repeat(starts[words] - until[:-1], size)]
+        return ids, edges
+
 
 @lru_cache(maxsize=2)
 def _encoder(content: str) -> WordEncoder:
@@ -104,29 +167,24 @@ def _encoded(batches: Iterator[pa.RecordBatch], content: str, end_id: int) -> It
     shard = TaskContext.get().partitionId()
     place = start = 0
     for batch in batches:
-        texts, at = values(batch, "_text"), 0
+        texts, at = batch.column(1), 0
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
         while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (size == 0 or size + len(texts[end]) <= OUT_BYTES):
-                size += len(texts[end])
-                end += 1
-            found = encoder.encode(texts[at:end])
-            close = np.array([end_id], np.uint32)
-            counts = np.array([len(x) + 1 for x in found], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(counts)])
-            flat = np.concatenate([part for ids in found for part in (ids, close)]).view(np.int32)
+            most = OUT_BYTES + (ends[at - 1] if at else 0)
+            end = max(at + 1, int(np.searchsorted(ends, most, side="right")))
+            ids, edges = encoder.encode(pa.concat_arrays([texts.slice(at, end - at)]), end_id)
             columns = [
                 batch.column(0).slice(at, end - at),
                 pa.array(np.full(end - at, shard, np.int32)),
                 pa.array(np.arange(place, place + end - at)),
-                pa.array(start + offsets[:-1]),
-                pa.array(counts),
-                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
+                pa.array(start + edges[:-1]),
+                pa.array(np.diff(edges)),
+                pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.view(np.int32))),
             ]
             yield pa.RecordBatch.from_arrays(
                 columns, names=["doc_id", "shard", "place", "start_in_shard", "n_tokens", "ids"]
             )
-            place, start, at = place + end - at, start + int(offsets[-1]), end
+            place, start, at = place + end - at, start + int(edges[-1]), end
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> None:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -309,9 +310,14 @@ def test_words_encoded_apart_equal_whole_texts():
     letters = "abcéñß日ª .,!?;:*&%$#|'\"”’0123\u0301\n\t\xa0-<>sS"
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
     texts += ["it's.", "it's", "<|endoftext|>.", "a|b."]
-    got = own.encode([t.encode() for t in texts])
+    texts += ["Àéï ŒUVRE ÿ Ÿ İ ŉ ſ ª º µ ¼ ³ \xad a\xadb ¡x × ÷ĸ", "  ", ""]
+    texts += ["".join(chr(c) for c in rnd.choices(range(0x20, 0x180), k=20)) for _ in range(2000)]
+    ids, edges = own.encode(pa.array([t.encode() for t in texts], pa.binary()), 7)
     want = plain.encode_batch(texts, add_special_tokens=False)
-    assert [g.tolist() for g in got] == [w.ids for w in want]
+    assert own._merges is not None
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == [[*w.ids, 7] for w in want]
+    empty, at = own.encode(pa.array([], pa.binary()), 7)
+    assert len(empty) == 0 and at.tolist() == [0]
 
 
 RANKS = bpe.parse_ranks(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
