@@ -112,6 +112,18 @@ def sliding_windows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("block_id", "win_ix", "label", F.array_join("events", ",").alias("events"), "window_text")
 
 
+_TUNED_SQL = WINDOW_SQL.replace("len(events) - 4", "len(events) - 7").replace("+ 1, 2)", "+ 1, 3)").replace(
+    "start // 2", "start // 3"
+).replace("start + 4]", "start + 7]")
+
+
+@TRACES.add(f"WITH {_TUNED_SQL} SELECT block_id, win_ix, array_to_string(events, ',') AS events FROM cut")
+def tuned_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The same cut with other knobs: windows of seven events, three apart."""
+    rows = tr.window_rows(_joined(spark, folder), v.templates(), window=7, stride=3)
+    return rows.select("block_id", "win_ix", F.array_join("events", ",").alias("events"))
+
+
 @TRACES.add(f"WITH {WINDOW_SQL} SELECT count(*) AS windows, sum(label)::BIGINT AS anomalous_windows FROM cut")
 def window_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tr.window_counts(tr.window_rows(_joined(spark, folder), v.templates(), window=4, stride=2))

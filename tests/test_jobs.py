@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweft.operators.templates import vocabulary
 from logweft import fixed_values as fv, schemas
+from logweft.operators import dashboard as db
 from logweft.plans import jobs, views as v
 from logweft.sources import tables
 
@@ -169,3 +170,19 @@ def test_header_mismatch_is_an_error(spark, tmp_path):
     path.write_text("BlockId,Type,Label,Features,TimeInterval,Latency\na,1,Fail,[E5],[],\n")
     with pytest.raises(Exception):
         tables.read_traces(spark, str(path)).collect()
+
+
+def test_a_log_without_matches_is_named(spark, tmp_path):
+    (tmp_path / "empty.log").write_text("\n\nno block here\n")
+    with pytest.raises(ValueError, match="no matched lines"):
+        jobs.detect_and_explain(spark, str(tmp_path / "empty.log"), vocabulary(fv.TEMPLATES_30), str(tmp_path / "out"))
+
+
+def test_open_alerts_come_newest_first(spark):
+    rows = [(i, f"b{i}", "Anomalous", "x" * 200) for i in (3, 9, 1, 7, 5)]
+    history = spark.createDataFrame(rows, "id bigint, block_id string, status string, explanation string")
+    gone = spark.createDataFrame([(7,)], "id bigint")
+    open_ones = db.newest_first(db.dismiss(db.alerts(history), gone)).collect()
+    assert [r.id for r in open_ones] == [9, 5, 3, 1]
+    plan = db.dismiss(db.alerts(history), gone)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan
