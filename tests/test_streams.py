@@ -207,18 +207,26 @@ def test_one_row_per_block_without_reading_history(spark, tmp_path):
     assert spark.read.parquet(out).filter("block_id = 'new'").count() == 1 and spark.read.parquet(out).count() == 51
 
 
-def test_snapshots_stay_three_and_replay_alike(spark, tmp_path):
+def test_at_most_three_snapshots_exist(spark, tmp_path):
+    path = str(tmp_path / "state")
+    for k in range(200):
+        live.write_snapshot(spark.range(k, k + 1).coalesce(1), path, k)
+        assert len(os.listdir(path)) <= 3
+    assert [r.id for r in live.snapshot(spark, path).collect()] == [199]
+    assert [r.id for r in live.snapshot_before(spark, path, 199).collect()] == [198]
+
+
+def test_replayed_and_unfinished_batches_leave_the_buffer_right(spark, tmp_path):
     path = str(tmp_path / "recent")
     write = live.keep_recent(path, "n", 5)
     batch = lambda k: spark.range(k * 3, k * 3 + 3).select(F.col("id").alias("n"))
-    for k in range(200):
+    for k in range(6):
         write(batch(k), k)
-        assert len(os.listdir(path)) <= 3
-    want = [595, 596, 597, 598, 599]
+    want = [13, 14, 15, 16, 17]
     assert sorted(r.n for r in live.snapshot(spark, path).collect()) == want
-    write(batch(199), 199)  # replayed after a restart
+    write(batch(5), 5)  # replayed after a restart
     assert sorted(r.n for r in live.snapshot(spark, path).collect()) == want
-    (tmp_path / "recent" / "200").mkdir()  # a batch that died before its snapshot was complete
+    (tmp_path / "recent" / "6").mkdir()  # a batch that died before its snapshot was complete
     assert sorted(r.n for r in live.snapshot(spark, path).collect()) == want
 
 
