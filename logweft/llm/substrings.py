@@ -227,7 +227,7 @@ def _repeats_of_long_prefixes(suffixes: DataFrame) -> DataFrame:
         "long-prefixes",
     )
     end = (F.col("start") + F.size("paths") - 1 + WINDOW).cast("bigint").alias("end")
-    copied = marked.join(distinct.filter("n > 1").select(*same), same).select(
+    copied = marked.join(distinct.filter("n > 1").select(*same, "paths"), [*same, "paths"], "left_semi").select(
         "row_key", F.col("start").cast("bigint").alias("start"), end
     )
     leaves = distinct.select("prefix", "lead", "n", "row_key", "start", F.posexplode("paths").alias("at", "path"))
