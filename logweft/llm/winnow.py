@@ -1,12 +1,15 @@
 """Document fingerprints by winnowing, in built-in expressions only.
 
-Words (long ones in pieces) are hashed, every ``GRAM`` in a row make a rolling gram, and
-of every ``SPAN`` grams in a row the least is chosen, the last of equals. Two texts
-that share ``SPAN + GRAM - 1`` words in a row therefore share a chosen gram. Positions
-of chosen grams are kept with them.
-
-A gram is the upper 40 bits of its hash; the lower 24 hold its position, reversed, so
-that the least value of a window is the last of its equal grams.
+A text is cut into units: words of at most ``LONGEST`` characters, and every character of
+longer runs without white space, so that no cut depends on where a run begins. Units are
+hashed, every ``GRAM`` in a row make a gram, and of every ``SPAN`` grams in a row the least
+is chosen, the last of equals. Two texts that share ``SPAN + GRAM - 1`` units in a row
+therefore share a chosen gram, with or without white space. Positions of chosen grams are
+kept with them.
+
+A gram is the upper 36 bits of its hash; the lower 28 hold its position, reversed, so
+that the least value of a window is the last of its equal grams. A Spark array of longs
+ends at 2**28 elements, so no position is longer than that.
 """
 
 from __future__ import annotations
@@ -16,16 +19,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from logweft.llm.common import keyed
 from logweft.session import materialize
 
-GRAM = 5  # words of a gram
+GRAM = 5  # units of a gram
 SPAN = 12  # grams of a window
-PIECE = 16  # characters of a word that are hashed as one
-POSITIONS = (1 << 24) - 1
+LONGEST = 16  # characters of a word that is one unit
+POSITIONS = (1 << 28) - 1
+_IN_WORD = r"[^\x20\x09-\x0D]"
+UNIT = rf"(?<!{_IN_WORD}){_IN_WORD}{{1,{LONGEST}}}+(?!{_IN_WORD})|{_IN_WORD}"
 
 
 def chosen_grams(text: Column) -> Column:
     """The chosen grams of a text with their positions, in order, as packed longs.
-    A text of fewer words than a gram has one gram of them all; one without has none."""
-    words = F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0))
+    A text of fewer units than a gram has one gram of them all; one without has none."""
+    units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
     def bound(value: Column, use) -> Column:  # evaluates ``value`` once
         return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -50,7 +55,7 @@ def chosen_grams(text: Column) -> Column:
         few = F.filter(F.array(F.array_min(rows)), lambda x: x.isNotNull())
         return F.array_distinct(F.when(F.size(rows) > SPAN, least).otherwise(few))
 
-    return bound(F.transform(words, lambda w: F.xxhash64(w)), lambda h: bound(packed(grams(h)), winnowed))
+    return bound(F.transform(units, lambda u: F.xxhash64(u)), lambda h: bound(packed(grams(h)), winnowed))
 
 
 def gram_set(chosen: Column) -> Column:
