@@ -37,6 +37,7 @@ MOST_STATES = 40_000  # transducer states that a worker builds
 MOST_PAIRS = 300_000  # remembered pairs of tokens
 MOST_WORDS = 300_000  # remembered words of a worker, in two generations
 OUT_BYTES = 2 << 20  # text bytes per output batch
+DECODED_IDS = 4096  # ids of a chunk of streamed decoding
 
 Ranks = dict[bytes, int]
 NO_RANK = 1 << 60
@@ -313,10 +314,11 @@ def decode_bytes(ids: Iterable[int], tokens: list[bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, ids))
 
 
-def decode_stream(ids: Iterable[int], tokens: list[bytes]) -> Iterator[str]:
+def decode_stream(ids: list[int], tokens: list[bytes], step: int = 1) -> Iterator[str]:
+    """Text as it comes, ``step`` ids at a time: what is given out never changes."""
     stream = Utf8Stream()
-    for i in ids:
-        if text := stream.feed(tokens[i]):
+    for start in range(0, len(ids), step):
+        if text := stream.feed(decode_bytes(ids[start : start + step], tokens)):
             yield text
     if text := stream.close():
         yield text
@@ -356,7 +358,7 @@ def encoded_batches(
 
 
 def digested_batches(batches: Iterator[pa.RecordBatch], content: bytes, kept: list[str]) -> Iterator[pa.RecordBatch]:
-    """Counts and digests of ids, and of the bytes decoded from them."""
+    """Counts and digests of ids, and of the text decoded from them as a stream."""
     tokens, numbers = _tokens(content)
     for batch in batches:
         column = batch.column(len(kept))
@@ -366,7 +368,10 @@ def digested_batches(batches: Iterator[pa.RecordBatch], content: bytes, kept: li
             ids = flat[a:b].tolist()
             counts.append(len(ids))
             of_ids.append(hashlib.sha256(b",".join(map(numbers.__getitem__, ids))).hexdigest())
-            of_bytes.append(hashlib.sha256(decode_bytes(ids, tokens)).hexdigest())
+            decoded = hashlib.sha256()
+            for text in decode_stream(ids, tokens, DECODED_IDS):
+                decoded.update(text.encode())
+            of_bytes.append(decoded.hexdigest())
         columns = [batch.column(i) for i in range(len(kept))]
         extra = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
         yield pa.RecordBatch.from_arrays(
@@ -410,6 +415,8 @@ def decode(encoded: DataFrame, path: str, keep: list[str] = ["doc_id"]) -> DataF
 def encode_checked(docs: DataFrame, path: str, pattern: str, keep: list[str] = ["doc_id"]) -> DataFrame:
     """``keep`` columns, ``n_tokens``, ``ids``, and whether decoding gives the text's bytes again.
 
+    Null and empty texts have no ids and are round trips; repeated rows are encoded alike
+    and there are no ties; columns of any name can be kept, an empty table stays empty.
     Meant for a stage among others: a task's encoder goes with the task, so workers that
     later stages use again hold no states and words."""
     content = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())
@@ -421,7 +428,8 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, keep: list[str] = [
             column, texts = batch.column(len(keep) + 1), values(batch, "_text")
             offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
             same = [
-                decode_bytes(flat[a:b].tolist(), tokens) == text for a, b, text in zip(offsets, offsets[1:], texts)
+                "".join(decode_stream(flat[a:b].tolist(), tokens, DECODED_IDS)).encode() == text
+                for a, b, text in zip(offsets, offsets[1:], texts)
             ]
             kept = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
