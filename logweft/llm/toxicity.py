@@ -1,6 +1,8 @@
 """Toxicity after noisy-channel deobfuscation.
 
-A word that hides (leetspeak, letters set apart, letters repeated) is read as a lattice:
+Texts are folded first: full-width and accented letters become plain ones, and letters of
+other scripts that look like Latin ones do so in words that hold Latin letters. A word that
+hides (leetspeak, letters set apart by any white space, letters repeated) is read as a lattice:
 every run of a character may stand for one of some letters, for one or two of them, or
 for nothing, at a cost. The best path under a character trigram model is the restored
 word. The text of restored words is then scored: words and beginnings of words that
@@ -17,6 +19,7 @@ rows they come from.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -60,15 +63,33 @@ STANDS_FOR = {
     "*": "aeiou",
     "#": "aeiou",
 }
+#: Letters of other scripts that look like Latin ones (lower-cased), and those. Fixed values.
+LOOKS_LIKE = str.maketrans(
+    "авекмнорстухіјѕԁһαεικνορτυχωη",
+    "abekmhopctyxijsdhaeikvoptuxwn",
+)
 APART = " .-_*~'"  # may stand between the letters of a word
 SWAP, DROP, JOIN, KEEP = 1.0, 0.5, 0.5, 4.0  # costs: as a letter, between letters, fewer repeats, unread
 SETTLED = 64  # runs after which what all paths have in common is put aside
 
-_SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+_ACCENTS = re.compile("[\u0300-\u036f\u00ad\u200b\u2060\ufeff]")
+_LATIN_WORD = re.compile(r"\S*[a-z]\S*")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _HIDDEN = re.compile(r"[^\W\d_].*?[0-9@$!|+(*#.\-_~'].*?[^\W\d_]|[0-9@$!|+(][^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+(]")
 
 
+def folded(text: str) -> str:
+    """Lower-cased, without accents, compatibility forms and look-alikes in Latin words."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFKD", text.lower())
+    text = unicodedata.normalize("NFC", _ACCENTS.sub("", text)).lower()
+    if text.translate(LOOKS_LIKE) == text:
+        return text
+    return _LATIN_WORD.sub(lambda m: m[0].translate(LOOKS_LIKE), text)
+
+
 def bare(word: str) -> str:
     """A lower-case word without the marks around it."""
     return word.rstrip(".,;:!?\"'()[]*&%$#|<>-_").lstrip(".,;:?\"'()[]&%#<>-_*")
@@ -97,6 +118,20 @@ class CharacterModel:
                 counts[(a * KINDS + b) * KINDS + c] += weight
         return counts
 
+    @staticmethod
+    def choices(char: str, length: int) -> list[tuple[str, float]]:
+        """What a run of ``length`` equal characters may be, and the cost of each."""
+        if char == " ":
+            return [(" ", 0.0), ("", DROP)]
+        found = [(char * min(length, 2), 0.0 if char.isalpha() else KEEP)]
+        if length > 1 and char.isalpha():
+            found.append((char, JOIN if length > 2 else 3 * JOIN))
+        for letter in STANDS_FOR.get(char, ""):
+            found += [(letter * n, SWAP + (JOIN if n < length else 0.0)) for n in range(1, min(length, 2) + 1)]
+        if char in APART:
+            found.append(("", DROP))
+        return found
+
     def restore(self, word: str) -> str:
         """The best path through the word's lattice. A space may be a border of two words,
         at the cost of the first one's end; the second begins like any word."""
@@ -104,13 +139,7 @@ class CharacterModel:
         best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
         runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", word, re.S)]
         for place, (char, length) in enumerate(runs):
-            choices = [(char * min(length, 2), 0.0 if char.isalpha() else KEEP)] if char != " " else [(" ", 0.0)]
-            if length > 1 and char.isalpha():
-                choices.append((char, JOIN if length > 2 else 3 * JOIN))
-            for letter in STANDS_FOR.get(char, ""):
-                choices += [(letter * n, SWAP + (JOIN if n < length else 0.0)) for n in range(1, min(length, 2) + 1)]
-            if char in APART:
-                choices.append(("", DROP))
+            choices = self.choices(char, length)
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, read) in best.items():
                 for letters, own in choices:
@@ -200,16 +229,21 @@ class ToxicityModel:
 
     def set_apart(self, text: str) -> list[str]:
         """Words whose letters stand apart, restored."""
-        return [w for m in _SPACED.finditer(text) for w in self.characters.restore(bare(m[0])).split()]
+        return [w for m in _SPACED.finditer(text) for w in self._together(m).split()]
+
+    def _together(self, spaced: re.Match) -> str:
+        letters = " ".join(spaced[0].split())
+        if not letters.isascii() and _LATIN_WORD.search(letters):
+            letters = letters.translate(LOOKS_LIKE)
+        return self.characters.restore(bare(letters))
 
     def restored(self, text: str) -> str:
         """The whole text as it is scored."""
-        text = text.lower()
-        joined = _SPACED.sub(lambda m: self.characters.restore(bare(m[0])), text)
+        joined = _SPACED.sub(self._together, folded(text))
         return " ".join(map(self.read, joined.split()))
 
     def measure(self, text: str) -> list[float]:
-        text = text.lower()
+        text = folded(text)
         words, weigh = text.split(), self._weigh
         found = []
         for word in words:
@@ -252,7 +286,7 @@ def _term_counts(sample: DataFrame, characters: CharacterModel) -> DataFrame:
         for batch in batches:
             counts: Counter = Counter()
             for text, label, half in zip(values(batch, "_text"), values(batch, "_label"), values(batch, "_half")):
-                lower = text.decode("utf-8", "replace").lower()
+                lower = folded(text.decode("utf-8", "replace"))
                 words = {*map(reader.read, set(lower.split())), *reader.set_apart(lower)}
                 counts.update((t, half, label) for t in {t for w in words for t in terms_of(w)})
             columns = list(zip(*counts)) or [[], [], []]
