@@ -214,6 +214,26 @@ def session_parts(
     return _named(rows, templates, with_text, with_gaps)
 
 
+def session_heads(
+    occurrences: DataFrame,
+    templates: list[Template] | None,
+    most: int,
+    part_events: int | None = None,
+    with_text: bool = False,
+    with_gaps: bool = False,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """One row per block with its first ``most`` events, and the count, latency and times
+    of all. Of an oversized block only the parts that hold those events are joined, so a
+    row has at most ``most`` events: what packing, truncated contents and previews need.
+    """
+    whole, parts = _parted(occurrences, part_events or PART_EVENTS, sizes)
+    left = (F.lit(most) - F.col("first_pos")).cast("int")
+    cut = lambda rows: rows.filter(left > 0).withColumns({c: F.slice(c, F.lit(1), left) for c in ("_ords", "_at")})
+    rows = cut(whole) if parts is None else cut(whole).unionByName(_assembled(cut(parts)))
+    return _named(rows, templates, with_text, with_gaps)
+
+
 def text_sequence(templates: list[Template], sequence: Column) -> Column:
     """Template texts beside the ids: looked up after the shuffle, never shuffled."""
     return F.transform(sequence, lambda event: text_of(templates, event))

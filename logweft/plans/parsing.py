@@ -113,6 +113,20 @@ def range_counters(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("n_events", exact.alias("unique_blocks"), near.alias("estimate_holds"))
 
 
+@PARSING.add(
+    f"""WITH {v.SESSIONS_SQL}
+SELECT block_id, array_to_string(list_transform(sequence[1:8], lambda e: {_EVENT_TEXT}[e]), ' ;-; ') AS content,
+       n_events, latency
+FROM sessions"""
+)
+def session_head_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """The first eight messages of each block, beside facts of all its events. Blocks of
+    more than six events are put in order in parts, of which no whole row is made."""
+    rows = v.session_heads(spark, folder, most=8, part_events=6, with_text=True)
+    content = F.array_join("text_sequence", fv.MESSAGE_JOIN).alias("content")
+    return rows.select("block_id", content, "n_events", "latency")
+
+
 @PARSING.add(
     f"""WITH {v.SESSIONS_SQL}
 SELECT block_id, array_to_string(sequence, ',') AS sequence, latency FROM sessions ORDER BY first_line LIMIT 3"""

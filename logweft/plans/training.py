@@ -134,12 +134,13 @@ grouped AS (
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     n = F.substring("block_id", 5, 20).cast("bigint")
-    rows = v.sessions(spark, folder).select(
+    heads = v.session_heads(spark, folder, most=pk.MAX_MESSAGES)
+    rows = heads.select(
         F.col("sequence").alias("messages"),
         (n % 7 == 0).cast("int").alias("label"),
         F.col("first_seen.line_id").alias("line_id"),
     )
-    return pk.pack(pk.batches(rows, line_cells(), ["line_id"], store=True), most=128)
+    return pk.pack(pk.batches(rows, line_cells(), ["line_id"], store=True))
 
 
 @TRAINING.add(

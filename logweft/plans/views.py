@@ -98,6 +98,11 @@ def session_parts(spark: SparkSession, folder: str, part_events: int, **options)
     return ss.session_parts(occurrences(spark, folder), templates(), part_events, sizes=sizes, **options)
 
 
+def session_heads(spark: SparkSession, folder: str, most: int, **options) -> DataFrame:
+    sizes = ln.line_blocks(log_lines(spark, folder))
+    return ss.session_heads(occurrences(spark, folder), templates(), most, sizes=sizes, **options)
+
+
 def _block_number() -> Column:
     return F.substring("block_id", 5, 20).cast("bigint")
 

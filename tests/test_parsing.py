@@ -128,6 +128,24 @@ def test_huge_block_in_parts_equals_one_row(spark):
     assert max(r.parts for r in parts) > 20
 
 
+def test_heads_are_the_first_events_of_each_block(spark):
+    occurrences = events_df(spark, hot_rows())
+    whole = {r.block_id: r for r in ss.sessions(occurrences, v.templates(), with_gaps=True).collect()}
+    for most, part_events in ((1, 64), (100, 64), (100, 100_000), (64, 64), (5000, 7)):
+        heads = ss.session_heads(occurrences, v.templates(), most, part_events, with_gaps=True).collect()
+        assert {r.block_id: (r.sequence, r.gaps) for r in heads} == {
+            b: (r.sequence[:most], r.gaps[:most]) for b, r in whole.items()
+        }
+        assert all(
+            (r.n_events, r.latency, r.first_seen)
+            == (whole[r.block_id].n_events, whole[r.block_id].latency, whole[r.block_id].first_seen)
+            for r in heads
+        )
+        assert len(heads) == len(whole)
+    empty = occurrences.filter("false")
+    assert ss.session_heads(empty, v.templates(), 3).collect() == []
+
+
 def test_facts_of_parts_equal_facts_of_whole_blocks(spark):
     from logweft.operators import blocks as bl
 
