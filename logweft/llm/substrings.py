@@ -11,7 +11,8 @@ would. The steps:
 2. Suffixes with a shared prefix are dealt to trees by that prefix. A tree must fit
    memory: where a prefix begins more than ``TREE`` suffixes it is made longer, up to
    the whole window, whose node needs no tree: a count of its leaves is enough. Equal
-   surroundings of an anchor are counted as one before that.
+   surroundings of an anchor are counted as one before that, first within a batch, where
+   all but one of them are told to be repeats at once and are not shuffled.
 3. In a tree, the suffixes of windows are ordered; neighbours that agree in all
    ``WINDOW`` words lie below one deep internal node. Such nodes with two leaves or
    more are the repeats, and runs of them in a document are its maximal repeats.
@@ -126,16 +127,39 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every shared anchor a row with the hashes of its windows (the suffixes below
-    its prefix): the first window's start, the words from there to the anchor, the hashes."""
+    its prefix): the first window's start, the words from there to the anchor, the hashes.
+
+    Of anchors with long prefixes and equal windows in a batch the first stands for ``n``;
+    the words of all of them are repeats: rows with an ``end`` and nothing else."""
     for batch in batches:
         keys, starts, leads, prefixes_of, longs, paths = [], [], [], [], [], []
+        ns, same = [], {}
+        spans: list[list[int]] = []
+
+        def repeated(key: int, start: int, size: int) -> None:
+            end = start + size - 1 + WINDOW
+            if spans and spans[-1][0] == key and spans[-1][1] <= start <= spans[-1][2]:
+                spans[-1][2] = max(end, spans[-1][2])
+            else:
+                spans.append([key, start, end])
+
         for key, text, shared in zip(values(batch, "row_key"), values(batch, "_text"), values(batch, "shared")):
             wanted = {s["place"]: s["long"] for s in shared}
             for start, prefixes, places, hashes in windows_of(text.split()):
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(places)) + 1, [len(places)]])
                 for a, b, place in zip(edges[:-1].tolist(), edges[1:].tolist(), places[edges[:-1]].tolist()):
                     long = wanted.get(place)
+                    if long:
+                        equal = prefixes[a], place - start - a, hashes[a:b].tobytes()
+                        known = same.setdefault(equal, len(keys))
+                        if known < len(keys):
+                            if ns[known] == 1:
+                                repeated(keys[known], starts[known], b - a)
+                            ns[known] += 1
+                            repeated(key, start + a, b - a)
+                            continue
                     if long is not None:
+                        ns.append(1)
                         keys.append(key)
                         starts.append(start + a)
                         leads.append(place - start - a)
@@ -152,9 +176,15 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(leads, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 pa.array(longs, pa.bool_()),
+                pa.array(ns, pa.int64()),
+                pa.nulls(len(keys), pa.int64()),
             ],
-            names=["prefix", "row_key", "start", "lead", "paths", "long"],
+            names=_SUFFIX_NAMES,
         )
+        if spans:
+            none = [pa.nulls(len(spans), kind) for kind in (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.int64())]
+            key, start, end = (pa.array([s[i] for s in spans], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64())))
+            yield pa.RecordBatch.from_arrays([none[0], key, start, *none[1:], end], names=_SUFFIX_NAMES)
 
 
 def _repeats_of_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,25 +239,27 @@ def _repeats_of_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield found(waiting)
 
 
-_SUFFIX = "prefix bigint, row_key bigint, start int, lead int, paths array<bigint>"
+_SUFFIX = "prefix bigint, row_key bigint, start int, lead int, paths array<bigint>, long boolean, n bigint, end bigint"
+_SUFFIX_NAMES = ["prefix", "row_key", "start", "lead", "paths", "long", "n", "end"]
 
 
 def _repeats_of_long_prefixes(suffixes: DataFrame) -> DataFrame:
     """(row_key, start, end) where a prefix is too frequent for a tree.
 
     Anchors with the same windows all around are one row with a count before anything
-    else; with a count of two they are repeats. The windows of the different ones are
-    counted with the whole window as the prefix."""
+    else; with a count of two they are repeats. Rows that stand for several are told to be
+    repeats already. The windows of the different ones are counted with the whole window
+    as the prefix."""
     same = ["prefix", "lead", "around"]
     marked = suffixes.withColumn("around", F.xxhash64("paths"))
     distinct = materialize(
         marked.groupBy(*same, "paths").agg(
-            F.count("*").alias("n"), F.min("row_key").alias("row_key"), F.min("start").alias("start")
+            F.sum("n").alias("n"), F.min("row_key").alias("row_key"), F.min("start").alias("start")
         ),
         "long-prefixes",
     )
     end = (F.col("start") + F.size("paths") - 1 + WINDOW).cast("bigint").alias("end")
-    copied = marked.join(distinct.filter("n > 1").select(*same, "paths"), [*same, "paths"], "left_semi").select(
+    copied = marked.filter("n = 1").join(distinct.filter("n > 1").select(*same, "paths"), [*same, "paths"], "left_semi").select(
         "row_key", F.col("start").cast("bigint").alias("start"), end
     )
     leaves = distinct.select("prefix", "lead", "n", "row_key", "start", F.posexplode("paths").alias("at", "path"))
@@ -251,10 +283,11 @@ def repeats(rows: DataFrame) -> DataFrame:
     )
     by_document = shared.groupBy("row_key").agg(F.collect_list("shared").alias("shared"))
     cut = rows.join(by_document, "row_key").select("row_key", "_text", "shared")
-    suffixes = materialize(cut.mapInArrow(_suffixes, f"{_SUFFIX}, long boolean"), "suffixes")
-    short = suffixes.filter("NOT long").drop("long").repartition("prefix").sortWithinPartitions("prefix")
+    suffixes = materialize(cut.mapInArrow(_suffixes, _SUFFIX), "suffixes")
+    short = suffixes.filter("NOT long").drop("long", "n", "end").repartition("prefix").sortWithinPartitions("prefix")
     in_trees = short.mapInArrow(_repeats_of_trees, "row_key bigint, start bigint, end bigint")
-    return in_trees.union(_repeats_of_long_prefixes(suffixes.filter("long").drop("long")))
+    told = suffixes.filter("end IS NOT NULL").select("row_key", F.col("start").cast("bigint").alias("start"), "end")
+    return in_trees.union(_repeats_of_long_prefixes(suffixes.filter("long").drop("long", "end"))).union(told)
 
 
 def _stays(n_words: int, spans: list[dict] | None) -> np.ndarray:
