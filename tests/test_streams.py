@@ -159,6 +159,23 @@ def test_open_sessions_wait_without_a_flush(spark, tmp_path):
     assert dropped == 0
 
 
+def test_state_is_keyed_by_buckets_not_by_blocks(spark, tmp_path):
+    """Calls of the keyed step are bounded, however many blocks a batch has."""
+    blocks = 3 * keyed.BUCKETS
+    rows = [line(second, block) for second in (0, 30, 400) for block in range(blocks)]
+    write_batches(tmp_path / "in", [rows])
+    marks = keyed.mark_stream(spark, str(tmp_path / "marks"))
+    closed = keyed.gap_sessions(live.parse_stream(tail.tail_log(spark, str(tmp_path / "in")), v.templates()), 60, "10 seconds", marks)
+    out = str(tmp_path / "out")
+    with live.caught_up(closed, live.append_once(out), str(tmp_path / "state")) as query:
+        keyed.request_flush(spark, str(tmp_path / "marks"))
+        query.processAllAvailable()
+        held = [operator["numRowsTotal"] for p in query.recentProgress for operator in p["stateOperators"]]
+    assert 0 < max(held) <= keyed.BUCKETS and held[-1] == 0
+    got = sorted((r.block_id, r.n_events, r.latency) for r in spark.read.parquet(out).collect())
+    assert got == sorted((f"blk_{b}", n, t) for b in range(blocks) for n, t in ((2, 30.0), (1, 0.0)))
+
+
 def test_cut_sessions_parts_at_the_gap():
     events = [(5, "b"), (0, "a"), (9, "c"), (14, "d"), (14, "c")]
     assert keyed.cut_sessions(events, 5) == [[(0, "a")], [(5, "b"), (9, "c")], [(14, "c"), (14, "d")]]
