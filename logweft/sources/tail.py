@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "value string, file_key string, block_start bigint, line_id bigint"
-SPLIT_BYTES = 64 << 20
+SPLIT_BYTES = 16 << 20
 BLOCK_BYTES = 1 << 20  # of one read and one batch of lines
 HEAD_BYTES = 256
 
