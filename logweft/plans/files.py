@@ -16,7 +16,7 @@ from logweft.operators.templates import load_templates
 from logweft.plans import jobs, views as v
 from logweft.plans.dashboard import HISTORY_SQL
 from logweft.plans.registry import Registry
-from logweft.session import new_folder
+from logweft.session import materialize, new_folder
 from logweft.sources import json_array, logs, sinks, tables
 
 FILES = Registry()
@@ -181,8 +181,10 @@ told AS (SELECT line_id, CASE WHEN line_id % 50 <> 0 THEN trim(right(prompt, 40)
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts, dealt to all cores: a table of few splits would be asked by as few tasks."""
     mark = F.when(F.col("line_id") % 50 == 0, "#").otherwise("")
-    return v.log_lines(spark, folder).filter("value <> ''").select("line_id", F.concat(mark, "value").alias("prompt"))
+    lines = v.log_lines(spark, folder).filter("value <> ''").repartition(2 * spark.sparkContext.defaultParallelism, "line_id")
+    return lines.select("line_id", F.concat(mark, "value").alias("prompt"))
 
 
 @FILES.add(f"WITH {_ASKED_SQL} SELECT line_id, answer FROM told")
@@ -201,7 +203,7 @@ SELECT reason, 2 * count(*) AS n FROM gated GROUP BY reason"""
 )
 def appended_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Two appended batches of gated answers, counted by reason from what was written."""
-    told = sc.generate(_asked(spark, folder), _tail, output="answer", wait=0.0)
+    told = materialize(sc.generate(_asked(spark, folder), _tail, output="answer", wait=0.0), "answers")
     gated = ql.gate(told, "answer", min_chars=30).select(
         F.col("line_id").cast("string").alias("block_id"),
         F.array(F.lit("E5")).alias("sequence"),

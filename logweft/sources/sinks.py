@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from logweft.functions import text as tx
+from logweft.session import materialize
 
 
 def write_sessions(rows: DataFrame, path: str) -> None:
@@ -35,8 +36,10 @@ def append_by_verdict(rows: DataFrame, accepted_path: str, rejected_path: str) -
     """Append gated chat records: accepted ones, and rejected ones with a reason.
 
     ``rows`` has ``messages, ok, reason, block_id, sequence``. A row without an
-    answer is kept as block, sequence and reason only.
+    answer is kept as block, sequence and reason only. Rows are stored before they are
+    split, so what made them, such as calls to a model, runs once.
     """
+    rows = materialize(rows.select("messages", "ok", "reason", "block_id", "sequence"), "verdicts")
     answered = F.col("messages").isNotNull()
     rows.filter("ok").select("messages").write.mode("append").json(accepted_path)
     rows.filter("NOT ok").select(

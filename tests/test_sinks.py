@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from logweft.plans import views as v
-from logweft.operators import sessions as ss
+from logweft.operators import scoring as sc, sessions as ss
 from logweft.sources import sinks, tables
 from test_parsing import events_df
 
@@ -38,6 +38,24 @@ def test_append_adds_files(spark, tmp_path):
     assert bad.filter("_reject_reason = 'too short (1 chars)' and block_id is null").count() == 2
 
 
+def test_append_runs_what_made_the_rows_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def answer(prompt):
+        calls.add(1)
+        return prompt
+
+    asked = spark.range(40).select(F.col("id").cast("string").alias("block_id"), F.concat(F.lit("p"), "id").alias("prompt"))
+    told = sc.generate(asked, answer, output="answer").select(
+        "block_id", F.array(F.lit("E5")).alias("sequence"), (F.col("answer") < "p3").alias("ok"), F.lit("why").alias("reason"),
+        F.array(F.struct(F.lit("user").alias("role"), F.col("answer").alias("content"))).alias("messages"),
+    )
+    sinks.append_by_verdict(told, str(tmp_path / "ok"), str(tmp_path / "no"))
+    assert calls.value == 40
+    assert tables.read_json_lines(spark, str(tmp_path / "ok")).count() == 23
+    assert spark.read.json(str(tmp_path / "no")).count() == 17
+
+
 def test_labels_file(spark, tmp_path):
     (tmp_path / "l.csv").write_text("BlockId,Label\nblk_1,Normal\nblk_2,Anomaly\n")
     assert [tuple(r) for r in tables.read_labels(spark, str(tmp_path / "l.csv")).collect()] == [("blk_1", "Normal"), ("blk_2", "Anomaly")]
