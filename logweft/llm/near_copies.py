@@ -16,6 +16,10 @@ whole balls can reach, so balls are taken in parts of a fingerprint:
    *leader*: one is a leader when no earlier leader is near. Crowded variants are thinned
    to leaders before the shuffle as well, so a hot group is never gathered.
 4. Named pairs are verified on the shingles themselves, and verified ones are joined up.
+5. What was not named is not lost: near pairs of small groups travel as pairs, and all rows of
+   crowded variants, thinned ones included, are kept aside. Where roots differ there, the texts
+   are joined by their rarest shingles, as many as a pair of that similarity must share one
+   of, and every pair found is verified as well.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from logweft.llm.common import boxed, keyed, text_bytes, unboxed, values
 from logweft.llm.links import components
@@ -43,7 +47,10 @@ LEAST_WIDTH = 24  # bits of a part
 GROUP = 64  # fingerprints of one variant that are all compared
 LOCAL_GROUP = 16  # the same before the shuffle
 BLOCK = 4096  # fingerprints that are worked on at once
+CROWD = 4096  # rows of a shingle that are met by those of other roots at once
 SIZE_BITS = 11
+THINNED = (1 << SIZE_BITS) - 1  # in place of a size: rows of this variant were thinned (no set is as large)
+NAMED, NEAR, ASIDE = -1, -2, -3  # keys of pairs to verify, of other near pairs, and of rows kept aside (and below)
 _SIZE_STEP = 32  # codes for each doubling of a set's size
 _SIZES_APART = math.ceil(-math.log2(SIMILARITY) * _SIZE_STEP)  # rounding included
 _PRINT = ["q0", "q1", "q2", "q3", "code"]
@@ -86,7 +93,7 @@ def fingerprint(found: np.ndarray) -> tuple[int, ...]:
     twice = 2 * ones
     bits = np.where(twice == len(found), np.unpackbits(tied, bitorder="little"), twice > len(found))
     quarters = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64).tolist()
-    return *quarters, min(round(math.log2(len(found)) * _SIZE_STEP), (1 << SIZE_BITS) - 1)
+    return *quarters, min(round(math.log2(len(found)) * _SIZE_STEP), THINNED - 1)
 
 
 def node_of(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -119,8 +126,9 @@ def _apart(high: np.ndarray, low: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
 
 
 def named_pairs(variant: np.ndarray, code: np.ndarray, high: np.ndarray, low: np.ndarray, group: int):
-    """From rows sorted by variant: pairs of row numbers to verify, and which rows stand
-    for the others of their variant (all rows of groups up to ``group``)."""
+    """From rows sorted by variant: pairs of row numbers to verify, which rows stand for the
+    others of their variant (all rows of groups up to ``group``), and the near pairs of these
+    groups that are not among the first."""
     n = len(variant)
     edges = np.flatnonzero(np.diff(variant)) + 1
     first = np.concatenate([[0], edges]).astype(np.int64)
@@ -130,6 +138,7 @@ def named_pairs(variant: np.ndarray, code: np.ndarray, high: np.ndarray, low: np
     near_before = np.full(n, -1), np.full(n, CARRIED + 1)
     near_after = np.full(n, -1), np.full(n, CARRIED + 1)
     few = size_of <= group
+    near = [np.empty((0, 2), np.int64)]
     for apart in range(1, int(sizes[sizes <= group].max(initial=1))):
         i = np.flatnonzero((variant[apart:] == variant[:-apart]) & few[:-apart])
         if len(i) == 0:
@@ -137,6 +146,7 @@ def named_pairs(variant: np.ndarray, code: np.ndarray, high: np.ndarray, low: np
         j = i + apart
         i, j = (x[np.abs(code[i] - code[j]) <= _SIZES_APART] for x in (i, j))
         bits = _apart(high, low, i, j)
+        near.append(np.stack([i, j], 1)[bits <= APART])
         for at, other, (who, least) in ((j, i, near_before), (i, j, near_after)):
             better = (bits <= APART) & (bits < least[at])
             who[at[better]], least[at[better]] = other[better], bits[better]
@@ -145,6 +155,8 @@ def named_pairs(variant: np.ndarray, code: np.ndarray, high: np.ndarray, low: np
         at = np.flatnonzero(who >= 0)
         left.append(at)
         right.append(who[at])
+    i, j = np.concatenate(near).T
+    unnamed = (near_after[0][i] != j) & (near_before[0][j] != i)
     for k in np.flatnonzero(sizes > group).tolist():
         rows = np.arange(first[k], first[k] + sizes[k])
         stands[rows] = False
@@ -153,13 +165,13 @@ def named_pairs(variant: np.ndarray, code: np.ndarray, high: np.ndarray, low: np
             leader = unread[0]
             stands[leader] = True
             others = unread[1:]
-            near = (np.abs(code[others] - code[leader]) <= _SIZES_APART) & (
+            led = (np.abs(code[others] - code[leader]) <= _SIZES_APART) & (
                 _apart(high, low, others, np.full(len(others), leader)) <= APART
             )
-            left.append(others[near])
-            right.append(np.full(int(near.sum()), leader))
-            unread = others[~near]
-    return np.concatenate(left), np.concatenate(right), stands
+            left.append(others[led])
+            right.append(np.full(int(led.sum()), leader))
+            unread = others[~led]
+    return np.concatenate(left), np.concatenate(right), stands, (i[unnamed], j[unnamed])
 
 
 def _batch(key: np.ndarray, high: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
@@ -169,10 +181,10 @@ def _batch(key: np.ndarray, high: np.ndarray, low: np.ndarray) -> pa.RecordBatch
     )
 
 
-def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _links(a: np.ndarray, b: np.ndarray, key: int = NAMED) -> pa.RecordBatch:
     """Pairs of names travel as rows with a key below zero."""
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return _batch(np.full(len(pairs), -1), *(np.ascontiguousarray(pairs[:, k]).view(np.uint64) for k in (0, 1)))
+    return _batch(np.full(len(pairs), key), *(np.ascontiguousarray(pairs[:, k]).view(np.uint64) for k in (0, 1)))
 
 
 def variants_of(quarters: list[np.ndarray], code: np.ndarray, width: int):
@@ -203,11 +215,15 @@ def _emitted(width: int):
                 crowd = np.repeat(sizes, sizes) > LOCAL_GROUP
                 if crowd.any():
                     some = variant[crowd], key[crowd] & ((1 << SIZE_BITS) - 1), h[crowd], l[crowd]
-                    a, b, stands = named_pairs(*some, LOCAL_GROUP)
+                    a, b, stands, _ = named_pairs(*some, LOCAL_GROUP)
                     names = node_of(some[2], some[3])
                     yield _links(names[a], names[b])
                     stays = ~crowd
                     stays[np.flatnonzero(crowd)[stands]] = True
+                    yield _batch(ASIDE - key[~stays], h[~stays], l[~stays])
+                    thinned = np.unique(variant[~stays])
+                    none = np.zeros(len(thinned), np.uint64)
+                    yield _batch((thinned << SIZE_BITS) | THINNED, none, none)
                     key, h, l = key[stays], h[stays], l[stays]
                 yield _batch(key, h, l)
 
@@ -215,13 +231,23 @@ def _emitted(width: int):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: pairs (high, low) of names to verify."""
+    """From rows sorted by key: pairs (high, low) of names, and the rows of crowded variants."""
     held: list[np.ndarray] = []
 
-    def compared(key: np.ndarray, high: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
-        a, b, _ = named_pairs(key >> SIZE_BITS, key & ((1 << SIZE_BITS) - 1), high, low, GROUP)
+    def compared(key: np.ndarray, high: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mark = (key & THINNED) == THINNED
+        thinned = key[mark] >> SIZE_BITS
+        key, high, low = key[~mark], high[~mark], low[~mark]
+        if len(key) == 0:
+            return
+        variant = key >> SIZE_BITS
+        a, b, _, (i, j) = named_pairs(variant, key & THINNED, high, low, GROUP)
+        sizes = np.diff(np.flatnonzero(np.diff(variant, prepend=-1, append=-1)))
+        crowded = (np.repeat(sizes, sizes) > GROUP) | np.isin(variant, thinned)
         names = node_of(high, low)
-        return _links(names[a], names[b])
+        yield _links(names[a], names[b])
+        yield _links(names[i[~crowded[i]]], names[j[~crowded[i]]], NEAR)
+        yield _batch(ASIDE - key[crowded], high[crowded], low[crowded])
 
     for batch in batches:
         new = [batch.column(0).to_numpy(), *(batch.column(i).to_numpy().view(np.uint64) for i in (1, 2))]
@@ -233,10 +259,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(held[0]):
             done = int(np.searchsorted(held[0] >> SIZE_BITS, held[0][-1] >> SIZE_BITS))
             if done:
-                yield compared(*(c[:done] for c in held))
+                yield from compared(*(c[:done] for c in held))
                 held = [c[done:] for c in held]
     if held and len(held[0]):
-        yield compared(*held)
+        yield from compared(*held)
 
 
 def _printed(rows: DataFrame) -> DataFrame:
@@ -282,6 +308,66 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(shared >= SIMILARITY * all_words).select("a", "b")
 
 
+def open_nodes(met: DataFrame, rooted: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of all that met a near one of another root without being named:
+    in pairs, or in a crowded variant that holds more than one root."""
+    pairs = met.filter(F.col("key") == NEAR).select(F.col("high").alias("a"), F.col("low").alias("b")).distinct()
+    root_of = rooted.select("node", "root")
+    pairs = pairs.join(root_of.toDF("a", "root_a"), "a").join(root_of.toDF("b", "root_b"), "b").filter("root_a <> root_b")
+    few = pairs.select("a", "root_a").union(pairs.select("b", "root_b")).toDF("node", "root")
+    aside = met.filter(F.col("key") <= ASIDE).select(F.shiftright(F.lit(ASIDE) - F.col("key"), SIZE_BITS).alias("variant"), "high", "low")
+    rows = aside.join(rooted, ["high", "low"]).select("variant", "node", "root")
+    crowds = rows.groupBy("variant").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    return few.union(rows.join(crowds, "variant", "left_semi").select("node", "root")).distinct()
+
+
+def open_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` with different roots, all that can be alike among them: those
+    share one of the rarest shingles, as many as a set can lose and one more.
+
+    Rows of a shingle's most frequent root are dealt by a salt, and those of other roots come
+    to each part, so no task holds more than ``CROWD`` of them or so.
+    """
+    sets = _sets(texts.join(nodes, "node", "left_semi").select("node", "_text"))
+    words = sets.select("node", F.size("words").alias("size"), F.explode("words").alias("word"))
+    words = materialize(words.join(nodes, "node"), "near-words")
+    rare = Window.partitionBy("node").orderBy("df", "word")
+    ranked = words.join(words.groupBy("word").agg(F.count("*").alias("df")).filter("df > 1"), "word").withColumn("rank", F.row_number().over(rare))
+    # Shingles of one text alone come first in the order and are met by none.
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("node"))
+    least = F.ceil(F.col("size") * SIMILARITY - 1e-6)
+    head = ranked.withColumn("at", F.col("rank") + alone).filter(F.col("at") <= F.col("size") - least + 1)
+    head = materialize(head.select("word", "node", "root", "size", "at"), "near-heads")
+    sizes = head.groupBy("word", "root").agg(F.count("*").alias("n")).groupBy("word").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")
+    )
+    parts = F.ceil(F.col("n") / CROWD).cast("int").alias("parts")
+    shared = head.join(sizes.filter("roots > 1").select("word", "main", parts), "word")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    some = shared.filter("root <> main").select("*", each).alias("x")
+    every = shared.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("y")
+    # Two sets share no more than the first that they share and what follows it in either.
+    most = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    enough = most * (1 + SIMILARITY) >= (F.col("x.size") + F.col("y.size")) * SIMILARITY - 1e-6
+    met = some.join(every, F.expr("x.word = y.word AND x.part = y.part AND x.root <> y.root") & enough)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def all_roots(alike: DataFrame, met: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of every node whose text is alike to another that it met, over any
+    number of links: named pairs are verified first, then what they leave open."""
+    named = met.filter(F.col("key") == NAMED).select(F.col("high").alias("a"), F.col("low").alias("b"))
+    pairs = materialize(named.distinct(), "near-pairs")
+    links = materialize(verified(pairs, texts), "near-links")
+    roots = components(links)
+    root = F.coalesce("root", "node").alias("root")
+    rooted = alike.join(roots, "node", "left").select("node", F.col("q0").alias("high"), F.col("q1").alias("low"), root)
+    nodes = materialize(open_nodes(met, rooted), "near-open")
+    rest = materialize(open_pairs(nodes, texts).join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    found = materialize(verified(rest, texts), "near-links")
+    return roots if found.isEmpty() else components(links.union(found))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document of least id of each group of near copies, with its own columns.
 
@@ -305,12 +391,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # Pairs that are found already are spread; a variant's rows come together.
     target = F.when(F.col("key") < 0, F.xxhash64("high", "low")).otherwise(F.shiftright("key", SIZE_BITS))
     dealt = emitted.repartition(target).sortWithinPartitions("key", "high", "low")
-    named = dealt.mapInArrow(_met, long).select(F.col("high").alias("a"), F.col("low").alias("b"))
-    pairs = materialize(named.distinct(), "near-pairs")
+    met = materialize(dealt.mapInArrow(_met, long), "near-met")
     texts = alike.select("node", F.col("place.row_key").alias("row_key")).join(
         rows.select("row_key", text_bytes().alias("_text")), "row_key"
     )
-    roots = components(materialize(verified(pairs, texts), "near-links"))
+    roots = all_roots(alike, met, texts)
     named = alike.join(roots, "node", "left").select("place", F.coalesce("root", "node").alias("root"))
     kept = named.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row_key").alias("row_key"))
     return unboxed(rows.select("row_key", "doc").join(kept, "row_key", "left_semi"))

@@ -102,3 +102,36 @@ def test_parts_hold_the_chance(width):
     for bits in near.parts(width):
         met |= (left[:, bits] != right[:, bits]).sum(axis=1) <= 2
     assert met.mean() > near.FOUND - 0.03
+
+
+def groups(texts: list[str], only_met: bool) -> list[int]:
+    """The least number of each text's group, where all pairs, or all that meet and are near, are compared."""
+    prints = np.array([near.fingerprint(near.shingles(t.encode())) for t in texts], np.uint64).T
+    *quarters, code = prints
+    key, rows = near.variants_of(list(quarters), code, near.LEAST_WIDTH)
+    variants = [set(v.tolist()) for v in (key >> near.SIZE_BITS)[np.argsort(rows, kind="stable")].reshape(len(texts), -1)]
+    sizes, root = code.astype(int), list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            apart = sum(int(q[i] ^ q[j]).bit_count() for q in quarters[:2])
+            if only_met and (apart > near.APART or abs(sizes[i] - sizes[j]) > near._SIZES_APART or not variants[i] & variants[j]):
+                continue
+            if root[i] != root[j] and similarity(texts[i], texts[j]) >= near.SIMILARITY:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize(("size", "changed"), [(60, 9), (200, 11)])
+def test_no_near_pair_is_lost_in_a_group(spark, size, changed):
+    rng = random.Random(size)
+    base = [rng.choice(WORDS) for _ in range(300)]
+    moved = [(at, f"m{rng.randrange(10**6)}") for at in rng.sample(range(300), 3 * changed)]
+    texts = []
+    for _ in range(size):  # clusters that overlap: many are near, fewer are alike
+        words = list(base)
+        for at, word in rng.sample(moved, changed):
+            words[at] = word
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in near.keep_one(docs).collect()}
+    assert set(groups(texts, False)) <= kept <= set(groups(texts, True))
