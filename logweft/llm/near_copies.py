@@ -16,7 +16,7 @@ whole balls can reach, so balls are taken in parts of a fingerprint:
    *leader*: one is a leader when no earlier leader is near. Crowded variants are thinned
    to leaders before the shuffle as well, so a hot group is never gathered.
 4. Named pairs are verified on the shingles themselves, and verified ones are joined up.
-5. What was not named is not lost: near pairs of small groups travel as pairs, and all rows of
+5. What was not named is not lost: the rows of near pairs without a name, and all rows of
    crowded variants, thinned ones included, are kept aside. Where roots differ there, the texts
    are joined by their rarest shingles, as many as a pair of that similarity must share one
    of, and every pair found is verified as well.
@@ -50,7 +50,7 @@ BLOCK = 4096  # fingerprints that are worked on at once
 CROWD = 4096  # rows of a shingle that are met by those of other roots at once
 SIZE_BITS = 11
 THINNED = (1 << SIZE_BITS) - 1  # in place of a size: rows of this variant were thinned (no set is as large)
-NAMED, NEAR, ASIDE = -1, -2, -3  # keys of pairs to verify, of other near pairs, and of rows kept aside (and below)
+NAMED, ASIDE = -1, -2  # keys of pairs to verify, and of rows kept aside (and below)
 _SIZE_STEP = 32  # codes for each doubling of a set's size
 _SIZES_APART = math.ceil(-math.log2(SIMILARITY) * _SIZE_STEP)  # rounding included
 _PRINT = ["q0", "q1", "q2", "q3", "code"]
@@ -181,10 +181,10 @@ def _batch(key: np.ndarray, high: np.ndarray, low: np.ndarray) -> pa.RecordBatch
     )
 
 
-def _links(a: np.ndarray, b: np.ndarray, key: int = NAMED) -> pa.RecordBatch:
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Pairs of names travel as rows with a key below zero."""
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return _batch(np.full(len(pairs), key), *(np.ascontiguousarray(pairs[:, k]).view(np.uint64) for k in (0, 1)))
+    return _batch(np.full(len(pairs), NAMED), *(np.ascontiguousarray(pairs[:, k]).view(np.uint64) for k in (0, 1)))
 
 
 def variants_of(quarters: list[np.ndarray], code: np.ndarray, width: int):
@@ -231,7 +231,8 @@ def _emitted(width: int):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: pairs (high, low) of names, and the rows of crowded variants."""
+    """From rows sorted by key: pairs (high, low) of names, the rows of crowded variants and those
+    of other near pairs that were not named."""
     held: list[np.ndarray] = []
 
     def compared(key: np.ndarray, high: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -244,9 +245,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, _, (i, j) = named_pairs(variant, key & THINNED, high, low, GROUP)
         sizes = np.diff(np.flatnonzero(np.diff(variant, prepend=-1, append=-1)))
         crowded = (np.repeat(sizes, sizes) > GROUP) | np.isin(variant, thinned)
+        crowded[i] = crowded[j] = True
         names = node_of(high, low)
         yield _links(names[a], names[b])
-        yield _links(names[i[~crowded[i]]], names[j[~crowded[i]]], NEAR)
         yield _batch(ASIDE - key[crowded], high[crowded], low[crowded])
 
     for batch in batches:
@@ -309,16 +310,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def open_nodes(met: DataFrame, rooted: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of all that met a near one of another root without being named:
-    in pairs, or in a crowded variant that holds more than one root."""
-    pairs = met.filter(F.col("key") == NEAR).select(F.col("high").alias("a"), F.col("low").alias("b")).distinct()
-    root_of = rooted.select("node", "root")
-    pairs = pairs.join(root_of.toDF("a", "root_a"), "a").join(root_of.toDF("b", "root_b"), "b").filter("root_a <> root_b")
-    few = pairs.select("a", "root_a").union(pairs.select("b", "root_b")).toDF("node", "root")
+    """``node`` and ``root`` of all that met a near one of another root without being named,
+    and of all in a crowded variant that holds more than one root."""
     aside = met.filter(F.col("key") <= ASIDE).select(F.shiftright(F.lit(ASIDE) - F.col("key"), SIZE_BITS).alias("variant"), "high", "low")
     rows = aside.join(rooted, ["high", "low"]).select("variant", "node", "root")
     crowds = rows.groupBy("variant").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-    return few.union(rows.join(crowds, "variant", "left_semi").select("node", "root")).distinct()
+    return rows.join(crowds, "variant", "left_semi").select("node", "root").distinct()
 
 
 def open_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
