@@ -17,9 +17,11 @@ whole balls can reach, so balls are taken in parts of a fingerprint:
    to leaders before the shuffle as well, so a hot group is never gathered.
 4. Named pairs are verified on the shingles themselves, and verified ones are joined up.
 5. What was not named is not lost: the rows of near pairs without a name, and all rows of
-   crowded variants, thinned ones included, are kept aside. Where roots differ there, the texts
-   are joined by their rarest shingles, as many as a pair of that similarity must share one
-   of, and every pair found is verified as well.
+   crowded variants, thinned ones included, are kept aside as chains of names, a chain a variant;
+   the same link of many variants counts once. All rows kept aside whose root is next to
+   another one somewhere in a chain, and so all of a variant with several roots, are joined by
+   their rarest shingles, as many as a pair of that similarity must share one of, and every
+   pair found is verified as well.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ BLOCK = 4096  # fingerprints that are worked on at once
 CROWD = 4096  # rows of a shingle that are met by those of other roots at once
 SIZE_BITS = 11
 THINNED = (1 << SIZE_BITS) - 1  # in place of a size: rows of this variant were thinned (no set is as large)
-NAMED, ASIDE = -1, -2  # keys of pairs to verify, and of rows kept aside (and below)
+NAMED, ASIDE = -1, -2  # keys of pairs to verify, and of links of chains kept aside
 _SIZE_STEP = 32  # codes for each doubling of a set's size
 _SIZES_APART = math.ceil(-math.log2(SIMILARITY) * _SIZE_STEP)  # rounding included
 _PRINT = ["q0", "q1", "q2", "q3", "code"]
@@ -181,10 +183,16 @@ def _batch(key: np.ndarray, high: np.ndarray, low: np.ndarray) -> pa.RecordBatch
     )
 
 
-def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _links(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Pairs of names travel as rows with a key below zero."""
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return _batch(np.full(len(pairs), NAMED), *(np.ascontiguousarray(pairs[:, k]).view(np.uint64) for k in (0, 1)))
+    return _batch(np.full(len(pairs), kind), *(np.ascontiguousarray(pairs[:, k]).view(np.uint64) for k in (0, 1)))
+
+
+def _chains(variant: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    """From rows sorted by variant: links between neighbours of the same variant, to keep aside."""
+    same = variant[1:] == variant[:-1]
+    return _links(ASIDE, names[:-1][same], names[1:][same])
 
 
 def variants_of(quarters: list[np.ndarray], code: np.ndarray, width: int):
@@ -217,10 +225,10 @@ def _emitted(width: int):
                     some = variant[crowd], key[crowd] & ((1 << SIZE_BITS) - 1), h[crowd], l[crowd]
                     a, b, stands, _ = named_pairs(*some, LOCAL_GROUP)
                     names = node_of(some[2], some[3])
-                    yield _links(names[a], names[b])
+                    yield _links(NAMED, names[a], names[b])
+                    yield _chains(some[0], names)
                     stays = ~crowd
                     stays[np.flatnonzero(crowd)[stands]] = True
-                    yield _batch(ASIDE - key[~stays], h[~stays], l[~stays])
                     thinned = np.unique(variant[~stays])
                     none = np.zeros(len(thinned), np.uint64)
                     yield _batch((thinned << SIZE_BITS) | THINNED, none, none)
@@ -231,8 +239,8 @@ def _emitted(width: int):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: pairs (high, low) of names, the rows of crowded variants and those
-    of other near pairs that were not named."""
+    """From rows sorted by key: pairs (high, low) of names, and the chains of the rows of crowded
+    variants and of those of other near pairs that were not named."""
     held: list[np.ndarray] = []
 
     def compared(key: np.ndarray, high: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -247,8 +255,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowded = (np.repeat(sizes, sizes) > GROUP) | np.isin(variant, thinned)
         crowded[i] = crowded[j] = True
         names = node_of(high, low)
-        yield _links(names[a], names[b])
-        yield _batch(ASIDE - key[crowded], high[crowded], low[crowded])
+        yield _links(NAMED, names[a], names[b])
+        yield _chains(variant[crowded], names[crowded])
 
     for batch in batches:
         new = [batch.column(0).to_numpy(), *(batch.column(i).to_numpy().view(np.uint64) for i in (1, 2))]
@@ -299,7 +307,8 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are alike. ``texts`` has node and _text."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = [pairs.select(F.col(end).alias("node")).distinct() for end in ("a", "b")]
+    involved = ends[0].union(ends[1]).distinct()
     sets = materialize(_sets(texts.join(involved, "node", "left_semi").select("node", "_text")), "near-sets")
     of_a = sets.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
     of_b = sets.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
@@ -309,13 +318,23 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(shared >= SIMILARITY * all_words).select("a", "b")
 
 
-def open_nodes(met: DataFrame, rooted: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of all that met a near one of another root without being named,
-    and of all in a crowded variant that holds more than one root."""
-    aside = met.filter(F.col("key") <= ASIDE).select(F.shiftright(F.lit(ASIDE) - F.col("key"), SIZE_BITS).alias("variant"), "high", "low")
-    rows = aside.join(rooted, ["high", "low"]).select("variant", "node", "root")
-    crowds = rows.groupBy("variant").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-    return rows.join(crowds, "variant", "left_semi").select("node", "root").distinct()
+def linked(met: DataFrame, kind: int) -> DataFrame:
+    """The pairs (a, b) of names of a kind, once each."""
+    return met.filter(F.col("key") == kind).select(F.col("high").alias("a"), F.col("low").alias("b")).distinct()
+
+
+def open_nodes(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of all kept aside, of those roots that a link of a chain joins to
+    another: all members of a variant that holds more than one root are among them."""
+    aside = linked(met, ASIDE)
+    for end in ("a", "b"):
+        root = F.coalesce("root", end).alias(f"root_{end}")
+        own = roots.select(F.col("node").alias(end), "root")
+        aside = aside.join(own, end, "left").select(*aside.columns, root)
+    aside = materialize(aside, "near-aside")
+    ends = [aside.select(F.col(x).alias("node"), F.col(f"root_{x}").alias("root"), F.expr("root_a <> root_b").alias("crosses")) for x in ("a", "b")]
+    nodes = materialize(ends[0].union(ends[1]).groupBy("node", "root").agg(F.max("crosses").alias("crosses")), "near-aside-nodes")
+    return nodes.join(nodes.filter("crosses").select("root").distinct(), "root", "left_semi").select("node", "root")
 
 
 def open_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -350,16 +369,13 @@ def open_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def all_roots(alike: DataFrame, met: DataFrame, texts: DataFrame) -> DataFrame:
+def all_roots(met: DataFrame, texts: DataFrame) -> DataFrame:
     """``node`` and ``root`` of every node whose text is alike to another that it met, over any
     number of links: named pairs are verified first, then what they leave open."""
-    named = met.filter(F.col("key") == NAMED).select(F.col("high").alias("a"), F.col("low").alias("b"))
-    pairs = materialize(named.distinct(), "near-pairs")
+    pairs = materialize(linked(met, NAMED), "near-pairs")
     links = materialize(verified(pairs, texts), "near-links")
     roots = components(links)
-    root = F.coalesce("root", "node").alias("root")
-    rooted = alike.join(roots, "node", "left").select("node", F.col("q0").alias("high"), F.col("q1").alias("low"), root)
-    nodes = materialize(open_nodes(met, rooted), "near-open")
+    nodes = materialize(open_nodes(met, roots), "near-open")
     rest = materialize(open_pairs(nodes, texts).join(pairs, ["a", "b"], "left_anti"), "near-rest")
     found = materialize(verified(rest, texts), "near-links")
     return roots if found.isEmpty() else components(links.union(found))
@@ -392,7 +408,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     texts = alike.select("node", F.col("place.row_key").alias("row_key")).join(
         rows.select("row_key", text_bytes().alias("_text")), "row_key"
     )
-    roots = all_roots(alike, met, texts)
+    roots = all_roots(met, texts)
     named = alike.join(roots, "node", "left").select("place", F.coalesce("root", "node").alias("root"))
     kept = named.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row_key").alias("row_key"))
     return unboxed(rows.select("row_key", "doc").join(kept, "row_key", "left_semi"))

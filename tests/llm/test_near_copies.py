@@ -135,3 +135,25 @@ def test_no_near_pair_is_lost_in_a_group(spark, size, changed):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in near.keep_one(docs).collect()}
     assert set(groups(texts, False)) <= kept <= set(groups(texts, True))
+
+
+def test_rows_kept_aside_are_few_links_a_text(spark, monkeypatch):
+    rng, store, stored = random.Random(7), near.materialize, {}
+    monkeypatch.setattr(near, "materialize", lambda rows, name: stored.setdefault(name, store(rows, name)))
+    base = [rng.choice(WORDS) for _ in range(300)]
+    a_text = []
+    for size in (150, 600):
+        stored.clear()
+        texts = [" ".join(edited(base, 8, rng)) for _ in range(size)]
+        near.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        a_text.append(stored["near-met"].filter(f"key < {near.NAMED}").distinct().count() / size)
+    assert max(a_text) < 40  # not one for each of the 250 variants that a text emits
+
+
+def test_roots_next_to_others_are_open(spark):
+    """A variant with two roots opens all its rows; chains of one root stay closed."""
+    rows = [(near.ASIDE, 1, 2), (near.ASIDE, 2, 3), (near.ASIDE, 3, 4), (near.ASIDE, 3, 4), (near.ASIDE, 7, 8), (near.NAMED, 8, 9)]
+    met = spark.createDataFrame(rows, "key long, high long, low long")
+    roots = spark.createDataFrame([(2, 1), (1, 1), (8, 7), (7, 7), (5, 4), (4, 4)], "node long, root long")
+    found = sorted(map(tuple, near.open_nodes(met, roots).collect()))
+    assert found == [(1, 1), (2, 1), (3, 3), (4, 4)]
