@@ -18,7 +18,7 @@ groups, as sums of each text.
 
 The plain comparison, token shares, needs the count of every token of every document.
 Tokens with a share of at least 1 / ``MOST_FREQUENT`` are known to all tasks; the others
-are joined with the stored counts.
+are joined with the stored counts, which return packed by the task that asked.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ DISCOUNT = 0.5  # of every count, for the escape
 BLOCK_BYTES = 1 << 20  # text bytes that are worked on at once
 FLUSH = 1_500_000  # distinct keys that a task holds
 ASKS = 1 << 18  # symbols that are asked for together
+ANSWERS = 1 << 19  # counts of tokens that a task packs together
 BUCKET_NODES = 1 << 18  # stored symbols that a bucket aims at
 GRAM, TOKEN = 0, 1
 
@@ -507,6 +508,78 @@ def answered(asks: DataFrame, grams: DataFrame, short: Trie, buckets: int) -> Da
     return found.mapInArrow(add_up, "home bigint, place bigint, asked_score double")
 
 
+def _packed_answers(home: np.ndarray, place: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes]]:
+    """(task that asked, its texts' places and counts): a row for each task instead of each token."""
+    order = np.lexsort([n, place, home])
+    home, place, n = home[order], place[order], n[order]
+    task, at = home >> 32, ((home & 0xFFFFFFFF) << 32) + place
+    starts = np.flatnonzero(np.diff(task, prepend=-1)).tolist()
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(task)]):
+        data = _planes(np.diff(at[a:b], prepend=0), 8) + _planes(n[a:b], 6)
+        out.append((int(task[a]), (b - a).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)))
+    return out
+
+
+def _unpacked_answers(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(packed[:8], "little")
+    raw = np.frombuffer(pa.decompress(packed[8:], n * (8 + 6), "zstd", asbytes=True), np.uint8)
+    return np.cumsum(_of_planes(raw[: 8 * n], 8).view(np.int64)), _of_planes(raw[8 * n :], 6).view(np.int64)
+
+
+def token_sums(counts: DataFrame, share: float) -> DataFrame:
+    """``home``, ``place``, ``rare_score`` and ``rare_known`` of every text, from (home, place, n)
+    of its tokens: the sum of their shares' logarithms, and how many are known."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            tasks, packed = zip(*_packed_answers(*(np.concatenate([h[i] for h in held]) for i in range(3))))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(packed, pa.binary())], names=["task", "counts"])
+
+        for batch in batches:
+            if len(batch):
+                held.append([batch.column(i).to_numpy() for i in range(3)])
+                size += len(batch)
+            if size >= ANSWERS:
+                yield out()
+                size = 0
+        if held:
+            yield out()
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, scores, known = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        found, own = np.unique(at, return_inverse=True)
+        return found, np.bincount(own, scores), np.bincount(own, known)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, parts = None, []
+
+        def out() -> pa.RecordBatch:
+            at, scores, known = summed(parts)
+            columns = [(task << 32) + (at >> 32), at & 0xFFFFFFFF, scores, known.astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["home", "place", "rare_score", "rare_known"])
+
+        for batch in batches:
+            for own, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if own != task:
+                    if parts:
+                        yield out()
+                    task, parts = own, []
+                at, n = _unpacked_answers(packed)
+                parts.append(summed([(at, np.log10(n + 0.5) - share, n > 0)]))
+                if len(parts) == 64:
+                    parts = [summed(parts)]
+        if parts:
+            yield out()
+
+    answers = counts.select("home", "place", "n").mapInArrow(pack, "task bigint, counts binary")
+    dealt = answers.repartition("task").sortWithinPartitions("task")
+    return dealt.mapInArrow(add_up, "home bigint, place bigint, rare_score double, rare_known bigint")
+
+
 def scored(docs: DataFrame, learn_from: Column, held_out: Column) -> DataFrame:
     """Scores of every whole text under the model and under plain token shares.
 
@@ -596,14 +669,9 @@ def scored(docs: DataFrame, learn_from: Column, held_out: Column) -> DataFrame:
     stored = materialize(rows.drop("_learn").mapInArrow(step, fields), "ppm-scores")
     answers = answered(stored.filter("bucket IS NOT NULL"), grams, short, buckets)
     measured = stored.filter("bucket IS NULL").drop("bucket", "asks")
-    missing = measured.select("row_key", F.explode("rare").alias("key")).join(tokens, "key", "left").select(
-        "row_key", F.coalesce("n", F.lit(0)).alias("n")
-    )
-    log_share = F.log10(F.col("n") + 0.5) - F.lit(float(share))
-    rest = missing.repartition("row_key").groupBy("row_key").agg(
-        F.sum(log_share).alias("rare_score"), F.count_if(F.col("n") > 0).alias("rare_known")
-    )
-    return measured.drop("rare").join(rest, "row_key", "left").join(answers, ["home", "place"], "left").select(
+    missing = measured.select("home", "place", F.explode("rare").alias("key")).join(tokens, "key", "left")
+    rest = token_sums(missing.select("home", "place", F.coalesce("n", F.lit(0)).alias("n")), float(share))
+    return measured.drop("rare").join(rest, ["home", "place"], "left").join(answers, ["home", "place"], "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
